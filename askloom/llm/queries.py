@@ -7,21 +7,96 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from askloom.llm.cooccur import pair_surprise
+from askloom.llm.distinctive import distinctive_terms
+from askloom.llm.repetition import repetition
 from askloom.llm.topn import top_n
-from askloom.session import once, ready, table
+from askloom.operators.packed import TAGS, split_packed
+from askloom.session import cut, once, ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = split_packed(once(table(ready(spark), sf_dir, "questions").select("Id", "Tags")), "Id", {"Tags": TAGS})
+    # a question's tags come from one field, so this array is no longer than that field
+    return pair_surprise(tags.groupBy("id").agg(F.collect_set(F.lower("item")).alias("tags")), "tags")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag pairs on two questions and a thousandth of all at least, three times as often as independence gives."""
+    found = _tag_pairs(spark, sf_dir).where("together >= 2 and 1000 * together >= baskets and together * baskets >= 3 * n_a * n_b and surprise > 0")
+    return found.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
+
+
+def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tag pair with its counts, expectation, surprise and false-discovery rate."""
+    d = _tag_pairs(spark, sf_dir)
+    return d.select("item_a", "item_b", "together", "n_a", "n_b", *(F.round(c, 6).alias(c) for c in ("expected", "lift", "surprise", "q")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question's highest tf * ln(questions / df) term, where at most 5 questions hold it."""
+    q = once(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
+    rows, n = distinctive_terms(q, "Id", ["Title", "Body"], adjust=False)
+    weight = F.col("tf") * F.log(F.lit(n) / F.col("df"))
+    best = rows.groupBy("id").agg(F.min(F.struct((-weight).alias("w"), "term", "df", "score")).alias("best"))
+    return best.where("best.df <= 5 and best.score >= 0").select("id", F.col("best.term").alias("term"))
+
+
+def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question's terms with enrichment of at most 1 in 1000 after adjustment."""
+    q = once(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
+    rows, _ = distinctive_terms(q, "Id", ["Title", "Body"])
+    return rows.where("q <= 0.001").select("id", "term", "tf", "df", F.round("score", 6).alias("score"), F.round("q", 9).alias("q"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best answers of every ParentId."""
     found = top_n(table(ready(spark), sf_dir, "answers"), "ParentId", "Score", "Id", 3)
     return found.select(F.col("group_key").alias("parent_id"), F.col("item_id").alias("answer_id"))
 
 
-QUERIES: dict[str, Query] = {"p6_found": p6_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least a third of their words repeated: compression bands first, then the exact share."""
+    rows = repetition(table(ready(spark), sf_dir, "documents"), "doc_id", "text")
+    return rows.where("band = 'repetitive' and 3 * repeated >= words and words > 0").select(F.col("id").alias("doc_id"))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, repeated words and their share."""
+    rows = repetition(table(ready(spark), sf_dir, "documents"), "doc_id", "text")
+    return rows.select(F.col("id").alias("doc_id"), "words", "repeated", F.round("share", 6).alias("share"))
+
+
+QUERIES: dict[str, Query] = {
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
+    "p5_found": p5_found,
+    "p5_terms": p5_terms,
+    "p6_found": p6_found,
+    "p10_found": p10_found,
+    "p10_shares": p10_shares,
+}
+
+_REPEATED = """
+        WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM documents),
+        g AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS gram FROM w, LATERAL unnest(range(1, len(ws) - 3)) AS t(i)),
+        r AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + k) AS repeated FROM r, range(0, 5) AS s(k) GROUP BY doc_id),
+        x AS (SELECT w.doc_id, coalesce(len(ws), 0) AS words, coalesce(repeated, 0) AS repeated FROM w LEFT JOIN c USING (doc_id))"""
 
 SQL: dict[str, str] = {
+    "p5_found": """
+        WITH q AS (SELECT DISTINCT ON (Id) Id, Title, Body FROM questions WHERE Id IS NOT NULL),
+        t AS (SELECT Id, unnest(list_concat(regexp_extract_all(lower(coalesce(Title, '')), '[a-z]{3,}'), regexp_extract_all(lower(coalesce(Body, '')), '[a-z]{3,}'))) AS term FROM q),
+        f AS (SELECT Id, term, count(*) AS tf FROM t GROUP BY ALL),
+        d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+        s AS (SELECT Id, term, df, tf * ln((SELECT count(*) FROM q)::DOUBLE / df) AS s FROM f JOIN d USING (term)
+              QUALIFY row_number() OVER (PARTITION BY Id ORDER BY s DESC, term) = 1)
+        SELECT Id AS id, term FROM s WHERE df <= 5""",
+    "p10_found": _REPEATED + " SELECT doc_id FROM x WHERE 3 * repeated >= words AND words > 0",
+    "p10_shares": _REPEATED + " SELECT doc_id, words, repeated, round(CASE WHEN words > 0 THEN repeated / words ELSE 0 END, 6) AS share FROM x",
     "p6_found": """
         SELECT ParentId AS parent_id, Id AS answer_id
         FROM (SELECT DISTINCT ParentId, Id, Score FROM answers WHERE ParentId IS NOT NULL)
