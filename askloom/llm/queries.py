@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from askloom.llm.cooccur import pair_surprise
 from askloom.llm.distinctive import distinctive_terms
+from askloom.llm.mixing import mix
+from askloom.llm.packing import pack
 from askloom.llm.repetition import repetition
+from askloom.llm.tokens import token_count
 from askloom.llm.topn import top_n
 from askloom.operators.packed import TAGS, split_packed
 from askloom.session import cut, once, ready, table
@@ -57,6 +60,29 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("group_key").alias("parent_id"), F.col("item_id").alias("answer_id"))
 
 
+def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of every plan's capacity, sizes in tokens."""
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
+    plans = {r["plan_id"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_plans").select("plan_id", "capacity_tokens").distinct().collect()}
+    return pack(docs, "doc_id", "tokens", plans).withColumnRenamed("id", "doc_id")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(ready(spark), sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("tokens"))
+    rows = table(spark, sf_dir, "mix_targets").where("source is not null").distinct().collect()
+    return mix(docs, "doc_id", "source", "tokens", {r["source"].strip().lower(): (r["target_share"], r["max_repeats"]) for r in rows})
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents used and how often, so that the sources of mix_targets take their shares of all tokens."""
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source in mix_targets."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with at least a third of their words repeated: compression bands first, then the exact share."""
     rows = repetition(table(ready(spark), sf_dir, "documents"), "doc_id", "text")
@@ -75,6 +101,9 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_terms": p5_terms,
     "p6_found": p6_found,
+    "p8_windows": p8_windows,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
     "p10_found": p10_found,
     "p10_shares": p10_shares,
 }
