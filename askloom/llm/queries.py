@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from askloom.llm.cooccur import pair_surprise
 from askloom.llm.distinctive import distinctive_terms
+from askloom.llm.knn import most_similar
 from askloom.llm.mixing import mix
 from askloom.llm.packing import pack
 from askloom.llm.repetition import repetition
@@ -20,6 +21,17 @@ from askloom.session import cut, once, ready, table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of which one vector is among the other's 5 most similar at 0.8 or more, for TitleV and BodyV."""
+    v = once(table(ready(spark), sf_dir, "vectors").select("PostId", "TitleV", "BodyV"), "PostId")
+    parts = []
+    for name in ("TitleV", "BodyV"):
+        near = most_similar(v, "PostId", name, k=5, floor=0.8)
+        pair = near.select(F.lit(name).alias("field"), F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"))
+        parts.append(pair.distinct())
+    return parts[0].unionByName(parts[1])
+
+
 def _tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = split_packed(once(table(ready(spark), sf_dir, "questions").select("Id", "Tags")), "Id", {"Tags": TAGS})
     # a question's tags come from one field, so this array is no longer than that field
@@ -96,6 +108,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
     "p5_found": p5_found,
