@@ -11,6 +11,7 @@ from askloom.llm.cooccur import pair_surprise
 from askloom.llm.distinctive import distinctive_terms
 from askloom.llm.knn import most_similar
 from askloom.llm.mixing import mix
+from askloom.llm.neardup import near_duplicates
 from askloom.llm.packing import pack
 from askloom.llm.repetition import repetition
 from askloom.llm.tokens import token_count
@@ -35,7 +36,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = split_packed(once(table(ready(spark), sf_dir, "questions").select("Id", "Tags")), "Id", {"Tags": TAGS})
     # a question's tags come from one field, so this array is no longer than that field
-    return pair_surprise(tags.groupBy("id").agg(F.collect_set(F.lower("item")).alias("tags")), "tags")
+    return pair_surprise(cut(tags.groupBy("id").agg(F.collect_set(F.lower("item")).alias("tags"))), "tags")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,12 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("item_a", "item_b", "together", "n_a", "n_b", *(F.round(c, 6).alias(c) for c in ("expected", "lift", "surprise", "q")))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of questions whose words are mostly the same."""
+    q = once(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
+    return near_duplicates(q, "Id", "Title", "Body", 0.57)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question's highest tf * ln(questions / df) term, where at most 5 questions hold it."""
     q = once(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
@@ -111,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_terms": p5_terms,
     "p6_found": p6_found,
