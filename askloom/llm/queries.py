@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from askloom.llm.cooccur import pair_surprise
 from askloom.llm.distinctive import distinctive_terms
 from askloom.llm.knn import most_similar
+from askloom.llm.markup import UNITS, clean_markup
 from askloom.llm.mixing import mix
 from askloom.llm.neardup import near_duplicates
 from askloom.llm.packing import pack
@@ -79,6 +80,28 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("group_key").alias("parent_id"), F.col("item_id").alias("answer_id"))
 
 
+_TEXTS = (("questions", "Body"), ("answers", "Body"), ("comments", "Text"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every structural unit of the three kinds of text. Copies of a row meet as counts, so no text is shuffled."""
+    parts = []
+    for name, text in _TEXTS:
+        counts = clean_markup(table(ready(spark), sf_dir, name).where("Id is not null"), "Id", text, with_text=False)
+        counts = counts.groupBy("id").agg(*(F.max(u).alias(u) for u in UNITS))
+        parts.append(counts.select(F.lit(name).alias("tbl"), "*"))
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    units = F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("n")) for u in UNITS))
+    rows = rows.select("tbl", "id", F.explode(units).alias("u")).where("u.n > 0")
+    return rows.select("tbl", "id", F.col("u.unit").alias("unit"), F.explode(F.sequence(F.lit(1), F.col("u.n"))).alias("pos"))
+
+
+def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean text of every question body."""
+    q = once(table(ready(spark), sf_dir, "questions").select("Id", "Body"))
+    return clean_markup(q, "Id", "Body").select("id", "clean", *UNITS)
+
+
 def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of every plan's capacity, sizes in tokens."""
     docs = table(ready(spark), sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("tokens"))
@@ -122,6 +145,8 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_terms": p5_terms,
     "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_clean": p7_clean,
     "p8_windows": p8_windows,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
