@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from askloom.plans import packed
+from askloom.plans import packed, relational, text
 
-PARTS = (packed,)
+PARTS = (packed, relational, text)
 
 
 def core_queries() -> dict:
