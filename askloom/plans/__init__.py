@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from askloom.plans import packed, relational, text
+from askloom.plans import packed, relational, search, text
 
-PARTS = (packed, relational, text)
+PARTS = (packed, relational, search, text)
 
 
 def core_queries() -> dict:
