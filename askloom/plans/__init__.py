@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from askloom.plans import packed, relational, search, text
+from askloom.plans import packed, relational, search, text, tokens
 
-PARTS = (packed, relational, search, text)
+PARTS = (packed, relational, search, text, tokens)
 
 
 def core_queries() -> dict:
