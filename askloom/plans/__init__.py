@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from askloom.plans import packed, relational, search, text, tokens
+from askloom.plans import files, learning, packed, relational, search, text, tokens
 
-PARTS = (packed, relational, search, text, tokens)
+PARTS = (packed, relational, search, text, tokens, learning, files)
 
 
 def core_queries() -> dict:
