@@ -83,6 +83,13 @@ def inverted_index(df: DataFrame, key: str, tag: str) -> DataFrame:
     return df.groupBy(tag).agg(F.sort_array(F.collect_set(key)).alias("ids"))
 
 
+def postings(df: DataFrame, key: str, tag: str, width: int = 1 << 20) -> DataFrame:
+    """(tag, block, ids): an inverted index in blocks of `width` consecutive ids, so the list of a tag which a third
+    of all posts carry is many short rows, built by many tasks."""
+    rows = df.select(F.col(tag).alias("tag"), F.expr(f"`{key}` div {width}").alias("block"), F.col(key).alias("id"))
+    return rows.groupBy("tag", "block").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+
+
 def top_tags(ranked: DataFrame, rank: str, tags: str, n: int = 8) -> DataFrame:
     """The n most frequent tags of a ranked list; ties go to the tag that appears first."""
     each = ranked.select(rank, F.posexplode(tags).alias("pos", "tag"))
