@@ -171,7 +171,7 @@ def most_similar(
     return _members_too(members, sims, k, floor)
 
 
-def _members_too(members: DataFrame, sims: DataFrame, k: int, floor: float, hot: int = 10_000) -> DataFrame:
+def _members_too(members: DataFrame, sims: DataFrame, k: int, floor: float) -> DataFrame:
     """From links of class representatives to the k best of every member. A class's k + 1 smallest ids stand for it:
     no member needs more of them. Window group limits cut each class down before rows move."""
     by_id = Window.partitionBy("rep").orderBy("id")
@@ -184,7 +184,8 @@ def _members_too(members: DataFrame, sims: DataFrame, k: int, floor: float, hot:
     best = others.unionByName(twins.where(F.lit(1.0) >= floor))
     best = best.withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("sim"), "other"))).where(F.col("at") <= k + 1)
     best = cut(best.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("neg"), "other"))).alias("best")))
-    # classes of more than `hot` members are at most rows / hot; their lists go to the members, not the other way round
+    # at most 10,000 classes are large; their short lists go to the members, not the other way round
+    hot = max(10_000, members.count() // 10_000)
     large = F.broadcast(members.where((F.col("members") > hot) & (F.col("id") == F.col("rep"))).select("rep").join(best, "rep"))
     got = members.where(F.col("members") > hot).join(large, "rep").unionByName(members.where(F.col("members") <= hot).join(best, "rep"))
     mine = F.slice(F.filter("best", lambda x: x["other"] != F.col("id")), 1, k)

@@ -239,9 +239,11 @@ def near_duplicates(
     reps = described.join(repeated.where("id <> rep").select("id"), "id", "left_anti")
 
     routed = reps.select(F.explode("anchors").alias("anchor"), "id", "size", "bits", "least")
+    total = reps.agg(F.sum(F.size("anchors"))).first()[0] or 0
+    tile = max(tile, total // 100_000)  # so that crowded anchors number at most 100,000
     load = routed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     crowded = cut(load.where(F.col("n") > tile).select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("blocks")))
-    # at most rows / tile anchors are crowded; each has its rows meet block by block
+    # crowded anchors have their rows meet block by block
     placed = routed.join(F.broadcast(crowded), "anchor", "left")
     usual = placed.where("blocks is null").select("anchor", "id", "size", "bits", "least")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
