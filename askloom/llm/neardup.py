@@ -27,7 +27,7 @@ _TAG = re.compile(
 )
 _TARGET = re.compile(r"(?<=\])\([^()\s]*\)|\\href\{[^{}]*\}|\[\[https?://[^|\[\]\s]*\||\[https?://\S+(?=\s[^\]\n]*\])|\{\{mono\|")
 _COMMAND = re.compile(r"\\(?:begin|end)\{\w+\*?\}(?:\{\w+\})?|\\(?:textbf|texttt|textit|emph|item|(?:sub)*section)\b\*?|^(?:```|~~~)\w*", re.M)
-BUCKETS, BITS = 1 << 18, 256
+BUCKETS, BITS = 1 << 22, 256
 
 
 def visible_words(title: str | None, body: str | None) -> list[str]:
@@ -81,8 +81,9 @@ def _rank(doc: np.ndarray) -> np.ndarray:
     return np.arange(len(doc)) - np.repeat(start, np.diff(np.r_[start, len(doc)]))
 
 
-def _describe(h, doc, n, anchors, short, hot_ids, hot_weights):
-    """Per record of a batch: bag (sorted uint32), bitmap, anchors."""
+def _describe(h, doc, n, anchors, short, rarity):
+    """Per record of a batch: bag (sorted uint32), bitmap, anchors. rarity[bucket] is 4*log2 of how far a shingle's
+    count lies above the usual; its weight falls with the square of that."""
     order = np.lexsort((h, doc))
     hs, ds = h[order], doc[order]
     new = np.r_[True, (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])] if len(hs) else np.zeros(0, bool)
@@ -94,10 +95,7 @@ def _describe(h, doc, n, anchors, short, hot_ids, hot_weights):
     bitmap[ds, items % BITS] = True
     s, sd = _shingles(h, doc, sizes, short)
     bucket = (s % np.uint64(BUCKETS)).astype(np.int64)
-    weight = np.ones(len(s))
-    if len(hot_ids) and len(s):
-        at = np.minimum(np.searchsorted(hot_ids, bucket), len(hot_ids) - 1)
-        weight = np.where(hot_ids[at] == bucket, hot_weights[at], 1.0)
+    weight = 2.0 ** (rarity[bucket] / -2.0)
     u = ((_mix(s + np.uint64(77)) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
     order = np.lexsort((s, -np.log(u) / weight, sd))
     s, sd = s[order], sd[order]
@@ -183,7 +181,7 @@ def _small_groups(group: np.ndarray, bits, size, threshold: float):
 
 
 def near_duplicates(
-    df: DataFrame, key: str, title: str | None, body: str, threshold: float, anchors: int = 24, short: int = 24, tile: int = 4096, expand: int = 4096
+    df: DataFrame, key: str, title: str | None, body: str, threshold: float, anchors: int = 16, short: int = 24, usual: int = 64, tile: int = 4096, expand: int = 4096
 ) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of records whose bags of words have shared / all of at least `threshold`.
 
@@ -194,9 +192,11 @@ def near_duplicates(
     representative) plus (representative, member), so no link between different texts is lost and groups of copies,
     however large, cost one row a member.
 
-    Which records meet is decided by `anchors` weighted-minwise word triples out of the whole text: triples in many
-    records weigh less. Counts of triples cover all records and arrive as at most BUCKETS/4 hot buckets. A tree of
-    more than `tile` records is split into blocks, each pair of blocks a task of its own: nothing is capped.
+    Which records meet is decided by `anchors` weighted-minwise word triples out of the whole text: a triple that
+    occurs more than `usual` times weighs less by the square of its count, so that the pairs in all trees together
+    grow with the number of records, not with its square. Counts of triples cover all records; they arrive as one
+    byte for each of BUCKETS buckets, whatever the data. A tree of more than `tile` records is split into blocks,
+    each pair of blocks a task of its own: nothing is capped.
     """
     texts = df.where(F.col(key).isNotNull() & F.col(body).isNotNull())
     texts = texts.select(F.col(key).cast("long").alias("id"), (F.col(title) if title else F.lit("")).alias("t"), F.col(body).alias("b"))
@@ -212,16 +212,18 @@ def near_duplicates(
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
     buckets = cut(texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
-    mean = (buckets.agg(F.sum("n")).first()[0] or 0) / BUCKETS
-    hot = buckets.where(F.col("n") > max(4 * mean, 8)).orderBy("bucket").toPandas()
-    hot_ids, hot_weights = hot["bucket"].to_numpy(), (max(4 * mean, 8) / hot["n"].to_numpy()) if len(hot) else np.zeros(0)
+    usual_count = max(4 * (buckets.agg(F.sum("n")).first()[0] or 0) / BUCKETS, usual)
+    hot = buckets.where(F.col("n") > usual_count).toPandas()
+    rarity = np.zeros(BUCKETS, dtype=np.uint8)
+    rarity[hot["bucket"].to_numpy()] = np.minimum(255, np.round(4 * np.log2(hot["n"].to_numpy() / usual_count)))
+    shared = df.sparkSession.sparkContext.broadcast(rarity)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
             docs = [visible_words(t, b) for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             h, doc = _word_ids(docs, cache)
-            items, sizes, bitmap, chosen, n_chosen = _describe(h, doc, len(docs), anchors, short, hot_ids, hot_weights)
+            items, sizes, bitmap, chosen, n_chosen = _describe(h, doc, len(docs), anchors, short, shared.value)
             ends = np.cumsum(sizes)
             bags = [items[e - n : e].tobytes() for e, n in zip(ends, sizes)]
             digest = [xxhash.xxh128_digest(b) for b in bags]
