@@ -95,6 +95,7 @@ def context_template(order: Sequence[tuple[tuple[str, int], ...]], array: Column
 
 def templates(word_reps: Sequence[str] = ()) -> list[tuple[tuple[str, int], ...]]:
     """The template list: orthographic fields alone, word pairs, then brown paths and clusters in their context."""
+    # The names of the fields.
     alone = ["w", "wl", "dot", "brac", "uscr", "init_cap", "ccase", "api_ptrn", *(f"p{k}" for k in range(1, 5)), *(f"s{k}" for k in range(1, 5)), "is_api", "is_plat", "is_pl", "is_org", "is_stan", "is_fram"]
     out: list[tuple[tuple[str, int], ...]] = [((f, 0),) for f in alone]
     out += [((f, o), (f, o + 1)) for f in ("w", "wl") for o in (-1, 0)]
