@@ -162,6 +162,13 @@ _REPEATED = """
         x AS (SELECT w.doc_id, coalesce(len(ws), 0) AS words, coalesce(repeated, 0) AS repeated FROM w LEFT JOIN c USING (doc_id))"""
 
 SQL: dict[str, str] = {
+    "p2_found": """
+        WITH v AS (SELECT DISTINCT ON (PostId) * FROM vectors WHERE PostId IS NOT NULL),
+        x AS (SELECT 'TitleV' AS field, PostId AS id, TitleV::DOUBLE[] AS vec FROM v UNION ALL SELECT 'BodyV', PostId, BodyV::DOUBLE[] FROM v),
+        y AS (SELECT * FROM x WHERE len(vec) = 128 AND list_sum(list_transform(vec, lambda z: z * z)) > 0),
+        s AS (SELECT a.field, a.id, b.id AS other, round(list_cosine_similarity(a.vec, b.vec), 6) AS sim FROM y a JOIN y b ON a.field = b.field AND a.id <> b.id),
+        t AS (SELECT * FROM s WHERE sim >= 0.8 QUALIFY row_number() OVER (PARTITION BY field, id ORDER BY sim DESC, other) <= 5)
+        SELECT DISTINCT field, least(id, other) AS id_a, greatest(id, other) AS id_b FROM t""",
     "p5_found": """
         WITH q AS (SELECT DISTINCT ON (Id) Id, Title, Body FROM questions WHERE Id IS NOT NULL),
         t AS (SELECT Id, unnest(list_concat(regexp_extract_all(lower(coalesce(Title, '')), '[a-z]{3,}'), regexp_extract_all(lower(coalesce(Body, '')), '[a-z]{3,}'))) AS term FROM q),
