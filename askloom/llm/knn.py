@@ -13,7 +13,7 @@ from askloom.session import cut
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix, the same for a seed wherever it is made."""
+    """A random orthogonal matrix; made once and sent, since libraries may differ in the last digit."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
@@ -122,11 +122,11 @@ def most_similar(
     sample = classes.orderBy(F.xxhash64("rep", F.lit(seed)), "rep").limit(want).select("v").toPandas()["v"]
     unit = np.array(sample.tolist(), dtype=np.float64)
     unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
-    centre = spark.sparkContext.broadcast(train_lists(unit, lists, 6, seed))
+    shared = spark.sparkContext.broadcast((train_lists(unit, lists, 6, seed), rotation(dim, seed)))
     spread = min(spread, lists)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rot, c = rotation(dim, seed), centre.value
+        c, rot = shared.value
         for batch in batches:
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             if not len(v):
