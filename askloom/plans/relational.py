@@ -64,13 +64,12 @@ _WORDS = ["exception", "debug", "error", "fail", "warning"]
 
 @P.add(
     "scan_posts_for_labelling",
-    "SELECT Id FROM q WHERE (" + " OR ".join(f"Title ILIKE '%{w}%'" for w in _WORDS) + ") AND Body NOT ILIKE '%</pre>%' AND length(Body) - length(replace(Body, ' ', '')) + 1 >= 50",
+    "SELECT Id FROM q WHERE (" + " OR ".join(f"Title ILIKE '%{w}%'" for w in _WORDS) + ") AND Body NOT ILIKE '%</pre>%' AND length(Body) - length(replace(Body, ' ', '')) + 1 >= 150",
     "q",
 )
 def scan_posts_for_labelling(t: Tables) -> DataFrame:
-    """The number of words is a parameter, 50 here: these texts are shorter."""
     spaces = F.length("Body") - F.length(F.replace(F.col("Body"), F.lit(" "), F.lit(""))) + 1
-    return t.q("Title", "Body").where(R.tag_filter(F.col("Title"), _WORDS) & ~F.col("Body").ilike("%</pre>%") & (spaces >= 50)).select("Id")
+    return t.q("Title", "Body").where(R.tag_filter(F.col("Title"), _WORDS) & ~F.col("Body").ilike("%</pre>%") & (spaces >= 150)).select("Id")
 
 
 @P.add("rename_column", "SELECT Id, Text AS Body, PostId FROM c", "c")
