@@ -124,7 +124,7 @@ def _possible(bits_or, bits_and, low, high, excess, i, j, threshold) -> np.ndarr
     return shared >= threshold * np.maximum(rest, 1)
 
 
-def tree_pairs(bits: np.ndarray, size: np.ndarray, order: np.ndarray, side: np.ndarray | None, threshold: float, fan: int = 8, chunk: int = 200_000):
+def tree_pairs(bits: np.ndarray, size: np.ndarray, order: np.ndarray, side: np.ndarray | None, threshold: float, fan: int = 8, chunk: int = 32_768):
     """Index pairs (i < j, or i of side 0 and j of side 1) that survive the dual traversal of one signature tree."""
     n = len(size)
     by = np.lexsort((order, size * 0 if side is None else side))
