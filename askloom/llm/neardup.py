@@ -1,8 +1,8 @@
 """Near-duplicate records with small edits: a forest of signature trees over token bags.
 
-Each record becomes a bag of words. Records meet in trees, one tree per anchor: an anchor is one of a record's word
-triples with the smallest weighted hash, so two records with most text in common nearly always share several. A tree
-holds the records of its anchor; nodes carry OR- and AND-combined token bitmaps and ranges of sizes, and a dual
+Each record becomes a bag of words. Records meet in trees, one tree per anchor. Anchors are of two kinds: the word
+triples with the smallest weighted hash, and bands of plain minwise hashes over the bag, whose chance to be shared
+depends on the similarity of the two bags alone. A tree holds the records of its anchor; nodes carry OR- and AND-combined token bitmaps and ranges of sizes, and a dual
 traversal drops node pairs by their maximum possible overlap. What is left is compared exactly.
 """
 
@@ -81,9 +81,8 @@ def _rank(doc: np.ndarray) -> np.ndarray:
     return np.arange(len(doc)) - np.repeat(start, np.diff(np.r_[start, len(doc)]))
 
 
-def _describe(h, doc, n, anchors, short, rarity):
-    """Per record of a batch: bag (sorted uint32), bitmap, anchors. rarity[bucket] is 4*log2 of how far a shingle's
-    count lies above the usual; its weight falls with the square of that."""
+def _bags(h, doc, n):
+    """Per record of a batch: bag (sorted uint32), size, bitmap."""
     order = np.lexsort((h, doc))
     hs, ds = h[order], doc[order]
     new = np.r_[True, (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])] if len(hs) else np.zeros(0, bool)
@@ -93,6 +92,12 @@ def _describe(h, doc, n, anchors, short, rarity):
     items, sizes = items[order], np.bincount(doc, minlength=n)
     bitmap = np.zeros((n, BITS), dtype=bool)
     bitmap[ds, items % BITS] = True
+    return items, sizes, np.packbits(bitmap, axis=1)
+
+
+def _triples(h, doc, sizes, anchors, short, rarity):
+    """Weighted-minwise shingles of each record of a batch and how many each has. rarity[bucket] is 4*log2 of how far a
+    shingle's count lies above the usual; its weight falls with the square of that."""
     s, sd = _shingles(h, doc, sizes, short)
     bucket = (s % np.uint64(BUCKETS)).astype(np.int64)
     weight = 2.0 ** (rarity[bucket] / -2.0)
@@ -102,7 +107,29 @@ def _describe(h, doc, n, anchors, short, rarity):
     keep = np.r_[True, (s[1:] != s[:-1]) | (sd[1:] != sd[:-1])] if len(s) else np.zeros(0, bool)
     s, sd = s[keep], sd[keep]
     keep = _rank(sd) < anchors
-    return items, sizes, np.packbits(bitmap, axis=1), s[keep].view(np.int64), np.bincount(sd[keep], minlength=n)
+    return s[keep].view(np.int64), np.bincount(sd[keep], minlength=len(sizes))
+
+
+def _bands(items: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """(records, bands) anchors over bags of at least one item: each joins `rows` minwise hashes, so two bags of
+    similarity s share a given one with chance s ** rows."""
+    starts = np.r_[0, np.cumsum(sizes)[:-1]]
+    keys = _mix(np.arange(2 * bands * rows, dtype=np.uint64) + np.uint64(1)).astype(np.uint32)
+    out = np.empty((len(sizes), bands), dtype=np.uint64)
+    for b in range(bands):
+        anchor = np.full(len(sizes), b + 1, dtype=np.uint64)
+        for r in range(b * rows, (b + 1) * rows):
+            x = (items ^ keys[2 * r]) * (keys[2 * r + 1] | np.uint32(1))
+            x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+            anchor = _mix(anchor * np.uint64(3) + np.minimum.reduceat(x, starts))
+        out[:, b] = anchor
+    return out.view(np.int64)
+
+
+def _numbered(bags: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Items of all bags in one sorted array, each under the number of its bag, and the sizes of the bags."""
+    sizes = np.array([len(b) // 4 for b in bags])
+    return np.repeat(np.arange(len(bags), dtype=np.uint64) << np.uint64(32), sizes) | np.frombuffer(b"".join(bags), np.uint32), sizes
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -181,7 +208,7 @@ def _small_groups(group: np.ndarray, bits, size, threshold: float):
 
 
 def near_duplicates(
-    df: DataFrame, key: str, title: str | None, body: str, threshold: float, anchors: int = 16, short: int = 24, usual: int = 64, tile: int = 4096, expand: int = 4096
+    df: DataFrame, key: str, title: str | None, body: str, threshold: float, anchors: int = 16, short: int = 24, usual: int = 64, tile: int = 4096, expand: int = 4096, bands: int = 32, rows: int = 3
 ) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of records whose bags of words have shared / all of at least `threshold`.
 
@@ -192,54 +219,78 @@ def near_duplicates(
     representative) plus (representative, member), so no link between different texts is lost and groups of copies,
     however large, cost one row a member.
 
-    Which records meet is decided by `anchors` weighted-minwise word triples out of the whole text: a triple that
-    occurs more than `usual` times weighs less by the square of its count, so that the pairs in all trees together
-    grow with the number of records, not with its square. Counts of triples cover all records; they arrive as one
-    byte for each of BUCKETS buckets, whatever the data. A tree of more than `tile` records is split into blocks,
-    each pair of blocks a task of its own: nothing is capped.
+    Which records meet is decided by anchors. `bands` of them join `rows` plain minwise hashes of the bag each: whatever
+    the order of the words and however large the group, a pair of similarity s is missed by all of them with chance
+    (1 - s ** rows) ** bands. `anchors` more are weighted-minwise word triples out of the whole text: a triple in more
+    than `usual` records weighs less by the square of its count, so that their pairs grow with the number of records,
+    not with its square. Counts of triples cover class representatives, each triple once a record; they arrive as one
+    byte for each of BUCKETS buckets, whatever the data. A tree of more than `tile` records is split into blocks, each
+    pair of blocks a task of its own: nothing is capped.
     """
     texts = df.where(F.col(key).isNotNull() & F.col(body).isNotNull())
     texts = texts.select(F.col(key).cast("long").alias("id"), (F.col(title) if title else F.lit("")).alias("t"), F.col(body).alias("b"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, cache = np.zeros(BUCKETS, dtype=np.int64), {}
-        for batch in batches:
-            docs = [visible_words(t, b) for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            h, doc = _word_ids(docs, cache)
-            s, _ = _shingles(h, doc, np.bincount(doc, minlength=len(docs)), short)
-            total += np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
-
-    buckets = cut(texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
-    usual_count = max(4 * (buckets.agg(F.sum("n")).first()[0] or 0) / BUCKETS, usual)
-    hot = buckets.where(F.col("n") > usual_count).toPandas()
-    rarity = np.zeros(BUCKETS, dtype=np.uint8)
-    rarity[hot["bucket"].to_numpy()] = np.minimum(255, np.round(4 * np.log2(hot["n"].to_numpy() / usual_count)))
-    shared = df.sparkSession.sparkContext.broadcast(rarity)
-
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
             docs = [visible_words(t, b) for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             h, doc = _word_ids(docs, cache)
-            items, sizes, bitmap, chosen, n_chosen = _describe(h, doc, len(docs), anchors, short, shared.value)
+            items, sizes, bitmap = _bags(h, doc, len(docs))
             ends = np.cumsum(sizes)
             bags = [items[e - n : e].tobytes() for e, n in zip(ends, sizes)]
+            short_h = h.astype(np.uint32)
+            text = [short_h[e - n : e].tobytes() for e, n in zip(ends, sizes)]
             digest = [xxhash.xxh128_digest(b) for b in bags]
             least = [int(items[e - n]) if n else 0 for e, n in zip(ends, sizes)]
-            offsets = pa.array(np.r_[0, np.cumsum(n_chosen)].astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digest, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(bags, pa.binary()), pa.array([b.tobytes() for b in bitmap], pa.binary()), pa.array(least, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(chosen))],
-                ["id", "digest", "size", "bag", "bits", "least", "anchors"],
+                [batch.column(0), pa.array(digest, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(bags, pa.binary()), pa.array(text, pa.binary()), pa.array([b.tobytes() for b in bitmap], pa.binary()), pa.array(least, pa.int64())],
+                ["id", "digest", "size", "bag", "text", "bits", "least"],
             )
 
-    schema = "id long, digest binary, size int, bag binary, bits binary, least long, anchors array<long>"
+    schema = "id long, digest binary, size int, bag binary, text binary, bits binary, least long"
     described = cut(texts.mapInArrow(describe, schema).where("size > 0"))
     classes = described.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
     repeated = cut(described.select("id", "digest").join(classes.where("members > 1"), "digest").select("id", "rep", "members"))
     reps = described.join(repeated.where("id <> rep").select("id"), "id", "left_anti")
 
+    def numbers(col: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(col.to_pylist()), np.uint32)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for batch in batches:
+            sizes = batch.column(0).to_numpy()
+            s, sd = _shingles(numbers(batch.column(1)).astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes), sizes, short)
+            order = np.lexsort((s, sd))
+            s, sd = s[order], sd[order]
+            s = s[np.r_[True, (s[1:] != s[:-1]) | (sd[1:] != sd[:-1])]] if len(s) else s
+            total += np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    buckets = cut(reps.select("size", "text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+    usual_count = max(4 * (buckets.agg(F.sum("n")).first()[0] or 0) / BUCKETS, usual)
+    hot = buckets.where(F.col("n") > usual_count).toPandas()
+    rarity = np.zeros(BUCKETS, dtype=np.uint8)
+    rarity[hot["bucket"].to_numpy()] = np.minimum(255, np.round(4 * np.log2(hot["n"].to_numpy() / usual_count)))
+    shared = df.sparkSession.sparkContext.broadcast(rarity)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(1).to_numpy()
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            chosen, n = _triples(numbers(batch.column(5)).astype(np.uint64), doc, sizes, anchors, short, shared.value)
+            joined = _bands(numbers(batch.column(4)), sizes, bands, rows)
+            ends = np.cumsum(n)
+            every = np.insert(joined.ravel(), np.repeat(np.arange(len(n)) * bands, n), chosen)
+            offsets = pa.array(np.r_[0, ends + bands * np.arange(1, len(n) + 1)].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(offsets, pa.array(every))], ["id", "size", "bits", "least", "anchors"])
+
+    chosen = reps.select("id", "size", "bits", "least", "bag", "text").mapInArrow(choose, "id long, size int, bits binary, least long, anchors array<long>")
+    reps = cut(chosen)
+
     routed = reps.select(F.explode("anchors").alias("anchor"), "id", "size", "bits", "least")
     total = reps.agg(F.sum(F.size("anchors"))).first()[0] or 0
     tile = max(tile, total // 100_000)  # so that crowded anchors number at most 100,000
@@ -305,12 +356,13 @@ def near_duplicates(
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                shared = len(np.intersect1d(u, v, assume_unique=False)) if len(u) and len(v) else 0
-                keep.append(shared >= threshold * (len(u) + len(v) - shared))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            (x, nx), (y, ny) = (_numbered(batch.column(c).to_pylist()) for c in (2, 3))
+            first = np.r_[True, y[1:] != y[:-1]]
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            shared = np.bincount((y[first & (x[at] == y)] >> np.uint64(32)).astype(np.int64), minlength=len(nx))
+            yield batch.select([0, 1]).filter(pa.array(shared >= threshold * (nx + ny - shared)))
 
     links = cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
     return _all_members(links, repeated, expand)

@@ -87,6 +87,40 @@ def test_near_duplicates_of_many_copies(spark):
     assert near_duplicates(spark.createDataFrame([], "k long, b string"), "k", None, "b", 0.57).collect() == []
 
 
+def edited(words, edits, rng, tag):
+    w = list(words)
+    for at in rng.sample(range(len(w)), edits):
+        w[at] = f"{tag}x{at}"
+    return w
+
+
+def test_near_duplicates_beside_thousands_of_copies(spark):
+    rng = random.Random(5)
+    base = [f"c{i}" for i in range(100)]
+    texts = {i: base for i in range(4000)} | {5000 + i: edited(base, 12, rng, f"e{i}") for i in range(12)}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "k long, b string")
+    got = {tuple(r) for r in near_duplicates(df, "k", None, "b", 0.57, expand=64).collect()}
+    different = [0, *range(5000, 5012)]
+    want = {(i, j) for x, i in enumerate(different) for j in different[x + 1 :] if jaccard(texts[i], texts[j]) >= 0.57}
+    assert len(want) > 60 and want == {p for p in got if p[1] >= 5000}
+
+
+def test_near_duplicates_of_a_large_group_of_edited_copies(spark):
+    rng = random.Random(6)
+    base = [f"c{i}" for i in range(100)]
+    texts = [edited(base, rng.randrange(10, 14), rng, f"e{i}") for i in range(1000)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "k long, b string")
+    got = near_duplicates(df, "k", None, "b", 0.57).toPandas()
+    # edits are all different, so only places unedited in both are shared
+    same = np.array([[w == b for w, b in zip(t, base)] for t in texts], dtype=np.float32)
+    shared = same @ same.T
+    want = np.triu(shared >= 0.57 * (200 - shared), 1)
+    found = np.zeros_like(want)
+    found[got["id_a"], got["id_b"]] = True
+    assert len(got) == found.sum() and not (found & ~want).any()
+    assert (found & want).sum() >= 0.999 * want.sum() > 400_000
+
+
 def test_visible_words():
     assert visible_words("A b", "<p>See <a href='http://x/y'>it</a> <code>List&lt;T&gt;</code></p>") == ["a", "b", "see", "it", "list", "t"]
     assert visible_words(None, "&lt;p&gt;x &amp;lt;br&amp;gt;&lt;/p&gt;") == ["x", "br"]
