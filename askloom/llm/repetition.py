@@ -1,4 +1,4 @@
-"""Repetition inside a single document: compression bands, then the exact share of repeated words."""
+"""Repetition inside a single document: the exact share of repeated words, with compression ratios and their bands beside."""
 
 from __future__ import annotations
 
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 #: (bytes of the word stream from, lowest and highest ratio of ordinary text). Below 128 bytes a ratio tells nothing.
-#: With these, text may be of high entropy in its other two thirds and still falls below the lower limit when a third repeats.
+#: They describe a text and decide nothing: ratios are of bytes, repetition of words, so a text with a third repeated may lie
+#: above its lower limit.
 BANDS = ((0, 9.0, 9.0), (128, 0.62, 1.05), (512, 0.56, 0.95), (1024, 0.52, 0.90), (4096, 0.50, 0.85))
 
 
@@ -40,8 +41,8 @@ def repetition(df: DataFrame, key: str, text: str, run: int = 5, chunk: int = 40
     zstandard size over its size, `chunk_ratio` the lowest of its fixed chunks of `chunk` bytes. band is `repetitive`
     where either lies below the lower limit of its length class, `incompressible` where ratio lies above the upper,
     else `ordinary`. repeated and share = repeated / words are exact for every text. Null and wordless texts have
-    0 words and share 0 and are `ordinary`; texts below 128 bytes are `repetitive` in band, so that the exact share
-    decides. Whole texts of any length; each row by itself, no shuffle; other columns are not read.
+    0 words and share 0 and are `ordinary`; texts below 128 bytes are `repetitive` in band. No band says that share is
+    low or high: who needs a share reads it. Whole texts of any length; each row by itself, no shuffle; other columns are not read.
     """
     starts = np.array([b[0] for b in bands])
 

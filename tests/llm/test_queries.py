@@ -76,3 +76,18 @@ def test_units_and_pairs(spark):
     assert (u.groupby(["tbl", "id", "unit"])["pos"].max() == u.groupby(["tbl", "id", "unit"]).size()).all()
     p = got(spark, "p4_found")
     assert (p["id_a"] < p["id_b"]).all() and not p.duplicated().any()
+
+
+def test_found_repetition_in_short_texts(spark, tmp_path):
+    """Just a third repeats in short texts and longer ones of rare words, where compression hardly shows it."""
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        n = rng.choice((5, 6, 8, 10, 30, 100))
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(rng.randrange(5, 12))) for _ in range(2 * n)]
+        rows.append((i, " ".join(words + words[:n])))
+        rows.append((1000 + i, " ".join(words + words[: n - 1])))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in Q.QUERIES["p10_found"](spark, str(tmp_path)).collect()} == set(range(300))
