@@ -208,7 +208,7 @@ def _small_groups(group: np.ndarray, bits, size, threshold: float):
 
 
 def near_duplicates(
-    df: DataFrame, key: str, title: str | None, body: str, threshold: float, anchors: int = 16, short: int = 24, usual: int = 64, tile: int = 4096, expand: int = 4096, bands: int = 32, rows: int = 3
+    df: DataFrame, key: str, title: str | None, body: str, threshold: float, anchors: int = 24, short: int = 24, usual: int = 64, tile: int = 4096, expand: int = 4096, bands: int = 32, rows: int = 3
 ) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of records whose bags of words have shared / all of at least `threshold`.
 

@@ -121,6 +121,18 @@ def test_near_duplicates_of_a_large_group_of_edited_copies(spark):
     assert (found & want).sum() >= 0.999 * want.sum() > 400_000
 
 
+def test_near_duplicates_in_another_order(spark):
+    rng = random.Random(8)
+    texts = {}
+    for i in range(60):
+        words = [f"v{rng.randrange(3000)}" for _ in range(rng.randrange(24, 90))]
+        texts[2 * i] = words
+        texts[2 * i + 1] = rng.sample(edited(words, 1, rng, "e"), len(words))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "k long, b string")
+    got = {tuple(r) for r in near_duplicates(df, "k", None, "b", 0.57).collect()}
+    assert got == {(i, i + 1) for i in range(0, 120, 2)}
+
+
 def test_visible_words():
     assert visible_words("A b", "<p>See <a href='http://x/y'>it</a> <code>List&lt;T&gt;</code></p>") == ["a", "b", "see", "it", "list", "t"]
     assert visible_words(None, "&lt;p&gt;x &amp;lt;br&amp;gt;&lt;/p&gt;") == ["x", "br"]
