@@ -208,7 +208,7 @@ def _small_groups(group: np.ndarray, bits, size, threshold: float):
 
 
 def near_duplicates(
-    df: DataFrame, key: str, title: str | None, body: str, threshold: float, anchors: int = 24, short: int = 24, usual: int = 64, tile: int = 4096, expand: int = 4096, bands: int = 32, rows: int = 3
+    df: DataFrame, key: str, title: str | None, body: str, threshold: float, anchors: int = 24, short: int = 24, usual: int = 64, tile: int = 4096, expand: int | None = 4096, bands: int = 32, rows: int = 3
 ) -> DataFrame:
     """(id_a, id_b), id_a < id_b: pairs of records whose bags of words have shared / all of at least `threshold`.
 
@@ -217,7 +217,7 @@ def near_duplicates(
     table gives no pairs. Records with equal bags are one class: classes are compared by representative. Links are
     written out for all members while a class pair has at most `expand` of them; beyond, as (representative,
     representative) plus (representative, member), so no link between different texts is lost and groups of copies,
-    however large, cost one row a member.
+    however large, cost one row a member. With `expand` None every pair is written out, however many.
 
     Which records meet is decided by anchors. `bands` of them join `rows` plain minwise hashes of the bag each: whatever
     the order of the words and however large the group, a pair of similarity s is missed by all of them with chance
@@ -368,8 +368,9 @@ def near_duplicates(
     return _all_members(links, repeated, expand)
 
 
-def _all_members(links: DataFrame, repeated: DataFrame, expand: int) -> DataFrame:
+def _all_members(links: DataFrame, repeated: DataFrame, expand: int | None) -> DataFrame:
     """Links of representatives and the classes of copies (id, rep, members) as pairs of records."""
+    expand = (1 << 63) - 1 if expand is None else expand
     sizes = repeated.where("id = rep").select("rep", "members")
     p = links.join(sizes.select(F.col("rep").alias("a"), F.col("members").alias("na")), "a", "left")
     p = p.join(sizes.select(F.col("rep").alias("b"), F.col("members").alias("nb")), "b", "left")

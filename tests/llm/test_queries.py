@@ -91,3 +91,12 @@ def test_found_repetition_in_short_texts(spark, tmp_path):
         rows.append((1000 + i, " ".join(words + words[: n - 1])))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"] for r in Q.QUERIES["p10_found"](spark, str(tmp_path)).collect()} == set(range(300))
+
+
+def test_found_near_duplicates_of_large_groups(spark, tmp_path):
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join(reversed(words)), " ".join([*words[:38], "x", "y"])]
+    rows = [(3 * i + k, None, texts[k]) for i in range(70) for k in range(3)]
+    spark.createDataFrame(rows, "Id long, Title string, Body string").write.parquet(f"{tmp_path}/questions.parquet")
+    found = [tuple(r) for r in Q.QUERIES["p4_found"](spark, str(tmp_path)).collect()]
+    assert len(found) == len(set(found)) and set(found) == {(i, j) for j in range(210) for i in range(j)}
