@@ -188,10 +188,14 @@ def sink_predictions(t: Tables) -> DataFrame:
 @P.add("build_index")
 @P.add("load_index")
 def sink_index(t: Tables) -> DataFrame:
-    """A whole index written and read back: every post of the metadata with the size of its sparse vector."""
+    """A whole index over Title and Body written and read back: every post of the metadata with the size of its two
+    sparse vectors together."""
     path = folder(t, "index")
-    m, docs = model(t, "Title")
-    W.write_index(m.vectors(docs, "Id", "Title"), metadata(t), path)
+    spaces = []
+    for key in ("Title", "Body"):
+        m, docs = model(t, key)
+        spaces.append(m.vectors(docs, "Id", key).withColumn("key", F.lit(key)))
+    W.write_index(spaces[0].unionByName(spaces[1]), metadata(t), path)
     sizes = t.spark.read.parquet(f"{path}/vectors").groupBy("doc").agg(F.count("*").alias("terms"))
     posts = t.spark.read.parquet(f"{path}/metadata").select("PostId", "SnippetCount")
     return posts.join(sizes, F.col("PostId") == F.col("doc"), "left").select("PostId", "SnippetCount", F.coalesce("terms", F.lit(0)).alias("terms"))

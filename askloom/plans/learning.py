@@ -5,7 +5,8 @@ from __future__ import annotations
 import pyspark.sql.functions as F
 from pyspark.sql import DataFrame, Window
 
-from askloom.functions.text import line_quality
+from askloom.functions.html import html_text
+from askloom.functions.text import clean_corpus, line_quality, normalize_text
 from askloom.operators import learning as L
 from askloom.plans.base import Part, Tables
 from askloom.plans.search import dense
@@ -22,9 +23,17 @@ def title_words(t: Tables) -> DataFrame:
     return titles(t).select(F.col("Id").alias("doc"), F.explode("ws").alias("token"))
 
 
+def corpus_words(t: Tables) -> DataFrame:
+    """(Id, ws): words of the whole corpus, one row per title, question body and answer body."""
+    q, a = t.q("Title", "Body"), t.a("Body")
+    texts = q.select("Id", F.col("Title").alias("x")).unionByName(q.select("Id", F.col("Body").alias("x"))).unionByName(a.select("Id", F.col("Body").alias("x")))
+    clean = F.trim(F.lower(normalize_text(clean_corpus(html_text(F.col("x"))))))
+    return texts.where("x is not null").select("Id", F.split(clean, r"\s+").alias("ws")).where("ws[0] <> ''")
+
+
 @P.add("fasttext_train")
 def fasttext_train(t: Tables) -> DataFrame:
-    return L.word_table(L.word_vectors_train(titles(t), "ws", dim=16, window=5, min_count=3, epochs=2))
+    return L.word_table(L.word_vectors_train(corpus_words(t), "ws", dim=16, window=5, min_count=3, epochs=2))
 
 
 @P.add("glove_cooccurrence", f"WITH w AS ({_WORDS}), k AS (SELECT Id, unnest(list_transform(ws, lambda x: lower(x))) AS token, generate_subscripts(ws, 1) AS pos FROM w) SELECT least(x.token, y.token) AS a, greatest(x.token, y.token) AS b, round(sum(1.0::DOUBLE / (y.pos - x.pos)), 6) AS x FROM k x JOIN k y ON x.Id = y.Id AND y.pos > x.pos AND y.pos <= x.pos + 10 GROUP BY 1, 2", "q")
@@ -34,7 +43,7 @@ def glove_cooccurrence(t: Tables) -> DataFrame:
 
 @P.add("glove_train")
 def glove_train(t: Tables) -> DataFrame:
-    return L.glove_train(titles(t), dim=8, min_count=3, rounds=3)
+    return L.glove_train(corpus_words(t), dim=8, min_count=3, rounds=3)
 
 
 #: A small table of word vectors from a rule, so that SQL can build it as well.

@@ -49,3 +49,23 @@ def test_entry(spark):
 
 def test_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_index_covers_bodies(spark, con):
+    from askloom.plans.base import Tables
+    from askloom.plans.search import model
+
+    got = {r["PostId"]: r["terms"] for r in entry.queries()["sink_index"](spark, DATA).collect()}
+    want = {}
+    for key in ("Title", "Body"):
+        m, docs = model(Tables(spark, DATA), key)
+        for r in m.vectors(docs, "Id", key).groupBy("doc").count().collect():
+            want[r["doc"]] = want.get(r["doc"], 0) + r["count"]
+    assert got and got == {i: want.get(i, 0) for i in got}
+
+
+@pytest.mark.parametrize("name", ["fasttext_train", "glove_train"])
+def test_word_vectors_know_words_of_bodies(spark, con, name):
+    titles = {w for (t,) in con.execute("SELECT lower(Title) FROM questions WHERE Title IS NOT NULL").fetchall() for w in t.split()}
+    got = {r["token"] for r in entry.queries()[name](spark, DATA).select("token").collect()}
+    assert len(got - titles) > 100
