@@ -110,9 +110,10 @@ def screen_scores(predicted: DataFrame) -> dict[str, float]:
     return {m: e.evaluate(predicted, {e.metricName: m}) for m in ("accuracy", "f1", "weightedPrecision", "weightedRecall")}
 
 
-def screen_grid(labelled: DataFrame, regs: list[float], folds: int = 3, seed: int = 1200) -> CrossValidatorModel:
-    """Cross-validated grid over the regularisation; folds by hash of Id, so every label is spread evenly."""
-    pipe = screen_pipeline(features=1 << 12, rounds=8)
+def screen_grid(labelled: DataFrame, regs: list[float], folds: int = 5, seed: int = 1200) -> CrossValidatorModel:
+    """Cross-validated grid over the regularisation of the model screen_train fits; folds by hash of Id, so every label
+    is spread evenly."""
+    pipe = screen_pipeline()
     grid = ParamGridBuilder().addGrid(pipe.getStages()[-1].regParam, regs).build()
     fold = F.pmod(F.xxhash64("Id", F.lit(seed)), F.lit(folds)).cast("int")
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="accuracy"), numFolds=folds, foldCol="fold", parallelism=2)

@@ -145,7 +145,7 @@ def classifier_eval(t: Tables) -> DataFrame:
 @P.add("classifier_grid")
 def classifier_grid(t: Tables) -> DataFrame:
     regs = [0.001, 0.1]
-    m = L.screen_grid(labelled(t), regs, folds=2)
+    m = L.screen_grid(labelled(t), regs)
     return t.spark.createDataFrame([(r, float(a), float(s)) for r, a, s in zip(regs, m.avgMetrics, m.stdMetrics)], "reg double, accuracy double, std double")
 
 

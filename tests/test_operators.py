@@ -105,3 +105,14 @@ def test_streaming(spark, tmp_path):
         q.stop()
     assert sorted(r["Body"] for r in spark.table("cleaned").collect()) == ["see a", "see b"]
     assert {r["token"]: r["n"] for r in spark.table("counted").collect()}["see"] == 2
+
+
+def test_grid_searches_the_model_that_is_trained(spark):
+    from askloom.operators import learning as L
+
+    rows = [(i, ["good", "text", f"w{i % 7}"] if i % 2 else ["bad", "code", f"w{i % 5}"], float(i % 2)) for i in range(60)]
+    m = L.screen_grid(spark.createDataFrame(rows, "Id long, tokens array<string>, label double"), [0.01])
+    trained = L.screen_pipeline().getStages()
+    assert m.getNumFolds() == 5
+    assert [s.getNumFeatures() for s in m.bestModel.stages[1:3]] == [s.getNumFeatures() for s in trained[1:3]]
+    assert m.bestModel.stages[-1].getMaxIter() == trained[-1].getMaxIter()
