@@ -126,14 +126,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with at least a third of their words repeated. The exact share alone decides; the band rejects none."""
+    """Documents with at least a third of their words repeated: the band rejects those that cannot, the share decides."""
     rows = repetition(table(ready(spark), sf_dir, "documents"), "doc_id", "text")
-    return rows.where("3 * repeated >= words and words > 0").select(F.col("id").alias("doc_id"))
+    return rows.where("band = 'repetitive' and 3 * repeated >= words and words > 0").select(F.col("id").alias("doc_id"))
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words, repeated words and their share."""
-    rows = repetition(table(ready(spark), sf_dir, "documents"), "doc_id", "text")
+    rows = repetition(table(ready(spark), sf_dir, "documents"), "doc_id", "text", every=True)
     return rows.select(F.col("id").alias("doc_id"), "words", "repeated", F.round("share", 6).alias("share"))
 
 

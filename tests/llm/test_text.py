@@ -1,12 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from askloom.llm.markup import clean_markup, count_units, parse, render, select_content
 from askloom.llm.mixing import mix
 from askloom.llm.packing import pack, sum_of_squares
-from askloom.llm.repetition import repeated_words, repetition
+from askloom.llm.repetition import LIMITS, Ratios, repeated_words, repetition, run_codes
 from askloom.llm.tokens import token_count
 
 H, L, C, X = "heading", "list_item", "code_block", "formula"
@@ -76,15 +77,45 @@ def test_repeated_words():
     assert repeated_words(["a"] * 6) == 5
 
 
+def third_in_isolated_runs(n, rng):
+    """Just a third of n words repeated in runs of five, none beside another: the least that compression can see."""
+    m = -(-n // 15)
+    fresh = [f"u{i}" for i in range(n - 5 * m)]
+    half = max(min(5 * m, len(fresh)), len(fresh) // 2)
+    starts = rng.sample(range(0, half - 4, max(1, (half - 4) // m)), m) if (half - 4) >= m else None
+    rest, out = fresh[half:], fresh[:half]
+    for k, s in enumerate(starts):
+        out += fresh[s : s + 5] + rest[k * len(rest) // m : (k + 1) * len(rest) // m]
+    return out
+
+
+def test_bands_lose_no_text_with_a_third_repeated():
+    rng, ratios = random.Random(2), Ratios()
+    for n in [*range(60, 420, 9), 700, 1500, 3000, 20_000, 150_000]:
+        words = third_in_isolated_runs(n, rng)
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        ids = [number[w] for w in words]
+        if 3 * repeated_words(ids) >= len(ids):
+            assert ratios.of_codes(run_codes(np.array(ids))) < min(0.99, [x for start, x in LIMITS if start <= n][-1])
+        assert n < 64 or ratios.of_codes(run_codes(np.arange(n))) >= 1.0
+
+
 def test_repetition(spark):
     rng = random.Random(1)
     noise = " ".join(f"{rng.getrandbits(64):x}" for _ in range(4000))
-    rows = [(1, "the same old phrase again. " * 50), (2, None), (3, ""), (4, noise), (5, noise + " " + noise), (6, "ä ö ü ß é " * 3), (7, "one two three")]
-    got = {r["id"]: r for r in repetition(spark.createDataFrame(rows, "id long, t string").withColumn("share", F.lit("c")), "id", "t").collect()}
+    plain = " ".join(f"word{rng.randrange(300)}" for _ in range(2000))
+    rows = [(1, "the same old phrase again. " * 50), (2, None), (3, ""), (4, noise), (5, noise + " " + noise), (6, "ä ö ü ß é " * 3), (7, "one two three"), (8, plain), (9, (noise + " ") * 5)]
+    df = spark.createDataFrame(rows, "id long, t string").withColumn("share", F.lit("c"))
+    got = {r["id"]: r for r in repetition(df, "id", "t").collect()}
     assert got[1]["share"] > 0.9 and got[1]["band"] == "repetitive"
     assert got[2]["words"] == got[3]["words"] == 0 and got[2]["share"] == 0
-    assert got[4]["share"] == 0 and got[5]["share"] == 0.5 and got[5]["band"] == "repetitive"
+    assert got[4]["share"] is None and got[4]["band"] == "ordinary" and got[5]["share"] == 0.5 and got[5]["band"] == "repetitive"
     assert got[6]["repeated"] == 10 and got[6]["band"] == "repetitive" and got[7]["repeated"] == 0
+    assert got[8]["band"] == "ordinary" and got[8]["repeated"] is None and got[9]["share"] == 0.8
+    every = {r["id"]: r for r in repetition(df, "id", "t", every=True).collect()}
+    assert every[4]["share"] == 0 and 3 * every[8]["repeated"] < every[8]["words"]
+    letters = " ".join("".join(chr(0x4E00 + rng.randrange(20_000)) for _ in range(9)) for _ in range(300))
+    assert repetition(spark.createDataFrame([(1, letters)], "id long, t string"), "id", "t").first()["band"] == "incompressible"
     assert repetition(spark.createDataFrame([], "id long, t string"), "id", "t").collect() == []
 
 
