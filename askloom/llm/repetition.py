@@ -15,7 +15,7 @@ WORD = re.compile(r"[^\W_]+")
 #: (words from, limit): a text whose ratio of run codes reaches the limit of its length is not repetitive. See `repetition`.
 LIMITS = ((0, float("inf")), (64, 1.0), (256, 0.99))
 #: (bytes of the word stream from, limit): a text whose ratio of bytes reaches it is incompressible. Short texts have none.
-INCOMPRESSIBLE = ((0, float("inf")), (512, 0.95), (1024, 0.90), (4096, 0.85))
+INCOMPRESSIBLE = ((0, float("inf")), (512, 0.75), (1024, 0.70), (4096, 0.62))
 _CHUNK, _WIDEST = 1 << 14, 27
 
 
