@@ -54,8 +54,9 @@ def pack(sizes: DataFrame, key: str, size: str, capacities: dict[int, int], wind
     empty table or no plan gives an empty result; other columns are not read. Windows never exceed their capacity.
 
     Items are dealt to shards by hash, enough that a shard fills about `windows_per_shard` windows, and each shard is
-    packed by itself: at most a few windows of a shard stay half empty, a fixed small part. A shard's rows are
-    numbers only and bounded, so no task grows with the input. `capacities` (plan -> capacity) is configuration.
+    packed by itself, online: items come in the order of a hash of their id, whatever their sizes, and none is moved
+    later. At most a few windows of a shard stay half empty, a fixed small part. A shard's rows are numbers only and
+    bounded, so no task grows with the input. `capacities` (plan -> capacity) is configuration.
     """
     items = sizes.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.greatest(F.lit(0), F.coalesce(F.col(size).cast("long"), F.lit(0))).alias("n"))
     items = cut(items)
@@ -75,10 +76,10 @@ def pack(sizes: DataFrame, key: str, size: str, capacities: dict[int, int], wind
         ]
     )
     dealt = items.select("id", "n", F.explode(plans).alias("p")).select("id", "n", "p.*")
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int")).withColumn("turn", F.xxhash64(F.lit(1), "id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "id"], ascending=[False, True], kind="stable")
+        pdf = pdf.sort_values(["turn", "id"], kind="stable")
         c, plan, shard = int(pdf["capacity"].iloc[0]), int(pdf["plan_id"].iloc[0]), int(pdf["shard"].iloc[0])
         n = pdf["n"].to_numpy()
         full = np.where(n > c, (n - 1) // c, 0)  # full pieces that are split off

@@ -100,3 +100,17 @@ def test_found_near_duplicates_of_large_groups(spark, tmp_path):
     spark.createDataFrame(rows, "Id long, Title string, Body string").write.parquet(f"{tmp_path}/questions.parquet")
     found = [tuple(r) for r in Q.QUERIES["p4_found"](spark, str(tmp_path)).collect()]
     assert len(found) == len(set(found)) and set(found) == {(i, j) for j in range(210) for i in range(j)}
+
+
+def test_shares_and_fill_of_the_larger_tables(spark):
+    """Shares within a thousandth of the target, no source beyond its repeats; windows 98 % full."""
+    data = DATA.replace("sf0.001", "sf0.01")
+    shares = Q.QUERIES["p9_shares"](spark, data).toPandas()
+    there = shares[shares["tokens"] > 0]
+    assert (abs(there["actual_share"] - there["target_share"] / there["target_share"].sum()) < 1e-3).all() and len(there) >= 15
+    cap = {r["source"]: r["max_repeats"] for r in spark.read.parquet(f"{data}/mix_targets.parquet").collect()}
+    assert all(n <= cap[s] for s, n in zip(there["source"], there["most_copies"]))
+    w = Q.QUERIES["p8_windows"](spark, data).toPandas()
+    caps = {r["plan_id"]: r["capacity_tokens"] for r in spark.read.parquet(f"{data}/pack_plans.parquet").collect()}
+    for plan, one in w.groupby("plan_id"):
+        assert one["tokens"].sum() >= 0.98 * caps[plan] * (one["window_id"].nunique() - 1) and not one.duplicated(["doc_id", "piece"]).any()
