@@ -44,10 +44,30 @@ def test_clean_text_keeps_structure():
     assert render(parse("[[http://x/y|the guide]] is {{mono|f()}} ''i''")) == "the guide is f() i"
 
 
-def test_boilerplate_path_goes():
-    text = "".join(f"<p>{'A long sentence of the article, with commas, and more. ' * 4}</p>" for _ in range(6)) + "<nav>" + "<a href='x'>z</a>" * 40 + "</nav>"
-    clean = render(select_content(parse(text), alpha=0.3))
-    assert "article" in clean and "zz" not in clean
+NAV = "<ul>" + "".join(f"<li><a href='/{i}'>Menu {i}</a></li>" for i in range(8)) + "</ul>"
+POST = "<p>A sentence of the post, with <a href='x'>a link</a>, and more.</p>" * 5 + "<h2>Top</h2><ul><li>one</li><li>two <a href='y'>three</a></li></ul><p>$a$</p>"
+
+
+@pytest.mark.parametrize("text", [NAV + POST, POST + NAV, NAV + POST + NAV, POST + "<nav>" + "<a href='z'>Menu</a> " * 9 + "</nav>", POST + "<p>" + "<a href='z'>Menu</a><br>" * 9 + "</p>"])
+def test_navigation_goes_with_its_items(text):
+    nodes = select_content(parse(text))
+    assert count_units(nodes) == count_units(parse(POST)) == (1, 2, 0, 1)
+    assert render(nodes).replace("\n", " ").count("Menu") == 0 and render(nodes).startswith("A sentence of the post, with a link, and more.")
+    assert "## Top\n\n- one\n- two three" in render(nodes)
+
+
+def test_selection_decides_counts(spark):
+    df = spark.createDataFrame([(1, NAV + POST), (2, POST)], "k long, t string")
+    assert {tuple(r) for r in clean_markup(df, "k", "t").select("id", "heading", "list_item").collect()} == {(1, 1, 2), (2, 1, 2)}
+
+
+def test_scripts_are_no_text():
+    assert render(parse("<p>a</p><script>if (x) { y(); }</script><style>p {}</style><p>b</p>")) == "a\n\nb"
+
+
+def test_lone_links_and_short_items_stay():
+    for text, units in (("<p>a</p><ul><li><a href='x'>b</a></li></ul><p>c</p>", (0, 1, 0, 0)), ("<p>" + "Long text, with marks. " * 60 + "</p><ol>" + "<li>x</li>" * 12 + "</ol>", (0, 12, 0, 0)), ("<a href='x'>b</a>", (0, 0, 0, 0))):
+        assert count_units(select_content(parse(text))) == units and "b" in render(select_content(parse(text + "<p>b</p>")))
 
 
 def test_clean_markup_rows(spark):
