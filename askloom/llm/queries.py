@@ -34,15 +34,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tag_pairs(spark: SparkSession, sf_dir: str, lift: float | None = None) -> DataFrame:
     tags = split_packed(once(table(ready(spark), sf_dir, "questions").select("Id", "Tags")), "Id", {"Tags": TAGS})
     # a question's tags come from one field, so this array is no longer than that field
-    return pair_surprise(cut(tags.groupBy("id").agg(F.collect_set(F.lower("item")).alias("tags"))), "tags")
+    return pair_surprise(cut(tags.groupBy("id").agg(F.collect_set(F.lower("item")).alias("tags"))), "tags", lift)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag pairs on two questions and a thousandth of all at least, three times as often as independence gives."""
-    found = _tag_pairs(spark, sf_dir).where("together >= 2 and 1000 * together >= baskets and together * baskets >= 3 * n_a * n_b and surprise > 0")
+    """Tag pairs on two questions and a thousandth of all at least, three times as often as independence gives: those
+    that surprise enough for it, checked by their counts."""
+    found = _tag_pairs(spark, sf_dir, lift=3.0).where("together >= 2 and 1000 * together >= baskets and together * baskets >= 3 * n_a * n_b")
     return found.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
 
 

@@ -2,10 +2,11 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from askloom.llm.cooccur import fit_configuration, pair_surprise
+from askloom.llm.cooccur import fit_configuration, least_surprise, pair_surprise
 from askloom.llm.distinctive import distinctive_terms
 from askloom.llm.topn import top_n
 
@@ -24,9 +25,20 @@ def test_pair_counts_and_surprise(spark):
     assert pair_surprise(spark.createDataFrame([(["a"],)], "tags array<string>"), "tags").collect() == []
 
 
-def test_configuration_meets_degrees():
-    import numpy as np
+def test_surprise_chooses_and_loses_no_pair(spark):
+    """Baskets of uneven size: all pairs of a lift of 3 or more come out, and some of the others do not."""
+    rng = random.Random(9)
+    items = [f"i{k}" for k in range(60)]
+    rows = [(sorted(set(rng.choices(items, [1 / (k + 1) for k in range(60)], k=rng.choice((1, 2, 2, 3, 8))))),) for _ in range(500)]
+    df = spark.createDataFrame(rows, "tags array<string>")
+    every, some = (pair_surprise(df, "tags", lift).toPandas() for lift in (None, 3.0))
+    high = every[every["together"] * every["baskets"] >= 3 * every["n_a"] * every["n_b"]]
+    assert set(map(tuple, high[["item_a", "item_b"]].values)) <= set(map(tuple, some[["item_a", "item_b"]].values))
+    assert 0 < len(high) and len(some) < 0.8 * len(every)
+    assert least_surprise(np.ones(1), np.array([10.0]), np.ones(3), 3.0) > 0.9 and least_surprise(np.zeros(0), np.zeros(0), np.zeros(0), 3.0) == 0
+
 
+def test_configuration_meets_degrees():
     sizes, ns, freqs, nf = np.array([1.0, 2, 5]), np.array([40.0, 30, 10]), np.array([5.0, 30]), np.array([12.0, 3])
     x, y = fit_configuration(sizes, ns, freqs, nf)
     p = np.outer(x, y) / (1 + np.outer(x, y))
