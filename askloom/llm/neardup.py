@@ -1,9 +1,9 @@
 """Near-duplicate records with small edits: a forest of signature trees over token bags.
 
-Each record becomes a bag of words. Records meet in trees, one tree per anchor. Anchors are of two kinds: the word
-triples with the smallest weighted hash, and bands of plain minwise hashes over the bag, whose chance to be shared
-depends on the similarity of the two bags alone. A tree holds the records of its anchor; nodes carry OR- and AND-combined token bitmaps and ranges of sizes, and a dual
-traversal drops node pairs by their maximum possible overlap. What is left is compared exactly.
+Each record becomes a bag of words. Records meet in trees, one tree per anchor. Anchors are bands of minwise hashes over
+the bag, whose chance to be shared depends on the similarity of two bags alone, not on their order nor on how many
+records there are. A tree holds the records of its anchor; nodes carry OR- and AND-combined token bitmaps and ranges of
+sizes, and a dual traversal drops node pairs by their maximum possible overlap. What is left is compared exactly.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ _TAG = re.compile(
 )
 _TARGET = re.compile(r"(?<=\])\([^()\s]*\)|\\href\{[^{}]*\}|\[\[https?://[^|\[\]\s]*\||\[https?://\S+(?=\s[^\]\n]*\])|\{\{mono\|")
 _COMMAND = re.compile(r"\\(?:begin|end)\{\w+\*?\}(?:\{\w+\})?|\\(?:textbf|texttt|textit|emph|item|(?:sub)*section)\b\*?|^(?:```|~~~)\w*", re.M)
-BUCKETS, BITS = 1 << 22, 256
+BITS = 256
 
 
 def visible_words(title: str | None, body: str | None) -> list[str]:
@@ -67,14 +67,6 @@ def _word_ids(docs: list[list[str]], cache: dict) -> tuple[np.ndarray, np.ndarra
     return np.array(flat, dtype=np.uint64), np.repeat(np.arange(len(docs)), [len(w) for w in docs])
 
 
-def _shingles(h: np.ndarray, doc: np.ndarray, sizes: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word triples of all records, and single words of records below `short` words."""
-    triple = _mix(h[:-2] * np.uint64(3) + _mix(h[1:-1] * np.uint64(5) + _mix(h[2:]))) if len(h) > 2 else h[:0]
-    inside = doc[:-2] == doc[2:] if len(h) > 2 else np.zeros(0, bool)
-    few = sizes[doc] < short
-    return np.concatenate([triple[inside], h[few]]), np.concatenate([doc[:-2][inside] if len(h) > 2 else doc[:0], doc[few]])
-
-
 def _rank(doc: np.ndarray) -> np.ndarray:
     """Position within runs of equal values."""
     start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, int)
@@ -95,21 +87,6 @@ def _bags(h, doc, n):
     return items, sizes, np.packbits(bitmap, axis=1)
 
 
-def _triples(h, doc, sizes, anchors, short, rarity):
-    """Weighted-minwise shingles of each record of a batch and how many each has. rarity[bucket] is 4*log2 of how far a
-    shingle's count lies above the usual; its weight falls with the square of that."""
-    s, sd = _shingles(h, doc, sizes, short)
-    bucket = (s % np.uint64(BUCKETS)).astype(np.int64)
-    weight = 2.0 ** (rarity[bucket] / -2.0)
-    u = ((_mix(s + np.uint64(77)) >> np.uint64(11)).astype(np.float64) + 1) / (1 << 53)
-    order = np.lexsort((s, -np.log(u) / weight, sd))
-    s, sd = s[order], sd[order]
-    keep = np.r_[True, (s[1:] != s[:-1]) | (sd[1:] != sd[:-1])] if len(s) else np.zeros(0, bool)
-    s, sd = s[keep], sd[keep]
-    keep = _rank(sd) < anchors
-    return s[keep].view(np.int64), np.bincount(sd[keep], minlength=len(sizes))
-
-
 def _bands(items: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """(records, bands) anchors over bags of at least one item: each joins `rows` minwise hashes, so two bags of
     similarity s share a given one with chance s ** rows."""
@@ -136,96 +113,107 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=1, dtype=np.int32)
 
 
-def _possible(bits_or, bits_and, low, high, excess, i, j, threshold) -> np.ndarray:
+def _possible(common, alone_i, alone_j, low_i, high_i, low_j, high_j, excess, threshold) -> np.ndarray:
     """Which node pairs can hold a pair of records of similarity >= threshold.
 
-    Shared items number at most common OR bits plus the items beyond one per bit, and at most a record's size less
-    the bits all of its node have and none of the other has. Size ranges bound the rest.
+    Shared items number at most the `common` OR bits plus the items beyond one per bit (`excess`), and at most a record's
+    size less the bits all of its node have and none of the other has (`alone`). Size ranges bound the rest.
     """
-    shared = _popcount(bits_or[i] & bits_or[j]) + np.minimum(excess[i], excess[j])
-    shared = np.minimum(shared, high[i] - _popcount(bits_and[i] & ~bits_or[j]))
-    shared = np.minimum(shared, high[j] - _popcount(bits_and[j] & ~bits_or[i]))
-    shared = np.minimum(shared, np.minimum(high[i], high[j]))
+    shared = np.minimum(common + excess, np.minimum(high_i - alone_i, high_j - alone_j))
+    shared = np.minimum(shared, np.minimum(high_i, high_j))
     # shared / (a + b - shared) grows with shared and falls with a and b; a, b >= shared
-    rest = np.maximum(low[i], shared) + np.maximum(low[j], shared) - shared
+    rest = np.maximum(low_i, shared) + np.maximum(low_j, shared) - shared
     return shared >= threshold * np.maximum(rest, 1)
 
 
-def tree_pairs(bits: np.ndarray, size: np.ndarray, order: np.ndarray, side: np.ndarray | None, threshold: float, fan: int = 8, chunk: int = 32_768):
-    """Index pairs (i < j, or i of side 0 and j of side 1) that survive the dual traversal of one signature tree."""
-    n = len(size)
-    by = np.lexsort((order, size * 0 if side is None else side))
-    levels = [dict(o=bits[by], a=bits[by], lo=size[by], hi=size[by], ex=size[by] - _popcount(bits[by]))]
-    while len(levels[-1]["lo"]) > fan:
-        v = levels[-1]
-        cuts = np.arange(0, len(v["lo"]), fan)
-        levels.append(
-            dict(
-                o=np.bitwise_or.reduceat(v["o"], cuts),
-                a=np.bitwise_and.reduceat(v["a"], cuts),
-                lo=np.minimum.reduceat(v["lo"], cuts),
-                hi=np.maximum.reduceat(v["hi"], cuts),
-                ex=np.maximum.reduceat(v["ex"], cuts),
-            )
+def forest_pairs(
+    group: np.ndarray, bits: np.ndarray, size: np.ndarray, order: np.ndarray, side: np.ndarray | None, threshold: float, fan: int = 8, chunk: int = 65_536
+) -> np.ndarray:
+    """Index pairs that survive the dual traversal of signature trees, one tree for every value of `group`.
+
+    `group` is sorted. All trees are built and walked together, level by level: a node covers up to `fan` nodes of the
+    level below, of one tree, in the order of (`side`, `order`); a tree is walked from the level at which one node covers
+    it. With `side`, only pairs of different sides come out.
+    """
+    n = len(group)
+    by = np.lexsort((order, group)) if side is None else np.lexsort((order, side, group))
+    bit, count = bits[by], _popcount(bits[by])
+    level = dict(tree=group[by], o=bit, a=bit, ones=count, lo=size[by], hi=size[by], ex=size[by] - count)
+    levels, roots = [], []
+    while n:
+        tree = level["tree"]
+        new = np.r_[True, tree[1:] != tree[:-1]]
+        single = new & np.r_[new[1:], True]
+        levels.append(level)
+        roots.append(np.flatnonzero(single))
+        rest = np.flatnonzero(~single)
+        if not len(rest):
+            break
+        at = rest[_rank(tree[rest]) % fan == 0]
+        # nodes of one tree lie together, so the children of a node end where the next one of its tree, or its tree, ends
+        ends = np.flatnonzero(np.r_[new[1:], True]) + 1
+        tree_end = np.repeat(ends, np.diff(np.r_[0, ends]))
+        children = np.minimum(at + fan, tree_end[at]) - at
+        starts = np.repeat(at - np.r_[0, np.cumsum(children)[:-1]], children) + np.arange(children.sum())
+        cuts = np.r_[0, np.cumsum(children)[:-1]]
+        v = {k: level[k][starts] for k in ("o", "a", "lo", "hi", "ex")}
+        level = dict(
+            tree=tree[at],
+            first=at,
+            children=children,
+            o=np.bitwise_or.reduceat(v["o"], cuts),
+            a=np.bitwise_and.reduceat(v["a"], cuts),
+            lo=np.minimum.reduceat(v["lo"], cuts),
+            hi=np.maximum.reduceat(v["hi"], cuts),
+            ex=np.maximum.reduceat(v["ex"], cuts),
         )
-    i, j = np.triu_indices(len(levels[-1]["lo"]))
-    stack, found = [(len(levels) - 1, i, j)], []
+    stack, found = [(k, r, r) for k, r in enumerate(roots) if k and len(r)], []
     while stack:
-        level, i, j = stack.pop()
+        k, i, j = stack.pop()
         if len(i) > chunk:
-            stack += [(level, i[s : s + chunk], j[s : s + chunk]) for s in range(0, len(i), chunk)]
+            stack += [(k, i[s : s + chunk], j[s : s + chunk]) for s in range(0, len(i), chunk)]
             continue
-        v = levels[level]
-        ok = _possible(v["o"], v["a"], v["lo"], v["hi"], v["ex"], i, j, threshold)
+        v = levels[k]
+        common = _popcount(v["o"][i] & v["o"][j])
+        if k:
+            alone_i, alone_j = _popcount(v["a"][i] & ~v["o"][j]), _popcount(v["a"][j] & ~v["o"][i])
+        else:  # a record has its OR bits and AND bits alike
+            alone_i, alone_j = v["ones"][i] - common, v["ones"][j] - common
+        ok = _possible(common, alone_i, alone_j, v["lo"][i], v["hi"][i], v["lo"][j], v["hi"][j], np.minimum(v["ex"][i], v["ex"][j]), threshold)
         i, j = i[ok], j[ok]
-        if level == 0:
-            found.append(np.stack([i[i < j], j[i < j]], 1))
+        if not k:
+            found.append(np.stack([i, j], 1))
             continue
-        below = len(levels[level - 1]["lo"])
-        ci = (i[:, None] * fan + np.arange(fan)[None, :])[:, :, None]
-        cj = (j[:, None] * fan + np.arange(fan)[None, :])[:, None, :]
-        ci, cj = (x.ravel() for x in np.broadcast_arrays(ci, cj))
-        keep = (ci <= cj) & (cj < below)
-        stack.append((level - 1, ci[keep], cj[keep]))
-    pairs = np.concatenate(found or [np.zeros((0, 2), int)])
-    pairs = by[pairs]
-    if side is not None and n:
-        pairs = pairs[side[pairs[:, 0]] != side[pairs[:, 1]]]
-    return pairs
-
-
-def _small_groups(group: np.ndarray, bits, size, threshold: float):
-    """Pairs inside runs of equal `group`, all small, at once: leaf level only."""
-    zero, found, d = size - _popcount(bits), [], 1
-    i = np.arange(len(group) - 1)
-    while len(i):
-        i = i[i + d < len(group)]
-        i = i[group[i] == group[i + d]]
-        ok = _possible(bits, bits, size, size, zero, i, i + d, threshold)
-        found.append(np.stack([i[ok], i[ok] + d], 1))
-        d += 1
-    return np.concatenate(found or [np.zeros((0, 2), int)])
+        ni, nj = v["children"][i], v["children"][j]
+        many = ni * nj
+        pair = np.repeat(np.arange(len(i)), many)
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        ci, cj = v["first"][i][pair] + step // nj[pair], v["first"][j][pair] + step % nj[pair]
+        keep = (ci < cj) if k == 1 else (ci <= cj)
+        if keep.any():
+            stack.append((k - 1, ci[keep], cj[keep]))
+    pairs = by[np.concatenate(found or [np.zeros((0, 2), int)])]
+    return pairs if side is None else pairs[side[pairs[:, 0]] != side[pairs[:, 1]]]
 
 
 def near_duplicates(
-    df: DataFrame, key: str, title: str | None, body: str, threshold: float, anchors: int = 24, short: int = 24, usual: int = 64, tile: int = 4096, expand: int | None = 4096, bands: int = 32, rows: int = 3
+    df: DataFrame, key: str, title: str | None, body: str, threshold: float, tile: int = 4096, expand: int | None = 4096, bands: int = 64, rows: int = 4, most_sent: int = 100_000
 ) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs of records whose bags of words have shared / all of at least `threshold`.
+    """(id_a, id_b, kind), id_a < id_b: pairs of records whose bags of words have shared / all of at least `threshold`.
 
     Words count as often as they occur. Records with a null key or null body leave, a null title is empty; records
     without words have no similarity and no pairs; keys are unique integers; other columns are not read. An empty
     table gives no pairs. Records with equal bags are one class: classes are compared by representative. Links are
-    written out for all members while a class pair has at most `expand` of them; beyond, as (representative,
-    representative) plus (representative, member), so no link between different texts is lost and groups of copies,
-    however large, cost one row a member. With `expand` None every pair is written out, however many.
-
-    Which records meet is decided by anchors. `bands` of them join `rows` plain minwise hashes of the bag each: whatever
-    the order of the words and however large the group, a pair of similarity s is missed by all of them with chance
-    (1 - s ** rows) ** bands. `anchors` more are weighted-minwise word triples out of the whole text: a triple in more
-    than `usual` records weighs less by the square of its count, so that their pairs grow with the number of records,
-    not with its square. Counts of triples cover class representatives, each triple once a record; they arrive as one
-    byte for each of BUCKETS buckets, whatever the data. A tree of more than `tile` records is split into blocks, each
-    pair of blocks a task of its own: nothing is capped.
+    written out for all members, as kind `pair`, while a class pair has at most `expand` of them; beyond, as one link of
+    the representatives of kind `classes` plus kind `member` from a representative to each member, so no link between
+    different texts is lost and groups of copies, however large, cost one row a member. With `expand` None every pair
+    is written out, however many.
+
+    Which records meet is decided by `bands` anchors, which join `rows` minwise hashes of the bag each: whatever the
+    order of the words and however large the group, a pair of similarity s is missed by all with chance
+    (1 - s ** rows) ** bands, which is 0.0008 at 0.57, 0.0001 at 0.6 and 0.000001 at 0.66. Trees of more than `tile`
+    records are split into blocks, each pair of blocks a task of its own: nothing is capped. The anchors of such trees
+    are broadcast while they are at most `most_sent`, else joined.
     """
     texts = df.where(F.col(key).isNotNull() & F.col(body).isNotNull())
     texts = texts.select(F.col(key).cast("long").alias("id"), (F.col(title) if title else F.lit("")).alias("t"), F.col(body).alias("b"))
@@ -238,16 +226,14 @@ def near_duplicates(
             items, sizes, bitmap = _bags(h, doc, len(docs))
             ends = np.cumsum(sizes)
             bags = [items[e - n : e].tobytes() for e, n in zip(ends, sizes)]
-            short_h = h.astype(np.uint32)
-            text = [short_h[e - n : e].tobytes() for e, n in zip(ends, sizes)]
             digest = [xxhash.xxh128_digest(b) for b in bags]
             least = [int(items[e - n]) if n else 0 for e, n in zip(ends, sizes)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digest, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(bags, pa.binary()), pa.array(text, pa.binary()), pa.array([b.tobytes() for b in bitmap], pa.binary()), pa.array(least, pa.int64())],
-                ["id", "digest", "size", "bag", "text", "bits", "least"],
+                [batch.column(0), pa.array(digest, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(bags, pa.binary()), pa.array([b.tobytes() for b in bitmap], pa.binary()), pa.array(least, pa.int64())],
+                ["id", "digest", "size", "bag", "bits", "least"],
             )
 
-    schema = "id long, digest binary, size int, bag binary, text binary, bits binary, least long"
+    schema = "id long, digest binary, size int, bag binary, bits binary, least long"
     described = cut(texts.mapInArrow(describe, schema).where("size > 0"))
     classes = described.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
     repeated = cut(described.select("id", "digest").join(classes.where("members > 1"), "digest").select("id", "rep", "members"))
@@ -256,48 +242,21 @@ def near_duplicates(
     def numbers(col: pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(col.to_pylist()), np.uint32)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
-        for batch in batches:
-            sizes = batch.column(0).to_numpy()
-            s, sd = _shingles(numbers(batch.column(1)).astype(np.uint64), np.repeat(np.arange(len(sizes)), sizes), sizes, short)
-            order = np.lexsort((s, sd))
-            s, sd = s[order], sd[order]
-            s = s[np.r_[True, (s[1:] != s[:-1]) | (sd[1:] != sd[:-1])]] if len(s) else s
-            total += np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
-
-    buckets = cut(reps.select("size", "text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
-    usual_count = max(4 * (buckets.agg(F.sum("n")).first()[0] or 0) / BUCKETS, usual)
-    hot = buckets.where(F.col("n") > usual_count).toPandas()
-    rarity = np.zeros(BUCKETS, dtype=np.uint8)
-    rarity[hot["bucket"].to_numpy()] = np.minimum(255, np.round(4 * np.log2(hot["n"].to_numpy() / usual_count)))
-    shared = df.sparkSession.sparkContext.broadcast(rarity)
-
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sizes = batch.column(1).to_numpy()
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            chosen, n = _triples(numbers(batch.column(5)).astype(np.uint64), doc, sizes, anchors, short, shared.value)
-            joined = _bands(numbers(batch.column(4)), sizes, bands, rows)
-            ends = np.cumsum(n)
-            every = np.insert(joined.ravel(), np.repeat(np.arange(len(n)) * bands, n), chosen)
-            offsets = pa.array(np.r_[0, ends + bands * np.arange(1, len(n) + 1)].astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(offsets, pa.array(every))], ["id", "size", "bits", "least", "anchors"])
-
-    chosen = reps.select("id", "size", "bits", "least", "bag", "text").mapInArrow(choose, "id long, size int, bits binary, least long, anchors array<long>")
-    reps = cut(chosen)
-
-    routed = reps.select(F.explode("anchors").alias("anchor"), "id", "size", "bits", "least")
-    total = reps.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    tile = max(tile, total // 100_000)  # so that crowded anchors number at most 100,000
-    load = routed.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+            joined = _bands(numbers(batch.column(4)), batch.column(1).to_numpy(), bands, rows)
+            offsets = pa.array(np.arange(0, bands * batch.num_rows + 1, bands, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(offsets, pa.array(joined.ravel()))], ["id", "size", "bits", "least", "anchors"])
+
+    chosen = reps.select("id", "size", "bits", "least", "bag").mapInArrow(choose, "id long, size int, bits binary, least long, anchors array<long>")
+    routed = cut(chosen).select(F.explode("anchors").alias("anchor"), "id", "size", "bits", "least")
+    load = routed.groupBy("anchor").agg(F.count("*").alias("n"))
     crowded = cut(load.where(F.col("n") > tile).select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("blocks")))
+    many = crowded.count()
     # crowded anchors have their rows meet block by block
-    placed = routed.join(F.broadcast(crowded), "anchor", "left")
+    placed = routed.join(F.broadcast(crowded) if many <= most_sent else crowded, "anchor", "left")
     usual = placed.where("blocks is null").select("anchor", "id", "size", "bits", "least")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -307,22 +266,19 @@ def near_duplicates(
     def words(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
         return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        anchor = t["anchor"].to_numpy()
+        start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        length = np.diff(np.r_[start, len(anchor)])
+        t = t.filter(pa.array(np.repeat(length > 1, length)))
+        tree = np.repeat(np.arange((length > 1).sum()), length[length > 1])
+        ids = t["id"].to_numpy()
+        p = forest_pairs(tree, words(t["bits"]), t["size"].to_numpy(), t["least"].to_numpy(), None, threshold)
+        p = np.unique(np.sort(ids[p], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def pairs_of(t: pa.Table) -> pa.RecordBatch:
-            ids, size, bits, least, anchor = t["id"].to_numpy(), t["size"].to_numpy(), words(t["bits"]), t["least"].to_numpy(), t["anchor"].to_numpy()
-            start = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
-            length = np.diff(np.r_[start, len(anchor)])
-            little = np.repeat((length > 1) & (length <= 64), length)
-            at = np.flatnonzero(little)
-            out = [at[_small_groups(anchor[at], bits[at], size[at], threshold)]]
-            for s, n in zip(start[length > 64], length[length > 64]):
-                out.append(s + tree_pairs(bits[s : s + n], size[s : s + n], least[s : s + n], None, threshold))
-            p = np.sort(ids[np.concatenate(out)], axis=1)
-            p = np.unique(p, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
         for batch in batches:  # sorted by anchor; the last anchor of a batch may go on in the next
             if not batch.num_rows:
                 continue
@@ -343,16 +299,17 @@ def near_duplicates(
         x, y = t["x"][0].as_py(), t["y"][0].as_py()
         if x == y:
             _, at = np.unique(ids, return_index=True)
-            p = at[tree_pairs(bits[at], size[at], least[at], None, threshold)]
+            p = at[forest_pairs(np.zeros(len(at), int), bits[at], size[at], least[at], None, threshold)]
         else:
-            p = tree_pairs(bits, size, least, (t["own"].to_numpy() == y).astype(int), threshold)
+            p = forest_pairs(np.zeros(len(ids), int), bits, size, least, (t["own"].to_numpy() == y).astype(int), threshold)
         p = np.unique(np.sort(ids[p], axis=1), axis=0)
         return pa.table({"a": p[:, 0], "b": p[:, 1]})
 
     met = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(walk, "a long, b long")
-    met = met.unionByName(blocks.groupBy("anchor", "x", "y").applyInArrow(meet, "a long, b long")).distinct()
+    if many:
+        met = met.unionByName(blocks.groupBy("anchor", "x", "y").applyInArrow(meet, "a long, b long"))
     bag = described.select("id", "bag")
-    both = met.join(bag.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bag.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
+    both = met.distinct().join(bag.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bag.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -375,7 +332,7 @@ def _all_members(links: DataFrame, repeated: DataFrame, expand: int | None) -> D
     p = links.join(sizes.select(F.col("rep").alias("a"), F.col("members").alias("na")), "a", "left")
     p = p.join(sizes.select(F.col("rep").alias("b"), F.col("members").alias("nb")), "b", "left")
     p = p.withColumn("all", F.coalesce("na", F.lit(1)) * F.coalesce("nb", F.lit(1)))
-    plain = p.where((F.col("all") == 1) | (F.col("all") > expand)).select("a", "b")
+    plain = p.where((F.col("all") == 1) | (F.col("all") > expand)).select("a", "b", F.when(F.col("all") == 1, "pair").otherwise("classes").alias("kind"))
     wide = p.where((F.col("all") > 1) & (F.col("all") <= expand)).select("a", "b")
     few = repeated.where(F.col("members") <= expand)
     wide = wide.join(few.select(F.col("rep").alias("a"), F.col("id").alias("ia")), "a", "left").join(few.select(F.col("rep").alias("b"), F.col("id").alias("ib")), "b", "left")
@@ -383,5 +340,6 @@ def _all_members(links: DataFrame, repeated: DataFrame, expand: int | None) -> D
     small = repeated.where(F.col("members") * F.col("members") <= expand).select("rep", "id")
     inner = small.join(small.withColumnRenamed("id", "id2"), "rep").where("id < id2").select(F.col("id").alias("a"), F.col("id2").alias("b"))
     star = repeated.where((F.col("members") * F.col("members") > expand) & (F.col("id") != F.col("rep"))).select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    out = plain.unionByName(wide).unionByName(inner).unionByName(star)
-    return out.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
+    pairs = wide.unionByName(inner).withColumn("kind", F.lit("pair"))
+    out = plain.unionByName(pairs).unionByName(star.withColumn("kind", F.lit("member")))
+    return out.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "kind")

@@ -56,7 +56,7 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of questions whose words are mostly the same; every pair of a group of copies, however large."""
     q = once(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
-    return near_duplicates(q, "Id", "Title", "Body", 0.57, expand=None)
+    return near_duplicates(q, "Id", "Title", "Body", 0.57, expand=None).select("id_a", "id_b")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from askloom.llm.knn import most_similar, rotation
-from askloom.llm.neardup import near_duplicates, visible_words
+from askloom.llm.neardup import forest_pairs, near_duplicates, visible_words
 
 
 def brute(rows, k, floor):
@@ -71,19 +71,38 @@ def test_near_duplicates_equal_brute_force(spark, tile):
     rows = make(150, 3)
     rows += [(5000 + i, rows[0][1], rows[0][2]) for i in range(4)] + [(6000, None, rows[1][2]), (6001, "x", None), (6002, None, ""), (6003, "", "<p></p>"), (6004, "same short", "one"), (6005, "same", "<b>short</b> one"), (None, "t", rows[0][2])]
     df = spark.createDataFrame(rows, "k long, t string, b string").withColumn("id", F.lit("clash"))
-    got = [tuple(r) for r in near_duplicates(df, "k", "t", "b", 0.57, tile=tile).collect()]
+    got = [tuple(r)[:2] for r in near_duplicates(df, "k", "t", "b", 0.57, tile=tile).collect()]
     assert len(got) == len(set(got))
     words = [(i, visible_words(t, b)) for i, t, b in rows if i is not None and b is not None]
     want = {(min(i, j), max(i, j)) for x, (i, a) in enumerate(words) for j, b in words[x + 1 :] if a and b and jaccard(a, b) >= 0.57}
     assert set(got) == want
 
 
+def test_forest_equals_all_pairs_it_may_keep():
+    """Trees of every size at once: every pair of one tree above the threshold is there, and far fewer than all."""
+    rng = np.random.default_rng(3)
+    sizes = [1, 2, 3, 8, 9, 64, 65, 700]
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    base = rng.random((40, 256)) < 0.3
+    flags = base[rng.integers(0, 40, len(group))] ^ (rng.random((len(group), 256)) < 0.03)
+    bits, size = np.packbits(flags, axis=1).view(np.uint64), flags.sum(1)
+    shared = flags.astype(int) @ flags.T.astype(int)
+    alike = (shared >= 0.57 * (size[:, None] + size[None, :] - shared)) & (group[:, None] == group[None, :])
+    want = {(i, j) for i, j in zip(*np.nonzero(alike)) if i < j}
+    got = [tuple(sorted(p)) for p in forest_pairs(group, bits, size, np.arange(len(group)), None, 0.57).tolist()]
+    assert len(got) == len(set(got)) and set(got) == want
+    side = rng.integers(0, 2, len(group))
+    assert {tuple(sorted(p)) for p in forest_pairs(group, bits, size, size, side, 0.57).tolist()} == {(i, j) for i, j in want if side[i] != side[j]}
+    assert len(forest_pairs(group[:0], bits[:0], size[:0], size[:0], None, 0.57)) == 0
+
+
 def test_near_duplicates_of_many_copies(spark):
     text = " ".join(f"c{i}" for i in range(50))
     rows = [(i, text) for i in range(100)] + [(200 + i, text.replace("c7 ", "other ")) for i in range(100)] + [(900, text.replace("c9 ", ""))]
-    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "k long, b string"), "k", None, "b", 0.57, expand=64).collect()}
+    got = {tuple(r)[:2]: r["kind"] for r in near_duplicates(spark.createDataFrame(rows, "k long, b string"), "k", None, "b", 0.57, expand=64).collect()}
+    assert got[0, 1] == "member" and got[0, 200] == "classes"
     # beyond `expand`: representatives are linked, and every copy to its representative
-    assert {(0, i) for i in range(1, 100)} | {(200, 200 + i) for i in range(1, 100)} | {(0, 200), (0, 900), (200, 900)} == got
+    assert {(0, i) for i in range(1, 100)} | {(200, 200 + i) for i in range(1, 100)} | {(0, 200), (0, 900), (200, 900)} == set(got)
     assert near_duplicates(spark.createDataFrame([], "k long, b string"), "k", None, "b", 0.57).collect() == []
 
 
@@ -99,7 +118,7 @@ def test_near_duplicates_beside_thousands_of_copies(spark):
     base = [f"c{i}" for i in range(100)]
     texts = {i: base for i in range(4000)} | {5000 + i: edited(base, 12, rng, f"e{i}") for i in range(12)}
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "k long, b string")
-    got = {tuple(r) for r in near_duplicates(df, "k", None, "b", 0.57, expand=64).collect()}
+    got = {tuple(r)[:2] for r in near_duplicates(df, "k", None, "b", 0.57, expand=64).collect()}
     different = [0, *range(5000, 5012)]
     want = {(i, j) for x, i in enumerate(different) for j in different[x + 1 :] if jaccard(texts[i], texts[j]) >= 0.57}
     assert len(want) > 60 and want == {p for p in got if p[1] >= 5000}
@@ -129,7 +148,7 @@ def test_near_duplicates_in_another_order(spark):
         texts[2 * i] = words
         texts[2 * i + 1] = rng.sample(edited(words, 1, rng, "e"), len(words))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "k long, b string")
-    got = {tuple(r) for r in near_duplicates(df, "k", None, "b", 0.57).collect()}
+    got = {tuple(r)[:2] for r in near_duplicates(df, "k", None, "b", 0.57).collect()}
     assert got == {(i, i + 1) for i in range(0, 120, 2)}
 
 
