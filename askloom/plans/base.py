@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askloom.session import once, ready, table
+from askloom.session import once, once_wide, ready, table
 
 #: Short names for the tables with repeated rows counted once, in SQL.
 VIEWS = {
@@ -32,11 +32,15 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
+    def _posts(self, name: str, cols: tuple[str, ...]) -> DataFrame:
+        rows = self.raw(name).select("Id", *cols)
+        return once_wide(rows) if {"Body", "Snippets"} & set(cols) else once(rows)
+
     def q(self, *cols: str) -> DataFrame:
-        return once(self.raw("questions").select("Id", *cols))
+        return self._posts("questions", cols)
 
     def a(self, *cols: str) -> DataFrame:
-        return once(self.raw("answers").select("Id", *cols))
+        return self._posts("answers", cols)
 
     def c(self, *cols: str) -> DataFrame:
         """Comments; of the copies of a row the one with the highest score."""

@@ -41,12 +41,16 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir. Only a session without one (tests, a laptop) gets a temporary folder."""
+    """The cluster's spark.checkpoint.dir. Only a session without one that runs in one process (tests, a laptop) gets a
+    temporary folder; on a cluster a missing setting is an error."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="askloom-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and on_cluster(spark):
+        raise ValueError("spark.checkpoint.dir names no folder which all executors share")
+    named = named or tempfile.mkdtemp(prefix="askloom-")
     sc.setCheckpointDir(named)
     return named
 
@@ -64,3 +68,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def once(df: DataFrame, key: str = "Id") -> DataFrame:
     """Rows with a key, repeated rows counted once. Rows whose key is null have no identity and leave."""
     return df.where(F.col(key).isNotNull()).dropDuplicates([key])
+
+
+def once_wide(df: DataFrame, key: str = "Id", most_sent: int = 1_000_000) -> DataFrame:
+    """What `once` gives, of a scan of files with long columns, which are not shuffled: keys alone are counted, and of the
+    rows of a key that stands more than once the first by file and place stays. Keys that repeat are broadcast while
+    they are at most `most_sent` (32 bytes each), else joined."""
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    rows = df.where(F.col(key).isNotNull()).select(*df.columns, place.alias("_place"))
+    keys = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    repeated = cut(keys.where("_n > 1").select("_key", "_first"))
+    n = repeated.count()
+    if not n:
+        return rows.drop("_place")
+    sent = F.broadcast(repeated) if n <= most_sent else repeated
+    kept = rows.join(sent, F.col(key) == F.col("_key"), "left").where("_key is null or _place = _first")
+    return kept.select(*df.columns)
+
+
+def on_cluster(spark: SparkSession) -> bool:
+    """Whether executors may run on other machines, so that a folder of this one is of no use to them."""
+    return not spark.sparkContext.master.startswith("local")

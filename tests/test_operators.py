@@ -116,3 +116,14 @@ def test_grid_searches_the_model_that_is_trained(spark):
     assert m.getNumFolds() == 5
     assert [s.getNumFeatures() for s in m.bestModel.stages[1:3]] == [s.getNumFeatures() for s in trained[1:3]]
     assert m.bestModel.stages[-1].getMaxIter() == trained[-1].getMaxIter()
+
+
+def test_once_without_moving_texts(spark, tmp_path):
+    from askloom.session import once_wide
+
+    rows = [(1, "a"), (2, "b"), (1, "a"), (None, "c"), (3, None), (3, None), (3, None)]
+    spark.createDataFrame(rows, "Id long, t string").repartition(3).write.parquet(f"{tmp_path}/x")
+    for most in (10, 0):
+        got = once_wide(spark.read.parquet(f"{tmp_path}/x"), "Id", most)
+        assert got.columns == ["Id", "t"] and sorted(map(tuple, got.collect()), key=str) == [(1, "a"), (2, "b"), (3, None)]
+    assert once_wide(spark.read.parquet(f"{tmp_path}/x").where("Id = 2").select("t", "Id")).collect() == [("b", 2)]
