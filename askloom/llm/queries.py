@@ -18,7 +18,7 @@ from askloom.llm.repetition import repetition
 from askloom.llm.tokens import token_count
 from askloom.llm.topn import top_n
 from askloom.operators.packed import TAGS, split_packed
-from askloom.session import cut, once, ready, table
+from askloom.session import cut, once, once_wide, ready, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,13 +55,13 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of questions whose words are mostly the same; every pair of a group of copies, however large."""
-    q = once(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
+    q = once_wide(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
     return near_duplicates(q, "Id", "Title", "Body", 0.57, expand=None).select("id_a", "id_b")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question's highest tf * ln(questions / df) term, where at most 5 questions hold it."""
-    q = once(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
+    q = once_wide(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
     rows, n = distinctive_terms(q, "Id", ["Title", "Body"], adjust=False)
     weight = F.col("tf") * F.log(F.lit(n) / F.col("df"))
     best = rows.groupBy("id").agg(F.min(F.struct((-weight).alias("w"), "term", "df", "score")).alias("best"))
@@ -70,7 +70,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every question's terms with enrichment of at most 1 in 1000 after adjustment."""
-    q = once(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
+    q = once_wide(table(ready(spark), sf_dir, "questions").select("Id", "Title", "Body"))
     rows, _ = distinctive_terms(q, "Id", ["Title", "Body"])
     return rows.where("q <= 0.001").select("id", "term", "tf", "df", F.round("score", 6).alias("score"), F.round("q", 9).alias("q"))
 
@@ -99,7 +99,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean text of every question body."""
-    q = once(table(ready(spark), sf_dir, "questions").select("Id", "Body"))
+    q = once_wide(table(ready(spark), sf_dir, "questions").select("Id", "Body"))
     return clean_markup(q, "Id", "Body").select("id", "clean", *UNITS)
 
 
