@@ -110,18 +110,13 @@ def extract_parts(c: Column, tag: str = "code") -> Column:
 
 
 def replace_pre(c: Column, tag: str = "pre") -> Column:
-    """Visible text in which each `tag` element is its sequence of API tokens."""
+    """Visible text in which each `tag` element is its API tokens: each once, without prefixes, apart by blanks; code that
+    does not parse or has none leaves nothing."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        from askloom.functions.code import sequence
+        from askloom.functions.code import sequence_tokens
 
-        return s.map(lambda x: None if x is None else read_html(x, tag, replace=lambda code: ", ".join(sequence(code)))[0])
+        return s.map(lambda x: None if x is None else read_html(x, tag, replace=lambda code: " ".join(sequence_tokens(code, unique=True)))[0])
 
     return run(c)
-
-
-def extract_code_fast(c: Column) -> Column:
-    """The raw contents of plain <code> elements, stripped, without the empty ones; inside the JVM, no entities."""
-    raw = F.regexp_extract_all(c, F.lit(r"(?s)<code>(.*?)</code>"), F.lit(1))
-    return F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != "")

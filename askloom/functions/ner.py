@@ -23,7 +23,7 @@ CLASSES = (
     ("AllLetter", "UL"),
     ("AllAlnum", "ULD"),
 )
-_KIND = {"U": "A-Z", "L": "a-z", "D": "0-9,.", "S": "^A-Za-z0-9,."}
+_KIND = {"U": r"\p{Lu}", "L": r"\p{Ll}", "D": r"\p{Nd},."}
 API = r"^(?:[a-zA-Z_$][a-zA-Z0-9_$]*\(\)$|([a-zA-Z_$][a-zA-Z0-9_$]*\.)+[a-zA-Z_$][a-zA-Z0-9_$]*(\(\))?)"
 CAMEL = r"^([a-z]+[A-Z]+\w+)+"
 
@@ -38,14 +38,14 @@ def class_pattern(kinds: str) -> str:
 def token_type(c: Column) -> Column:
     out = F.lit("NO")
     for name, kinds in reversed(CLASSES):
-        hit = c.rlike("^[A-Z]") if name == "InitUpper" else c.rlike(class_pattern(kinds))
+        hit = c.rlike(r"^\p{Lu}") if name == "InitUpper" else c.rlike(class_pattern(kinds))
         out = F.when(hit, name).otherwise(out)
     return out
 
 
 def token_shape(c: Column) -> Column:
     """Characters as U L D . - ( ); everything else is -."""
-    for pattern, to in ((r"[^A-Za-z0-9._(){}\[\]<>]", "-"), (r"[A-Z]", "\u0001"), (r"[a-z]", "\u0002"), (r"[0-9]", "\u0003"), (r"[._]", "."), (r"[({\[<]", "("), (r"[)}\]>]", ")")):
+    for pattern, to in ((r"[^\p{Lu}\p{Ll}\p{Nd}._(){}\[\]<>]", "-"), (r"\p{Lu}", "\u0001"), (r"\p{Ll}", "\u0002"), (r"\p{Nd}", "\u0003"), (r"[._]", "."), (r"[({\[<]", "("), (r"[)}\]>]", ")")):
         c = F.regexp_replace(c, pattern, to)
     return F.translate(c, "\u0001\u0002\u0003", "ULD")
 
@@ -60,7 +60,7 @@ def token_flags(c: Column, strict_compat: bool = False) -> dict[str, Column]:
         "brac": flag(c.endswith("()")),
         "dot": flag(c.contains(".")),
         "uscr": flag(c.contains("_")),
-        "init_cap": flag(c.rlike("^[A-Z]")),
+        "init_cap": flag(c.rlike(r"^\p{Lu}")),
         "ccase": F.lit("F") if strict_compat else flag(c.rlike(CAMEL)),
         "api_ptrn": flag(c.rlike(API)),
     }

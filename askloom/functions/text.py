@@ -14,10 +14,11 @@ LONG_RUN = r"[^ \\.]{40,}"
 PUNCT_RUN = r"[!-/:-@\[-`{-~]{4,}"
 PUNCT_LISTED = r"""[!"%&$^*@`~(),?=/\\|<:;>{}\-\[\]]"""
 SEPARATORS = r"[-=+*#_]{4,}"
-WINDOWS_PATH = r"(?:[A-Za-z]:)?(?:\\[A-Za-z0-9_.$-]+)+"
-LARGE_TOKEN = r"[a-b0-9]{50,}|[*-=]{3,}"
+# two segments of two characters or more; a longer path is a second segment that holds backslashes
+WINDOWS_PATH = r"\b(?:[Cc]:)?\\\S{2,}\\\S{2,}\b"
+LARGE_TOKEN = r"[a-b0-9]{50,}|[*-=+~#!_]{3,}"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-HAPPY, SAD = r"[:;=]-?[)\]D]", r"[:;=]-?[(\[]"
+HAPPY, SAD = r"\^_\^|[:=8][oO-]?[)\]D]", r"[:=8][oO-]?[(\[]"
 
 
 def squeeze(c: Column) -> Column:
@@ -81,7 +82,7 @@ def remove_paths(c: Column) -> Column:
 
 
 def remove_large_tokens(c: Column) -> Column:
-    return F.regexp_replace(c, LARGE_TOKEN, " ")
+    return F.regexp_replace(c, LARGE_TOKEN, "")
 
 
 def backtick_strip(c: Column) -> Column:

@@ -23,6 +23,15 @@ VIEWS = {
 }
 
 
+def code_parts_sql(text: str) -> str:
+    """SQL of what a parser reads as non-empty <code> elements: attributes, inner tags and entities, open to the end."""
+    x = r"regexp_replace(x, '</?[a-zA-Z][^<>]*>', '', 'g')"
+    for entity, char in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&apos;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{entity}', {char})"
+    found = rf"regexp_extract_all({text}, '(?is)<code\b[^<>]*>(.*?)(?:</code\s*>|\z)', 1)"
+    return f"list_filter(list_transform({found}, lambda x: trim({x}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), lambda x: x <> '')"
+
+
 class Tables:
     """The test tables of one folder; q, a, c, u, l and v count repeated rows once."""
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from askloom.operators import relational as R
-from askloom.plans.base import Part, Tables
+from askloom.functions.html import extract_parts
+from askloom.plans.base import Part, Tables, code_parts_sql
 
 P = Part()
 _QCOLS = ["Id", "AcceptedAnswerId", "Title", "Body", "Tags", "Score", "FavoriteCount", "ViewCount", "AnswerCount", "CommentCount", "OwnerUserId", "CreationDate", "LastEditDate"]
@@ -228,14 +229,13 @@ def left_join_bodies(t: Tables) -> DataFrame:
     return joined.select("Id", F.concat(F.coalesce("Body", F.lit("")), F.lit(" "), F.coalesce("bodies", F.lit(""))).alias("post"))
 
 
-_CODES = r"SELECT ParentId, Id, Score, list_filter(list_transform(regexp_extract_all(Body, '(?s)<code>(.*?)</code>', 1), lambda x: trim(x)), lambda x: x <> '') AS s FROM a WHERE ParentId IS NOT NULL AND Body IS NOT NULL"
+_CODES = f"SELECT ParentId, Id, Score, {code_parts_sql('Body')} AS s FROM a WHERE ParentId IS NOT NULL AND Body IS NOT NULL"
 _SNIPS = f"WITH k AS ({_CODES}), g AS (SELECT ParentId, sum(len(s))::BIGINT AS SnippetCount, string_agg('Post: https://qa.example/questions/' || Id || chr(10) || '##Score ' || coalesce(Score, 0) || chr(10) || array_to_string(s, '<_code_>'), '<_post_>' ORDER BY Score DESC NULLS LAST, Id) AS Snippets FROM k WHERE len(s) > 0 GROUP BY ParentId)"
 
 
 def coded_answers(t: Tables) -> DataFrame:
-    from askloom.functions.html import extract_code_fast
-
-    return t.a("ParentId", "Score", "Body").where("ParentId is not null and Body is not null").select("Id", "ParentId", "Score", extract_code_fast(F.col("Body")).alias("codes"))
+    rows = t.a("ParentId", "Score", "Body").where("ParentId is not null and Body is not null")
+    return rows.select("Id", "ParentId", "Score", extract_parts(F.col("Body")).alias("codes"))
 
 
 def snippets_of(t: Tables) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from askloom.operators import evaluation as E
 from askloom.operators import relational as R
 from askloom.operators import retrieval as S
-from askloom.plans.base import Part, Tables
+from askloom.plans.base import Part, Tables, code_parts_sql
 from askloom.plans.relational import lookup, snippets_of
 
 P = Part()
@@ -315,7 +315,7 @@ def metadata(t: Tables) -> DataFrame:
     return rows.select(F.col("Id").alias("PostId"), "Score", "Title", etags.alias("etags"), "SnippetCount", "Snippets")
 
 
-_META = r"""cd AS (SELECT ParentId, Id, Score, list_filter(list_transform(regexp_extract_all(Body, '(?s)<code>(.*?)</code>', 1), lambda x: trim(x)), lambda x: x <> '') AS s FROM a WHERE ParentId IS NOT NULL AND Body IS NOT NULL),
+_META = f"cd AS (SELECT ParentId, Id, Score, {code_parts_sql('Body')} AS s FROM a WHERE ParentId IS NOT NULL AND Body IS NOT NULL)," + r"""
     sn AS (SELECT ParentId, sum(len(s))::BIGINT AS SnippetCount, string_agg('Post: https://qa.example/questions/' || Id || chr(10) || '##Score ' || coalesce(Score, 0) || chr(10) || array_to_string(s, '<_code_>'), '<_post_>' ORDER BY Score DESC NULLS LAST, Id) AS Snippets FROM cd WHERE len(s) > 0 GROUP BY ParentId),
     meta AS (SELECT q.Id AS PostId, Score, Title, list_sort(list_distinct(list_filter(list_concat(regexp_extract_all(lower(coalesce(Tags, '')), '[a-z0-9][a-z0-9.#+-]*'), list_transform(string_split(coalesce(Entities, ''), '<_ent_>'), lambda x: lower(x))), lambda x: x <> ''))) AS etags, sn.SnippetCount, sn.Snippets FROM q JOIN sn ON q.Id = sn.ParentId)"""
 

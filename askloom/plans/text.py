@@ -16,6 +16,12 @@ _NOISE = {
     4: "x" * 45 + " C# c++ C++ #tag a+b back\\slash",
     5: "---- **** ====== __ -- C:\\Users\\me\\file.txt \\srv\\x",
     6: ":) :-( =D plain `tick` 12:34:56",
+    7: "nice ^_^ one",
+    8: "8-) fine and 8D",
+    9: "sad :o[ and =(",
+    10: ";-) is a wink, :p is none",
+    11: "\\item \\n \\textbf{a} x\\ab\\cd C:\\ab\\cd\\ef, \\\\--\\\\-- c:\\a\\bc",
+    12: "#!_~+=:; ~~~ 0a1b" + "01" * 30 + " __init__ a::b",
 }
 _DOUBLED = {k: v.replace("'", "''") for k, v in _NOISE.items()}
 _NOISE_SQL = " UNION ALL ".join(f"SELECT {-k}::BIGINT, '{v}'" for k, v in _DOUBLED.items())
@@ -39,6 +45,7 @@ _FRAMES = [(X.STACK_FRAME, " "), _SQUEEZE]
 _PACKAGES = [(X.PACKAGE, " "), _SQUEEZE]
 _NORMAL = [(X.LONG_RUN, " "), (X.PUNCT_RUN, " "), (X.PUNCT_LISTED, " "), (r"([Cc]#)|#", r"\1"), (r"([Cc]\+\+)|\+", r"\1"), _SQUEEZE]
 _SPACE = (r"[ \t\n\r\f\x0B]+", " ")
+_HAPPY, _SAD = r"regexp_matches(body, '(\^_\^|[:=8](|o|O|-)[D\)\]])')", r"regexp_matches(body, '[:=8](|o|O|-)[\(\[]')"
 _CLEANERS = {
     "strip_separators": (X.strip_separators, _rx("body", (X.SEPARATORS, " "))),
     "strip_whitespace": (X.strip_whitespace, f"trim({_rx('body', _SPACE)})"),
@@ -47,12 +54,12 @@ _CLEANERS = {
     "remove_long_packages": (X.remove_long_packages, _rx("body", *_PACKAGES)),
     "filter_line": (X.filter_line, _rx("body", (X.BINARY, ""), (X.PACKAGE, ""), (r"[^ \t\n\r\f\x0B]{30,}", ""))),
     "normalize_text": (X.normalize_text, _rx("body", *_NORMAL)),
-    "remove_paths": (X.remove_paths, _rx("body", (X.WINDOWS_PATH, " "))),
-    "remove_large_tokens": (X.remove_large_tokens, _rx("body", (X.LARGE_TOKEN, " "))),
+    "remove_paths": (X.remove_paths, _rx("body", (r"\b((?:[Cc]:)?(?:\\\S{2,}){2,})\b", " "))),
+    "remove_large_tokens": (X.remove_large_tokens, _rx("body", (r"[a-b0-9]{50,}|[\*-=\+~#!_]{3,}", ""))),
     "process_corpus": (X.clean_corpus, _rx("body", *_FRAMES, (X.BINARY, " "), *_PACKAGES, *_NORMAL)),
     "emoticon_polarity": (
         X.emoticon_polarity,
-        f"CASE WHEN regexp_matches(body, '{X.HAPPY}') AND regexp_matches(body, '{X.SAD}') THEN 'BOTH_HS' WHEN regexp_matches(body, '{X.HAPPY}') THEN 'HAPPY' WHEN regexp_matches(body, '{X.SAD}') THEN 'SAD' ELSE 'NA' END",
+        f"CASE WHEN {_HAPPY} AND {_SAD} THEN 'BOTH_HS' WHEN {_HAPPY} THEN 'HAPPY' WHEN {_SAD} THEN 'SAD' ELSE 'NA' END",
     ),
 }
 for _name, (_f, _sql) in _CLEANERS.items():
@@ -83,6 +90,24 @@ def eval_text(t: Tables) -> DataFrame:
     return formed.where(X.keeps_quality(F.col("body")))
 
 
+@P.add("eval_text_of_posts")
+def eval_text_of_posts(t: Tables) -> DataFrame:
+    """eval_text of whole posts, in which code blocks are their API tokens."""
+    from askloom.functions.html import replace_pre
+
+    formed = t.q("Body").where("Body is not null").select(F.col("Id").alias("id"), X.strip_whitespace(X.strip_separators(replace_pre(F.col("Body")))).alias("body"))
+    return formed.where(X.keeps_quality(F.col("body")))
+
+
+@P.add("process_corpus_norm")
+def process_corpus_norm(t: Tables) -> DataFrame:
+    """The corpus chain with its token step: frames, binary strings and packages go, tokens are normalised, then the text."""
+    from askloom.functions.tokens import norm_text
+
+    filtered = X.remove_long_packages(X.remove_binary_strings(X.remove_stack_traces(F.col("body"))))
+    return _bodies(t).select("id", X.normalize_text(norm_text(filtered)).alias("body"))
+
+
 @P.add("backtick_strip", "SELECT Id AS id, translate(Text, '`', ' ') AS body FROM c WHERE Text IS NOT NULL", "c")
 def backtick_strip(t: Tables) -> DataFrame:
     return t.c("Text").where("Text is not null").select(F.col("Id").alias("id"), X.backtick_strip(F.col("Text")).alias("body"))

@@ -137,19 +137,25 @@ def distinct_words(t: Tables) -> DataFrame:
     return each_word(t).select("token").distinct()
 
 
-def _sql_pattern(p: str) -> str:
-    return p.replace("'", "''")
+# character by character: letters by what their other case is, digits with , and ., and the rest
+_KINDS = r"list_distinct(list_transform(string_split(token, ''), lambda c: CASE WHEN c <> lower(c) THEN 'U' WHEN c <> upper(c) THEN 'L' WHEN regexp_matches(c, '[\p{Nd},.]') THEN 'D' ELSE 'S' END))"
 
 
-_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(token, '{'^[A-Z]' if n == 'InitUpper' else _sql_pattern(N.class_pattern(k))}') THEN '{n}'" for n, k in N.CLASSES) + " ELSE 'NO' END"
+def _only(kinds: str) -> str:
+    return f"len(list_filter(ks, lambda k: k NOT IN ({', '.join(repr(k) for k in kinds)}))) = 0"
 
 
-@P.add("feat_type", f"WITH {_EACH} SELECT token, {_TYPE} AS type FROM d", "q")
+_TYPE = f"""CASE WHEN {_only('U')} THEN 'AllUpper' WHEN {_only('D')} THEN 'AllDigit' WHEN {_only('S')} THEN 'AllSymbol' WHEN {_only('UD')} THEN 'AllUpperDigit'
+    WHEN {_only('US')} THEN 'AllUpperSymbol' WHEN {_only('DS')} THEN 'AllDigitSymbol' WHEN {_only('UDS')} THEN 'AllUpperDigitSymbol'
+    WHEN left(token, 1) <> lower(left(token, 1)) THEN 'InitUpper' WHEN {_only('UL')} THEN 'AllLetter' WHEN {_only('ULD')} THEN 'AllAlnum' ELSE 'NO' END"""
+
+
+@P.add("feat_type", f"WITH {_EACH}, x AS (SELECT token, {_KINDS} AS ks FROM d) SELECT token, {_TYPE} AS type FROM x", "q")
 def feat_type(t: Tables) -> DataFrame:
     return distinct_words(t).select("token", N.token_type(F.col("token")).alias("type"))
 
 
-_SHAPE = "translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(token, '[^A-Za-z0-9._(){}\\[\\]<>]', '-', 'g'), '[A-Z]', chr(1), 'g'), '[a-z]', chr(2), 'g'), '[0-9]', chr(3), 'g'), '[._]', '.', 'g'), '[({\\[<]', '(', 'g'), '[)}\\]>]', ')', 'g'), chr(1) || chr(2) || chr(3), 'ULD')"
+_SHAPE = r"array_to_string(list_transform(string_split(token, ''), lambda c: CASE WHEN c <> lower(c) THEN 'U' WHEN c <> upper(c) THEN 'L' WHEN regexp_matches(c, '\p{Nd}') THEN 'D' WHEN c IN ('.', '_') THEN '.' WHEN c IN ('(', '{', '[', '<') THEN '(' WHEN c IN (')', '}', ']', '>') THEN ')' ELSE '-' END), '')"
 
 
 @P.add("feat_shape", f"WITH {_EACH} SELECT token, {_SHAPE} AS shape FROM d", "q")
@@ -165,7 +171,7 @@ _FLAGS = {
     "brac": _tf("ends_with(token, '()')"),
     "dot": _tf("contains(token, '.')"),
     "uscr": _tf("contains(token, '_')"),
-    "init_cap": _tf("regexp_matches(token, '^[A-Z]')"),
+    "init_cap": _tf("left(token, 1) <> lower(left(token, 1))"),
     "ccase": _tf(f"regexp_matches(token, '{N.CAMEL}')"),
     "api_ptrn": _tf(f"regexp_matches(token, '{N.API}')"),
 }
