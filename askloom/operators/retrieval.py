@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,48 +85,144 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / F.when(n == 0, F.lit(1.0)).otherwise(n))
 
 
-def dense_scores(
-    queries: DataFrame, docs: DataFrame, n: int | None, floor: float | None = None, digits: int = 6, most_queries: int = 2048
+def _half_away(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded like SQL rounds: halves go away from zero."""
+    scale = 10.0**digits
+    return np.copysign(np.floor(np.abs(x) * scale + 0.5), x) / scale
+
+
+def _matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Unit vectors, a row each; zero where a vector is all zero, NaN where it is null, of another length or has nulls."""
+    out = np.full((len(col), dim), np.nan)
+    ok = pc.fill_null(pc.equal(pc.list_value_length(col), dim), False).to_numpy(zero_copy_only=False)
+    if ok.any():
+        v = pc.list_flatten(col.filter(pa.array(ok))).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        size = np.linalg.norm(v, axis=1, keepdims=True)
+        out[ok] = np.divide(v, size, out=np.where(np.isnan(size), np.nan, 0.0) * np.ones_like(v), where=size > 0)
+    return out
+
+
+class _Kernel:
+    """Scores one block of queries against batches of documents and holds the best of every metric and query."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, metrics: dict, n: int | None, floor: float | None, apart: bool, digits: int):
+        self.qids, self.q, self.metrics, self.n, self.floor, self.apart, self.digits = qids, q, metrics, n, floor, apart, digits
+        self.held = {m: (np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64)) for m in metrics}
+        self.place = {int(x): i for i, x in enumerate(qids)}
+
+    def _hits(self, col, names: set) -> dict[str, np.ndarray]:
+        """Per field of the hits (q, fields..): a matrix of queries and documents with what the hits add."""
+        out = {f: np.zeros((len(self.qids), len(col))) for f in names}
+        row = np.repeat(np.arange(len(col)), pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
+        flat = pc.list_flatten(col)
+        if len(flat):
+            at = np.array([self.place.get(x, -1) for x in pc.struct_field(flat, "q").to_pylist()])
+            for f in names:
+                value = pc.fill_null(pc.struct_field(flat, f), 0.0).to_numpy(zero_copy_only=False)
+                out[f][at[at >= 0], row[at >= 0]] = value[at >= 0]
+        return out
+
+    def _cut(self, at, sim, doc):
+        order = np.lexsort((doc, -sim, at))
+        at, sim, doc = at[order], sim[order], doc[order]
+        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, int)
+        keep = np.arange(len(at)) - np.repeat(start, np.diff(np.r_[start, len(at)])) < self.n
+        return at[keep], sim[keep], doc[keep]
+
+    def take(self, t: pa.RecordBatch | pa.Table) -> list[pa.RecordBatch]:
+        ids, done = t["doc"].to_numpy(zero_copy_only=False), []
+        fields = {f for parts in self.metrics.values() for f, _ in parts}
+        cos = {f: _half_away(self.q @ _matrix(t[f], self.q.shape[1]).T, self.digits) for f in fields}
+        extra = {h for parts in self.metrics.values() for _, h in parts if h}
+        hits = self._hits(t["hits"], extra) if extra else {}
+        for m, parts in self.metrics.items():
+            s = sum(cos[f] + (hits[h] if h else 0.0) for f, h in parts)
+            s = s if len(parts) == 1 and not extra else _half_away(s / len(parts), self.digits)
+            keep = ~np.isnan(s)
+            if self.apart:
+                keep &= self.qids[:, None] != ids[None, :]
+            if self.floor is not None:
+                keep &= s > self.floor
+            if self.n is not None and s.shape[1] > self.n:
+                ranked = np.where(keep, s, -np.inf)
+                keep &= s >= np.partition(ranked, -self.n, axis=1)[:, -self.n][:, None]
+            a, d = np.nonzero(keep)
+            found = (a, s[a, d], ids[d])
+            if self.n is None:
+                done.append(self._rows(m, *found))
+            else:
+                self.held[m] = self._cut(*(np.concatenate(x) for x in zip(self.held[m], found)))
+        return done
+
+    def _rows(self, m, at, sim, doc) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([m] * len(at), pa.string()), pa.array(self.qids[at]), pa.array(doc), pa.array(sim)], ["metric", "qid", "doc", "sim"])
+
+    def rest(self) -> list[pa.RecordBatch]:
+        return [] if self.n is None else [self._rows(m, *x) for m, x in self.held.items()]
+
+
+def dense_best(
+    queries: DataFrame,
+    docs: DataFrame,
+    metrics: Mapping[str, Sequence[tuple[str, str | None]]],
+    n: int | None,
+    floor: float | None = None,
+    apart: bool = False,
+    digits: int = 6,
+    most_queries: int = 2048,
+    shard: int = 65_536,
 ) -> DataFrame:
-    """(qid, doc, sim) of (qid, vec) against all of (doc, vec), sim rounded to `digits`.
-
-    Queries are cut into blocks of `most_queries`, each small enough to travel whole; documents stay where they are
-    and meet the blocks one after another as matrix products. With `n`, every task sends on only its own best n of a
-    query, and the last step keeps the best n of those. `floor` drops similarities not above it.
+    """(metric, qid, doc, sim) of queries (qid, vec) against all documents (doc, vectors.., hits), integer ids.
+
+    metrics: name -> parts, each a vector column of the documents and, or None, a field of `hits`; the similarity is the
+    mean over the parts of the cosine, rounded to `digits`, plus what the document's hits, an array of structs (q,
+    fields..), say of the query; rounded again. Vectors that are null, of another length than the queries', or hold
+    nulls give a document no similarity in the metrics that need them; all-zero vectors have cosine 0. `floor` drops
+    similarities not above it, `apart` a query's own id. With `n` the n best of every metric and query come out, smaller
+    ids first among equals: every task holds and sends on no more than n of each.
+
+    All vectors of a document are read once, for all metrics. Up to `most_queries` queries travel to the documents by
+    broadcast. More are cut into blocks, documents into shards of about `shard`, and each block meets each shard in a
+    task of its own: nothing of it passes the driver.
     """
-    schema = f"qid {dict(queries.dtypes)['qid']}, doc {dict(docs.dtypes)['doc']}, sim double"
+    metrics = {m: list(parts) for m, parts in metrics.items()}
+    qid, doc = dict(queries.dtypes)["qid"], dict(docs.dtypes)["doc"]
+    schema = f"metric string, qid {qid}, doc {doc}, sim double"
+    queries = cut(queries.select("qid", "vec").where("qid is not null and size(vec) > 0"))
     total = queries.count()
-    blocks = -(-total // most_queries)
-    tagged = cut(queries.withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(max(blocks, 1)))))
-    parts = []
-    for b in range(max(blocks, 1)):
-        rows = tagged.where(F.col("_b") == b).select("qid", "vec").toPandas()
-        if not len(rows):
-            continue
-        ids = rows["qid"].to_numpy()
-        mat = np.array(rows["vec"].tolist(), dtype=np.float64)
-        length = np.linalg.norm(mat, axis=1, keepdims=True)
-        shared = docs.sparkSession.sparkContext.broadcast((ids, np.divide(mat, length, out=np.zeros_like(mat), where=length > 0)))
-
-        def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, q = shared.value
-            for batch in batches:
-                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, q.shape[1])
-                size = np.linalg.norm(v, axis=1, keepdims=True)
-                s = np.round(q @ np.divide(v, size, out=np.zeros_like(v), where=size > 0).T, digits)
-                keep = np.ones_like(s, bool) if floor is None else s > floor
-                if n is not None and s.shape[1] > n:
-                    keep &= s >= -np.partition(-s, n - 1, axis=1)[:, n - 1 : n]
-                a, d = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[a]), batch.column(0).take(pa.array(d)), pa.array(s[a, d])], ["qid", "doc", "sim"])
-
-        parts.append(docs.select("doc", "vec").mapInArrow(score, schema))
-    if not parts:
+    if not total:
         return docs.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out if n is None else best(out, n).drop("rank")
+    make = (metrics, n, floor, apart, digits)
+    if total <= most_queries:
+        rows = queries.toPandas()
+        shared = docs.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), _matrix(pa.array(rows["vec"].tolist(), pa.list_(pa.float64())), len(rows["vec"][0]))))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kernel = _Kernel(*shared.value, *make)
+            for batch in batches:
+                yield from kernel.take(batch)
+            yield from kernel.rest()
+
+        out = docs.mapInArrow(score, schema)
+    else:
+        blocks, shards = -(-total // most_queries), max(1, -(-docs.count() // shard))
+
+        def meet(q: pa.Table, d: pa.Table) -> pa.Table:
+            if not len(q) or not len(d):
+                return pa.table({"metric": pa.array([], pa.string()), "qid": q["qid"].slice(0, 0), "doc": d["doc"].slice(0, 0), "sim": pa.array([], pa.float64())})
+            kernel = _Kernel(q["qid"].to_numpy(), _matrix(q["vec"], len(q["vec"][0])), *make)
+            got = [b for s in range(0, len(d), 8192) for b in kernel.take(d.slice(s, 8192))]
+            return pa.Table.from_batches(got + kernel.rest())
+
+        left = queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_d"))
+        right = docs.withColumn("_d", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        out = left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(meet, schema)
+    return out if n is None else best(out, n, ("metric", "qid")).drop("rank")
+
+
+def dense_scores(queries: DataFrame, docs: DataFrame, n: int | None, floor: float | None = None, digits: int = 6) -> DataFrame:
+    """(qid, doc, sim) of (qid, vec) against all of (doc, vec); see dense_best."""
+    return dense_best(queries, docs.select("doc", "vec"), {"": [("vec", None)]}, n, floor, digits=digits).drop("metric")
 
 
 def check_weights(fields: Sequence[str], weights: Mapping[str, float] | Sequence[float] | None) -> dict[str, float]:

@@ -122,13 +122,20 @@ def _dense_sql(q: str, d: str) -> str:
 _SPACES = f"tv AS ({_DENSE.format(f='TitleV')}), bv AS ({_DENSE.format(f='BodyV')}), tt AS ({_dense_sql('tv', 'tv')}), tb AS ({_dense_sql('tv', 'bv')}), m AS (SELECT qid, doc, round((tt.sim + tb.sim) / 2, 6) AS sim FROM tt JOIN tb USING (qid, doc)), every AS (SELECT 'title' AS metric, * FROM tt UNION ALL SELECT 'body', * FROM tb UNION ALL SELECT 'title-body', * FROM m)"
 
 
-def three_metrics(t: Tables) -> DataFrame:
-    """(metric, qid, doc, sim): titles asked against titles, bodies and the mean of both."""
-    tt = S.dense_scores(asked(t, "TitleV"), dense(t, "TitleV"), None)
-    tb = S.dense_scores(asked(t, "TitleV"), dense(t, "BodyV"), None)
-    mean = tt.join(tb.withColumnRenamed("sim", "sim2"), ["qid", "doc"]).select("qid", "doc", F.round((F.col("sim") + F.col("sim2")) / 2, 6).alias("sim"))
-    named = [d.select(F.lit(m).alias("metric"), "qid", "doc", "sim") for m, d in (("title", tt), ("body", tb), ("title-body", mean))]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+_METRICS = {"title": ["TitleV"], "body": ["BodyV"], "title-body": ["TitleV", "BodyV"]}
+
+
+def vectors(t: Tables) -> DataFrame:
+    return t.v("TitleV", "BodyV").withColumnRenamed("PostId", "doc")
+
+
+def three_metrics(t: Tables, n: int | None, floor: float | None = None, apart: bool = False) -> DataFrame:
+    """(metric, qid, doc, sim): titles asked against titles, bodies and the mean of both, in one pass over the vectors."""
+    return S.dense_best(asked(t, "TitleV"), vectors(t), {m: [(f, None) for f in fs] for m, fs in _METRICS.items()}, n, floor, apart)
+
+
+def ranked(scores: DataFrame, n: int) -> DataFrame:
+    return S.best(scores, n, ("metric", "qid")).select("metric", "qid", "doc", "rank")
 
 
 _TOPS = f"WITH {_SPACES} SELECT metric, qid, doc, row_number() OVER (PARTITION BY metric, qid ORDER BY sim DESC, doc) AS rank FROM every QUALIFY rank <= 20"
@@ -137,7 +144,7 @@ _TOPS = f"WITH {_SPACES} SELECT metric, qid, doc, row_number() OVER (PARTITION B
 @P.add("batch_sims", _TOPS, "v")
 @P.add("topk_per_query", _TOPS, "v")
 def batch_sims(t: Tables) -> DataFrame:
-    return S.best(three_metrics(t), 20, ("metric", "qid")).select("metric", "qid", "doc", "rank")
+    return ranked(three_metrics(t, 20), 20)
 
 
 @P.add("cross_join_similarity", f"WITH {_SPACES}, r AS (SELECT *, {_RANK} FROM tt QUALIFY rank <= 10) SELECT qid, doc, sim FROM r", "v")
@@ -148,7 +155,7 @@ def cross_join_similarity(t: Tables) -> DataFrame:
 @P.add("threshold_sorted", f"WITH {_SPACES} SELECT metric, qid, string_agg(doc, ' ' ORDER BY sim DESC, doc) AS docs FROM every WHERE sim > 0.3 GROUP BY metric, qid", "v")
 def threshold_sorted(t: Tables) -> DataFrame:
     """All hits above the threshold per query, best first: the list is the result's row."""
-    hits = three_metrics(t).where("sim > 0.3")
+    hits = three_metrics(t, None, 0.3)
     listed = hits.groupBy("metric", "qid").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("k"), "doc"))).alias("x"))
     return listed.select("metric", "qid", F.concat_ws(" ", F.transform("x", lambda z: z["doc"].cast("string"))).alias("docs"))
 
@@ -181,38 +188,62 @@ def threshold_counts(t: Tables) -> DataFrame:
     return pair_similarity(t).agg(share(F.col("title")).alias("title"), share(F.col("body")).alias("body"), share((F.col("title") + F.col("body")) / 2).alias("both"))
 
 
-_SPARSE_ASK = f"WITH {_space('Title', 't')}, sp AS (SELECT x.doc AS qid, y.doc, sum(x.w * y.w) AS sim FROM tw x JOIN tw y USING (term) WHERE x.doc % 50 = 0 GROUP BY ALL), {_SPACES}"
+_SPARSE_ASK = f"""WITH {_space('Title', 't')},
+    bk AS (SELECT Id AS doc, unnest(regexp_extract_all(lower(Body), '[^ \\t\\n\\r\\f\\x0B]{{2,}}')) AS term FROM q WHERE Body IS NOT NULL),
+    bx AS (SELECT doc, term, count(*) * any_value(idf) AS x FROM bk JOIN ti USING (term) GROUP BY ALL),
+    bw AS (SELECT doc, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc)) AS w FROM bx),
+    sp AS (SELECT x.doc AS qid, y.doc, sum(x.w * y.w) AS sim FROM tw x JOIN tw y USING (term) WHERE x.doc % 50 = 0 GROUP BY ALL),
+    sb AS (SELECT x.doc AS qid, y.doc, sum(x.w * y.w) AS sim FROM tw x JOIN bw y USING (term) WHERE x.doc % 50 = 0 GROUP BY ALL), {_SPACES}"""
 
 
-def sparse_asked(t: Tables) -> DataFrame:
+def sparse_asked(t: Tables, field: str = "Title") -> DataFrame:
+    """(qid, doc, sim): titles asked against titles or bodies, in the space of the titles."""
     m, docs = model(t, "Title")
-    vectors = m.vectors(docs, "Id", "Title")
-    return S.sparse_scores(vectors.where("doc % 50 = 0").select(F.col("doc").alias("qid"), "term", F.col("w").alias("qw")), vectors)
+    titles = m.vectors(docs, "Id", "Title")
+    queries = titles.where("doc % 50 = 0").select(F.col("doc").alias("qid"), "term", F.col("w").alias("qw"))
+    return S.sparse_scores(queries, titles if field == "Title" else m.vectors(t.q(field).where(F.col(field).isNotNull()), "Id", field))
 
 
-_HYBRID = _SPARSE_ASK + ", r AS (SELECT qid, doc, round(coalesce(sp.sim, 0) + tt.sim, 6) AS sim FROM tt LEFT JOIN sp USING (qid, doc))"
+_HYBRID = (
+    _SPARSE_ASK
+    + """, ht AS (SELECT qid, doc, coalesce(sp.sim, 0) + tt.sim AS sim FROM tt LEFT JOIN sp USING (qid, doc)), hb AS (SELECT qid, doc, coalesce(sb.sim, 0) + tb.sim AS sim FROM tb LEFT JOIN sb USING (qid, doc)),
+    r AS (SELECT 'title' AS metric, qid, doc, round(sim, 6) AS sim FROM ht UNION ALL SELECT 'body', qid, doc, round(sim, 6) FROM hb UNION ALL SELECT 'title-body', qid, doc, round((ht.sim + hb.sim) / 2, 6) FROM ht JOIN hb USING (qid, doc))"""
+)
+_RANKED = "row_number() OVER (PARTITION BY metric, qid ORDER BY sim DESC, doc) AS rank"
 
 
-def hybrid(t: Tables) -> DataFrame:
-    """(qid, doc, sim): sparse plus dense similarity of titles, no factor 1/2; documents need a dense vector."""
-    tt = S.dense_scores(asked(t, "TitleV"), dense(t, "TitleV"), None)
-    sp = sparse_asked(t).withColumnRenamed("sim", "sim2")
-    return tt.join(sp, ["qid", "doc"], "left").select("qid", "doc", F.round(F.coalesce("sim2", F.lit(0.0)) + F.col("sim"), 6).alias("sim"))
+def hybrid(t: Tables, n: int, fields: dict[str, list[str]]) -> DataFrame:
+    """(metric, qid, doc, sim): sparse plus dense similarity, no factor 1/2; documents need the dense vectors. A
+    document's sparse hits, at most one a query, go into the pass over its vectors; no pair is joined with vectors."""
+    title = sparse_asked(t, "Title").select("doc", F.struct(F.col("qid").alias("q"), F.col("sim").alias("TitleV"), F.lit(0.0).alias("BodyV")).alias("h"))
+    body = sparse_asked(t, "Body").select("doc", F.struct(F.col("qid").alias("q"), F.lit(0.0).alias("TitleV"), F.col("sim").alias("BodyV")).alias("h"))
+    needed = {f for fs in fields.values() for f in fs}
+    hits = title if needed == {"TitleV"} else title.unionByName(body)
+    each = hits.groupBy("doc", F.col("h.q").alias("q")).agg(F.sum("h.TitleV").alias("TitleV"), F.sum("h.BodyV").alias("BodyV"))
+    listed = each.groupBy("doc").agg(F.collect_list(F.struct("q", "TitleV", "BodyV")).alias("hits"))
+    docs = vectors(t).join(listed, "doc", "left")
+    return S.dense_best(asked(t, "TitleV"), docs, {m: [(f, f) for f in fs] for m, fs in fields.items()}, n)
 
 
-@P.add("rank_hybrid", _HYBRID + f" SELECT qid, doc, {_RANK} FROM r QUALIFY rank <= 20", "q v")
-@P.add("batch_hybrid_sims", _HYBRID + f" SELECT qid, doc, {_RANK} FROM r QUALIFY rank <= 20", "q v")
+@P.add("rank_hybrid", _HYBRID + f" SELECT qid, doc, {_RANK} FROM r WHERE metric = 'title' QUALIFY rank <= 20", "q v")
 def rank_hybrid(t: Tables) -> DataFrame:
-    return S.best(hybrid(t), 20).select("qid", "doc", "rank")
+    return ranked(hybrid(t, 20, {"title": ["TitleV"]}), 20).select("qid", "doc", "rank")
+
+
+@P.add("batch_hybrid_sims", _HYBRID + f" SELECT metric, qid, doc, {_RANKED} FROM r QUALIFY rank <= 20", "q v")
+def batch_hybrid_sims(t: Tables) -> DataFrame:
+    return ranked(hybrid(t, 20, _METRICS), 20)
 
 
-@P.add("rank_rerank", _SPARSE_ASK + f", f AS (SELECT qid, doc FROM (SELECT qid, doc, round(sim, 6) AS sim FROM sp) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sim DESC, doc) <= 200), r AS (SELECT qid, doc, tt.sim FROM f JOIN tt USING (qid, doc)) SELECT qid, doc, {_RANK} FROM r QUALIFY rank <= 20", "q v")
+@P.add("rank_rerank", _SPARSE_ASK + f", f AS (SELECT qid, doc FROM (SELECT qid, doc, round(sim, 6) AS sim FROM sp) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sim DESC, doc) <= 200), r AS (SELECT * FROM every JOIN f USING (qid, doc)) SELECT metric, qid, doc, {_RANKED} FROM r QUALIFY rank <= 20", "q v")
 def rank_rerank(t: Tables) -> DataFrame:
-    """The sparse best 200 by dense similarity."""
+    """The sparse best 200 by dense similarity, in three metrics."""
     first = S.best(sparse_asked(t).withColumn("sim", F.round("sim", 6)), 200).select("qid", "doc")
-    q, d = asked(t, "TitleV").withColumnRenamed("vec", "qv"), dense(t, "TitleV")
-    again = first.join(q, "qid").join(d, "doc").select("qid", "doc", F.round(S.cosine(F.col("qv"), F.col("vec")), 6).alias("sim"))
-    return S.best(again, 20).select("qid", "doc", "rank")
+    pairs = first.join(asked(t, "TitleV").withColumnRenamed("vec", "qv"), "qid").join(vectors(t), "doc")
+    sims = {f: F.when(F.size(f) == 128, F.round(S.cosine(F.col("qv"), F.col(f)), 6)) for f in ("TitleV", "BodyV")}
+    named = [F.struct(F.lit(m).alias("metric"), (sum(sims[f] for f in fs) / len(fs)).alias("sim")) for m, fs in _METRICS.items()]
+    again = pairs.select("qid", "doc", F.explode(F.array(*named)).alias("x")).select("x.metric", "qid", "doc", F.round("x.sim", 6).alias("sim"))
+    return ranked(again.where("sim is not null"), 20)
 
 
 # evaluation
@@ -221,7 +252,7 @@ _SEARCHES = f"WITH {_SPACES}, s AS (SELECT metric, qid AS src, doc AS dst FROM e
 
 
 def searches(t: Tables) -> DataFrame:
-    return S.best(three_metrics(t).where("doc <> qid"), 20, ("metric", "qid")).select("metric", F.col("qid").alias("src"), F.col("doc").alias("dst"))
+    return three_metrics(t, 20, apart=True).select("metric", F.col("qid").alias("src"), F.col("doc").alias("dst"))
 
 
 @P.add("postlink_searches", _SEARCHES + " SELECT metric, src, dst FROM s", "l v")

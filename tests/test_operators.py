@@ -127,3 +127,38 @@ def test_once_without_moving_texts(spark, tmp_path):
         got = once_wide(spark.read.parquet(f"{tmp_path}/x"), "Id", most)
         assert got.columns == ["Id", "t"] and sorted(map(tuple, got.collect()), key=str) == [(1, "a"), (2, "b"), (3, None)]
     assert once_wide(spark.read.parquet(f"{tmp_path}/x").where("Id = 2").select("t", "Id")).collect() == [("b", 2)]
+
+
+def test_dense_best_in_blocks_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a, b = (np.round(rng.standard_normal((60, 4)), 1) for _ in range(2))
+    rows = [(i, a[i].tolist(), b[i].tolist() if i % 7 else None, [(int(q), 0.25) for q in range(0, 60, 5) if (q + i) % 3 == 0]) for i in range(60)]
+    rows += [(100, [0.0] * 4, [1.0], None), (101, None, None, [])]
+    docs = spark.createDataFrame(rows, "doc long, x array<double>, y array<double>, hits array<struct<q: long, h: double>>")
+    asked = docs.where("doc % 5 = 0 and doc < 60").select(F.col("doc").alias("qid"), F.col("x").alias("vec"))
+    metrics = {"x": [("x", None)], "both": [("x", None), ("y", None)], "hit": [("x", "h")]}
+
+    def cos(u, v):
+        size = np.linalg.norm(u) * np.linalg.norm(v)
+        return round(float(u @ v / size), 6) if size else 0.0
+
+    want = set()
+    for q in range(0, 60, 5):
+        sims = {"x": {}, "both": {}, "hit": {}}
+        for doc, x, y, hits in rows:
+            if x is None or doc == q:
+                continue
+            c = cos(a[q], np.array(x))
+            sims["x"][doc] = c
+            sims["hit"][doc] = round(c + dict(hits or []).get(q, 0.0), 6)
+            if y is not None and len(y) == 4:
+                sims["both"][doc] = (c + cos(a[q], np.array(y))) / 2
+        want |= {(m, q, d) for m, s in sims.items() for d in sorted(s, key=lambda d: (-round(s[d] + 1e-12, 6), d))[:7]}
+    for blocks in ({}, {"most_queries": 4, "shard": 20}):
+        got = S.dense_best(asked, docs.repartition(3), metrics, 7, apart=True, **blocks).collect()
+        assert {(r["metric"], r["qid"], r["doc"]) for r in got} == want and len(got) == len(want)
+    above = S.dense_best(asked, docs, metrics, None, floor=0.9, most_queries=5, shard=30).collect()
+    assert above and all(r["sim"] > 0.9 for r in above)
+    assert S.dense_best(asked.limit(0), docs, metrics, 3).collect() == S.dense_best(asked, docs.limit(0), metrics, 3).collect() == []
