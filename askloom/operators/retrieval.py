@@ -7,14 +7,16 @@ cut, and keeps the best n with the smaller id first among equals.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askloom.session import cut
@@ -36,6 +38,7 @@ class TfIdf:
     vocabulary: DataFrame
     documents: int
     stop_words: list[str] = field(default_factory=list)
+    trained: DataFrame | None = None
 
     def counts(self, df: DataFrame, key: str, text: str) -> DataFrame:
         tokens = df.select(F.col(key).alias("doc"), F.explode(tfidf_tokens(F.col(text))).alias("term"))
@@ -43,22 +46,49 @@ class TfIdf:
             tokens = tokens.where(~F.col("term").isin(self.stop_words))
         return tokens.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
-    def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
-        """(doc, term, w), each document of length 1. Terms outside the vocabulary carry nothing."""
-        raw = self.counts(df, key, text).join(self.vocabulary.select("term", "idf"), "term").withColumn("x", F.col("tf") * F.col("idf"))
+    def weighed(self, counts: DataFrame) -> DataFrame:
+        """(doc, term, w) of (doc, term, tf), each document of length 1. Terms outside the vocabulary carry nothing."""
+        raw = counts.join(self.vocabulary.select("term", "idf"), "term").withColumn("x", F.col("tf") * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc")))
         return raw.select("doc", "term", (F.col("x") / norm).alias("w"))
 
+    def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        return self.weighed(self.counts(df, key, text))
+
+    def own_vectors(self) -> DataFrame:
+        """Vectors of the documents the model was trained on, whose counts are kept: their texts are not read again."""
+        return self.weighed(self.trained)
+
 
 def tfidf_train(df: DataFrame, key: str, text: str, stop_words: Sequence[str] | None = None) -> TfIdf:
+    """Texts are read once: the counts of a document's terms are kept, document frequencies are added up from them."""
     stops = list(english_stop_words() if stop_words is None else stop_words)
     model = TfIdf(df, 0, stops)
     n = df.count()
-    dfreq = model.counts(df, key, text).groupBy("term").agg(F.count("*").alias("df"))
-    model.vocabulary, model.documents = dfreq.withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("df") + 1.0)) + 1.0), n
+    model.trained = cut(model.counts(df, key, text))
+    dfreq = model.trained.groupBy("term").agg(F.count("*").alias("df"))
+    model.vocabulary, model.documents = cut(dfreq.withColumn("idf", F.log(F.lit(1.0 + n) / (F.col("df") + 1.0)) + 1.0)), n
     return model
 
 
+@dataclass
+class WordSpace:
+    """Word vectors (token, vec) of `dim` numbers; a text is the mean of the unit vectors of its words. Words that are not
+    in the table are skipped, or count as `unknown` where that is given."""
+
+    words: DataFrame
+    dim: int
+    unknown: list[float] | None = None
+
+    def vectors(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """(doc, vec). A text without known words has no row."""
+        from askloom.operators.learning import document_vectors
+
+        tokens = df.select(F.col(key).alias("doc"), F.explode(F.split(F.trim(F.lower(F.col(text))), r"\s+")).alias("token")).where("token <> ''")
+        unknown = F.array(*map(F.lit, self.unknown)) if self.unknown else None
+        return document_vectors(tokens, self.words, self.dim, unknown)
+
+
 def sparse_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, doc, sim) of (qid, term, qw) and (doc, term, w): an equi-join on the term, so a document which shares no
     term with a query is never touched."""
@@ -249,19 +279,39 @@ def parse_tags(text: str | None) -> list[str] | None:
 
 
 class SearchEngine:
-    """Ranked search over questions: any mix of sparse spaces, one per field, with metadata for presentation.
+    """Ranked search over questions: any mix of sparse and dense spaces, each over several fields, with metadata for
+    presentation. Similarities of all spaces and fields are added up, so a sparse and a dense space make a hybrid.
 
-    spaces: name -> (TfIdf, {field: (doc, term, w) rows}). metadata: PostId, Title, etags, SnippetCount, Snippets.
+    spaces: name -> (TfIdf, {field: (doc, term, w) rows}) or (WordSpace, {field: (doc, vec) rows}). metadata: PostId,
+    Title, etags, SnippetCount, Snippets.
     """
 
-    def __init__(self, spaces: Mapping[str, tuple[TfIdf, Mapping[str, DataFrame]]], metadata: DataFrame, base: str):
+    def __init__(self, spaces: Mapping[str, tuple[TfIdf | WordSpace, Mapping[str, DataFrame]]], metadata: DataFrame, base: str):
         self.spaces, self.metadata, self.base = spaces, metadata, base
 
     def infer(self, text: str, space: str) -> DataFrame:
+        """The query's vector: (qid, term, qw) in a sparse space, (qid, vec) in a dense one."""
         model, _ = self.spaces[space]
-        spark = self.metadata.sparkSession
-        one = spark.createDataFrame([(0, text.strip().lower())], "doc long, text string")
-        return model.vectors(one, "doc", "text").select(F.col("doc").alias("qid"), "term", F.col("w").alias("qw"))
+        one = self.metadata.sparkSession.createDataFrame([(0, text.strip().lower())], "doc long, text string")
+        found = model.vectors(one, "doc", "text").withColumnRenamed("doc", "qid")
+        return found.withColumnRenamed("w", "qw") if isinstance(model, TfIdf) else found
+
+    def scores(self, text: str, weights=None) -> DataFrame:
+        """(doc, sim): what every space and field adds, one row each. Of a sparse space only the query's terms are read,
+        by a filter which reaches the files; a dense one is a single pass of JVM arithmetic."""
+        parts = []
+        for name, (model, fields) in self.spaces.items():
+            by = check_weights(list(fields), weights)
+            query = cut(self.infer(text, name))  # the vector of one short text
+            if isinstance(model, TfIdf):
+                terms = [r["term"] for r in query.select("term").collect()]
+                parts += [sparse_scores(F.broadcast(query), v.where(F.col("term").isin(terms))).select("doc", (F.col("sim") * by[f]).alias("sim")) for f, v in fields.items()]
+                continue
+            row = query.first()
+            for f, v in fields.items():
+                sim = cosine(F.array(*map(F.lit, row["vec"])), F.col("vec")) if row else F.lit(0.0)
+                parts.append(v.select("doc", (sim * by[f]).alias("sim")).where("sim <> 0"))
+        return reduce(DataFrame.unionByName, parts)
 
     def search(self, text: str, tags: str | Sequence[str] | None = None, n: int = 20, weights=None, rank=None, then=None) -> DataFrame:
         """(rank, PostId, Title, SnippetCount, anslink, score, snippet, sim, link). `rank` replaces the ranking of
@@ -270,17 +320,43 @@ class SearchEngine:
         docs = self.metadata.select(F.col("PostId").alias("doc"), "etags")
         if wanted:
             docs = docs.where(F.arrays_overlap("etags", F.array(*map(F.lit, wanted))))
-        scores = None
-        for name, (_, fields) in self.spaces.items():
-            query, by = self.infer(text, name), check_weights(list(fields), weights)
-            for f, vectors in fields.items():
-                s = sparse_scores(F.broadcast(query), vectors).select("doc", (F.col("sim") * by[f]).alias("sim"))
-                scores = s if scores is None else scores.unionByName(s)
-        total = scores.groupBy("doc").agg(F.round(F.sum("sim"), 6).alias("sim")).join(docs, "doc", "left_semi")
+        total = self.scores(text, weights).groupBy("doc").agg(F.round(F.sum("sim"), 6).alias("sim")).join(docs, "doc", "left_semi")
         top = rank(total, n) if rank else total.orderBy(F.desc("sim"), "doc").limit(n)
         out = metadata_frame(top, self.metadata, self.base)
         return then(out) if then else out
 
+    def save(self, path: str) -> None:
+        """The index as Parquet below `path`: vectors of a sparse space by ranges of terms, so that a query reads the
+        row groups of its terms; models and metadata beside them."""
+        spark = self.metadata.sparkSession
+        about = []
+        for name, (model, fields) in self.spaces.items():
+            sparse = isinstance(model, TfIdf)
+            (model.vocabulary if sparse else model.words).write.mode("overwrite").parquet(f"{path}/{name}/model")
+            for f, v in fields.items():
+                laid = v.repartitionByRange("term").sortWithinPartitions("term", "doc") if sparse else v
+                laid.write.mode("overwrite").parquet(f"{path}/{name}/{f}")
+                kept = dict(documents=model.documents, stop_words=model.stop_words) if sparse else dict(dim=model.dim, unknown=model.unknown)
+                about.append((name, f, json.dumps(kept)))
+        self.metadata.write.mode("overwrite").parquet(f"{path}/metadata")
+        spark.createDataFrame([(*row, self.base) for row in about], "space string, field string, kept string, base string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, spaces: Sequence[str] | None = None, fields: Sequence[str] | None = None) -> SearchEngine:
+        """A saved index, all of it or some spaces and fields; nothing is trained or read before a search."""
+        about = spark.read.json(f"{path}/about").collect()  # a row for each space and field
+        found: dict = {}
+        for row in sorted(about, key=lambda r: (r["space"], r["field"])):
+            if (spaces is not None and row["space"] not in spaces) or (fields is not None and row["field"] not in fields):
+                continue
+            kept, model = json.loads(row["kept"]), spark.read.parquet(f"{path}/{row['space']}/model")
+            made = TfIdf(model, **kept) if "documents" in kept else WordSpace(model, **kept)
+            found.setdefault(row["space"], (made, {}))[1][row["field"]] = spark.read.parquet(f"{path}/{row['space']}/{row['field']}")
+        missing = set(spaces or ()) - set(found) | set(fields or ()) - {f for _, by in found.values() for f in by}
+        if missing or not found:
+            raise ValueError(f"{path} holds no {sorted(missing) or 'index'}")
+        return cls(found, spark.read.parquet(f"{path}/metadata"), about[0]["base"])
+
 
 def metadata_frame(top: DataFrame, metadata: DataFrame, base: str) -> DataFrame:
     """Presentation rows of the few ranked (doc, sim): they are the broadcast side, n rows."""

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import sqlite3
 import uuid
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askloom.operators.retrieval import SearchEngine
 from askloom.plans.base import Part, Tables
-from askloom.plans.search import metadata, model
+from askloom.plans.search import _META, FOUND_IN_TITLES, SEARCHED, _space, indexed, metadata
 from askloom.plans.tokens import _WORDS, words
 from askloom.session import shared_folder
 from askloom.sources import readers as R
@@ -184,23 +186,45 @@ def sink_predictions(t: Tables) -> DataFrame:
 
 
 
-@P.add("sink_index")
-@P.add("build_index")
-@P.add("load_index")
+_SIZES = f"WITH {_space('Title', 't')}, {_space('Body', 'b')}, {_META}, "
+
+
+@P.add("sink_index", _SIZES + "x AS (SELECT doc, count(*) AS terms FROM (SELECT doc FROM tw UNION ALL SELECT doc FROM bw) GROUP BY doc) SELECT PostId, SnippetCount, coalesce(terms, 0) AS terms FROM meta LEFT JOIN x ON PostId = doc", "q a")
 def sink_index(t: Tables) -> DataFrame:
-    """A whole index over Title and Body written and read back: every post of the metadata with the size of its two
-    sparse vectors together."""
+    """Vectors of Title and Body and the metadata written and read back: every post with the size of its two vectors."""
     path = folder(t, "index")
-    spaces = []
-    for key in ("Title", "Body"):
-        m, docs = model(t, key)
-        spaces.append(m.vectors(docs, "Id", key).withColumn("key", F.lit(key)))
+    spaces = [v.withColumn("key", F.lit(f)) for _, fields in indexed(t).spaces.values() for f, v in fields.items()]
     W.write_index(spaces[0].unionByName(spaces[1]), metadata(t), path)
     sizes = t.spark.read.parquet(f"{path}/vectors").groupBy("doc").agg(F.count("*").alias("terms"))
     posts = t.spark.read.parquet(f"{path}/metadata").select("PostId", "SnippetCount")
     return posts.join(sizes, F.col("PostId") == F.col("doc"), "left").select("PostId", "SnippetCount", F.coalesce("terms", F.lit(0)).alias("terms"))
 
 
+_PARTS = " UNION ALL ".join(
+    f"SELECT '{name}' AS part, count(*) AS n, count(DISTINCT {key}) AS keys FROM {source}"
+    for name, source, key in (("title words", "ti", "term"), ("title vectors", "tw", "doc"), ("body words", "bi", "term"), ("body vectors", "bw", "doc"), ("metadata", "meta", "PostId"))
+)
+
+
+@P.add("build_index", f"{_SIZES[:-2]} {_PARTS}", "q a")
+def build_index(t: Tables) -> DataFrame:
+    """The whole index saved: models, vectors by field and metadata, with the rows and keys each part holds on disk."""
+    path = folder(t, "index")
+    indexed(t).save(path)
+    parts = (("title words", "title/model", "term"), ("title vectors", "title/Title", "doc"), ("body words", "body/model", "term"), ("body vectors", "body/Body", "doc"), ("metadata", "metadata", "PostId"))
+    rows = [t.spark.read.parquet(f"{path}/{at}").agg(F.count("*").alias("n"), F.countDistinct(key).alias("keys")).select(F.lit(name).alias("part"), "n", "keys") for name, at, key in parts]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@P.add("load_index", FOUND_IN_TITLES, "q a")
+def load_index(t: Tables) -> DataFrame:
+    """A saved index of two fields, loaded with one of them, searched from its files."""
+    path = folder(t, "index")
+    indexed(t).save(path)
+    engine = SearchEngine.load(t.spark, path, fields=["Title"])
+    return engine.search(SEARCHED, "swing, java", 20).select("rank", "PostId", "sim", "link")
+
+
 _LOG = ["#batch epochs accuracy", "20 5 0.91", "40 5 0.93", "", "#dropout accuracy", "0.6 0.94"]
 
 

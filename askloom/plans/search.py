@@ -51,8 +51,8 @@ def query_vectors(t: Tables, m: S.TfIdf) -> DataFrame:
 
 
 def field_scores(t: Tables, field: str) -> DataFrame:
-    m, docs = model(t, field)
-    return S.sparse_scores(F.broadcast(query_vectors(t, m)), m.vectors(docs, "Id", field))  # four short queries
+    m = model(t, field)[0]
+    return S.sparse_scores(F.broadcast(query_vectors(t, m)), m.own_vectors())  # four short queries
 
 
 @P.add("tok_tfidf", r"SELECT Id, array_to_string(regexp_extract_all(lower(Title), '[^ \t\n\r\f\x0B]{2,}'), ' ') AS tokens FROM q WHERE Title IS NOT NULL", "q")
@@ -65,14 +65,25 @@ def tfidf_train(t: Tables) -> DataFrame:
     return model(t, "Title")[0].vocabulary.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
-_VECTORS = f"WITH {_space('Title', 't')} SELECT doc, term, round(w, 6) AS w FROM tw"
+@P.add("tfidf_vectors", f"WITH {_space('Title', 't')} SELECT doc, term, round(w, 6) AS w FROM tw", "q")
+def tfidf_vectors(t: Tables) -> DataFrame:
+    return model(t, "Title")[0].own_vectors().select("doc", "term", F.round("w", 6).alias("w"))
 
 
-@P.add("tfidf_vectors", _VECTORS, "q")
-@P.add("build_search_index", _VECTORS, "q")
-def tfidf_vectors(t: Tables) -> DataFrame:
-    m, docs = model(t, "Title")
-    return m.vectors(docs, "Id", "Title").select("doc", "term", F.round("w", 6).alias("w"))
+def indexed(t: Tables, fields: tuple[str, ...] = ("Title", "Body")) -> S.SearchEngine:
+    """A search engine over one sparse space for each field."""
+    spaces = {}
+    for f in fields:
+        m = model(t, f)[0]
+        spaces[f.lower()] = (m, {f: m.own_vectors()})
+    return S.SearchEngine(spaces, metadata(t), "https://qa.example/questions/")
+
+
+@P.add("build_search_index", f"WITH {_space('Title', 't')}, {_space('Body', 'b')} SELECT 'Title' AS field, doc, term, round(w, 6) AS w FROM tw UNION ALL SELECT 'Body', doc, term, round(w, 6) FROM bw", "q")
+def build_search_index(t: Tables) -> DataFrame:
+    """The vectors of every field, as an index holds them."""
+    rows = [v.select(F.lit(f).alias("field"), "doc", "term", F.round("w", 6).alias("w")) for _, fields in indexed(t).spaces.values() for f, v in fields.items()]
+    return rows[0].unionByName(rows[1])
 
 
 @P.add("query_vector", f"WITH {_space('Title', 't')}, {_queries('t')} SELECT qid, term, round(qw, 6) AS qw FROM tqw", "q")
@@ -198,8 +209,8 @@ _SPARSE_ASK = f"""WITH {_space('Title', 't')},
 
 def sparse_asked(t: Tables, field: str = "Title") -> DataFrame:
     """(qid, doc, sim): titles asked against titles or bodies, in the space of the titles."""
-    m, docs = model(t, "Title")
-    titles = m.vectors(docs, "Id", "Title")
+    m = model(t, "Title")[0]
+    titles = m.own_vectors()
     queries = titles.where("doc % 50 = 0").select(F.col("doc").alias("qid"), "term", F.col("w").alias("qw"))
     return S.sparse_scores(queries, titles if field == "Title" else m.vectors(t.q(field).where(F.col(field).isNotNull()), "Id", field))
 
@@ -359,18 +370,18 @@ def build_metadata_index(t: Tables) -> DataFrame:
 _FOUND = f"WITH {_space('Title', 't')}, {_queries('t')}, {_META}, r AS (SELECT doc, round(sim, 6) AS sim FROM ts JOIN meta ON doc = PostId WHERE qid = 3 AND list_has_any(etags, ['swing', 'java']) ORDER BY round(sim, 6) DESC, doc LIMIT 20)"
 
 
-@P.add("search", _FOUND + " SELECT row_number() OVER (ORDER BY sim DESC, doc) AS rank, PostId, round(sim, 4) AS sim, 'https://qa.example/questions/' || PostId AS link FROM r JOIN meta ON doc = PostId", "q a")
+SEARCHED = _QUERIES[2][1]
+FOUND_IN_TITLES = _FOUND + " SELECT row_number() OVER (ORDER BY sim DESC, doc) AS rank, PostId, round(sim, 4) AS sim, 'https://qa.example/questions/' || PostId AS link FROM r JOIN meta ON doc = PostId"
+
+
+@P.add("search", FOUND_IN_TITLES, "q a")
 def search(t: Tables) -> DataFrame:
-    m, docs = model(t, "Title")
-    engine = S.SearchEngine({"tfidf": (m, {"Title": m.vectors(docs, "Id", "Title")})}, metadata(t), "https://qa.example/questions/")
-    return engine.search(_QUERIES[2][1], "swing, java", 20).select("rank", "PostId", "sim", "link")
+    return indexed(t, ("Title",)).search(SEARCHED, "swing, java", 20).select("rank", "PostId", "sim", "link")
 
 
 @P.add("metadata_frame", _FOUND + r" SELECT PostId, Title, SnippetCount, regexp_extract(string_split(Snippets, '<_post_>')[1], 'Post: ([^\n]*)', 1) AS anslink, round(sim, 4) AS sim FROM r JOIN meta ON doc = PostId", "q a")
 def metadata_frame(t: Tables) -> DataFrame:
-    m, docs = model(t, "Title")
-    engine = S.SearchEngine({"tfidf": (m, {"Title": m.vectors(docs, "Id", "Title")})}, metadata(t), "https://qa.example/questions/")
-    return engine.search(_QUERIES[2][1], ["swing", "java"], 20).select("PostId", "Title", "SnippetCount", "anslink", "sim")
+    return indexed(t, ("Title",)).search(SEARCHED, ["swing", "java"], 20).select("PostId", "Title", "SnippetCount", "anslink", "sim")
 
 
 QUERIES, SQL = P.QUERIES, P.SQL
