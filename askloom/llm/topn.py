@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, IntegralType, NullType
 
 from askloom.session import cut
 
@@ -59,9 +60,11 @@ def _bisect(rows: DataFrame, groups: DataFrame, bits: int, hot_rows: float) -> D
 
 
 def top_n(df: DataFrame, group: str, score: str, ident: str, n: int, bits: int = 8, hot_share: float = 0.001) -> DataFrame:
-    """(group_key, item_id, score): the `n` rows of highest integer `score` in every group.
+    """(group_key, item_id, score): the `n` rows of highest `score` in every group.
 
-    Ties go to the smaller `ident` (an integer); a null score ranks below every other. Rows with a null group or
+    `score` is of an integer type or a decimal of at most 18 digits; a floating type raises TypeError, since its codes
+    would lose fractions: cast it to a decimal. Ties go to the smaller `ident` (an integer); a null score ranks below
+    every other. Rows with a null group or
     ident leave, equal (group, score, ident) rows count once, groups of at most n rows come out whole, an empty
     table gives an empty result; columns other than the three named are not read.
 
@@ -70,7 +73,12 @@ def top_n(df: DataFrame, group: str, score: str, ident: str, n: int, bits: int =
     (group, score) counts, then by ident among the rows tied at a cutoff. Groups with more than `hot_share` of all
     rows, of which there are at most 1/hot_share, meet their cutoffs by broadcast.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(ident).cast("long").alias("i"), F.col(score).cast("long").alias("s"))
+    kind = df.select(F.col(score).alias("s")).schema["s"].dataType
+    digits = kind.scale if isinstance(kind, DecimalType) else 0
+    if not isinstance(kind, (IntegralType, DecimalType, NullType)) or (digits and kind.precision > 18):
+        raise TypeError(f"{score} is {kind.simpleString()}, not an integer or a decimal of at most 18 digits")
+    code = (F.col(score) * F.lit(10**digits)).cast("long") if digits else F.col(score).cast("long")
+    rows = df.select(F.col(group).alias("g"), F.col(ident).cast("long").alias("i"), code.alias("s"))
     rows = cut(rows.where("g is not null and i is not null").dropDuplicates(["g", "s", "i"]))
     total, least = rows.agg(F.count("*"), F.min("s")).first()
     hot_rows = max(1.0, total * hot_share)
@@ -95,4 +103,5 @@ def top_n(df: DataFrame, group: str, score: str, ident: str, n: int, bits: int =
     whole = groups.where(F.col("size") <= n).select("g", "size", F.col("lo").alias("cutoff"), F.lit(None).cast("long").alias("last"))
     limits = cut(limits.unionByName(whole))
     kept = _meet(coded, limits, hot_rows).where("code > cutoff or (code = cutoff and (last is null or i <= last))")
-    return kept.select(F.col("g").alias("group_key"), F.col("i").alias("item_id"), F.when(F.col("code") != null_code, F.col("code")).alias("score"))
+    value = F.when(F.col("code") != null_code, F.col("code"))
+    return kept.select(F.col("g").alias("group_key"), F.col("i").alias("item_id"), (value / F.lit(10**digits)).cast(kind).alias("score") if digits else value.alias("score"))

@@ -74,3 +74,11 @@ def test_top_n_equals_sorting(spark, bits, hot):
 
 def test_top_n_empty(spark):
     assert top_n(spark.createDataFrame([], "p long, i long, s int"), "p", "s", "i", 3).collect() == []
+
+
+def test_top_n_of_fractions(spark):
+    df = spark.createDataFrame([("a", 1, "1.25"), ("a", 2, "1.5"), ("a", 3, "1.26"), ("a", 4, None), ("b", 5, "-0.75")], "g string, i long, s string")
+    got = top_n(df.withColumn("s", F.col("s").cast("decimal(6,2)")), "g", "s", "i", 2).collect()
+    assert sorted((r["group_key"], r["item_id"], str(r["score"])) for r in got) == [("a", 2, "1.50"), ("a", 3, "1.26"), ("b", 5, "-0.75")]
+    with pytest.raises(TypeError):
+        top_n(df.withColumn("s", F.col("s").cast("double")), "g", "s", "i", 2)
