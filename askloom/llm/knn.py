@@ -73,6 +73,60 @@ def _candidates(raw: np.ndarray, ids: np.ndarray, data: np.ndarray, query: np.nd
     return np.unique(np.concatenate(found), axis=0)
 
 
+def _decoded(raw: np.ndarray, dim: int) -> np.ndarray:
+    """The rotated unit vectors that codes hold in 8-bit levels."""
+    width = -(-dim // 8)
+    scale = np.ascontiguousarray(raw[:, width + dim :]).view(np.float32)[:, 1:2]
+    return raw[:, width : width + dim].view(np.int8).astype(np.float32) * (scale / 127)
+
+
+def _bytes(col: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(rows, -1)
+
+
+def _split(filed: DataFrame, dim: int, largest: int, parts: int, twice: int, sample_per_list: int, seed: int, most_sent: int = 100_000) -> DataFrame:
+    """(list, id, code) with lists above `largest` rows split by k-means of their own, again and again.
+
+    A list becomes at most `parts` lists of about an eighth of `largest`; a row goes to the `twice` nearest of them.
+    Centroids are fitted on about sample_per_list rows a part, which every list draws by hash, in a task for each list;
+    rows meet them in shards, so no task grows with a list. What no longer falls apart is left as it is.
+    """
+    before = None
+    while True:
+        counts = cut(filed.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > largest))
+        many, top = counts.agg(F.count("*"), F.max("n")).first()
+        if not many or (before is not None and top > 0.8 * before):
+            return filed
+        before = top
+        big = counts.withColumn("parts", F.least(F.lit(parts), F.ceil(F.col("n") * 8 / largest)).cast("int"))
+        joined = filed.join(F.broadcast(big) if many <= most_sent else big, "list", "left")
+        rows, rest = joined.where("parts is not null"), joined.where("parts is null").select("list", "id", "code")
+        drawn = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30)) * F.col("n") < F.col("parts") * F.lit(sample_per_list * (1 << 30))
+
+        def train(t: pa.Table) -> pa.Table:
+            sample = _decoded(_bytes(t["code"], len(t)), dim)
+            centre = train_lists(sample, min(t["parts"][0].as_py(), len(sample)), 5, seed)
+            return pa.table({"list": t["list"].slice(0, 1), "centre": pa.array([centre.tobytes()], pa.binary())})
+
+        def assign(t: pa.Table, c: pa.Table) -> pa.Table:
+            name = t["list"].slice(0, 0)
+            if not len(t) or not len(c):
+                return pa.table({"list": name, "id": t["id"].slice(0, 0) if len(t) else name, "code": pa.array([], pa.binary())})
+            centre = np.frombuffer(c["centre"][0].as_py(), np.float32).reshape(-1, dim)
+            near = min(twice, len(centre))
+            at = np.argpartition(-(_decoded(_bytes(t["code"], len(t)), dim) @ centre.T), near - 1, axis=1)[:, :near]
+            take = pa.array(np.repeat(np.arange(len(t)), near))
+            base = (t["list"][0].as_py() + 1) * parts
+            return pa.table({"list": base + at.ravel().astype(np.int64), "id": t["id"].take(take), "code": t["code"].take(take)})
+
+        centres = cut(rows.where(drawn).select("list", "parts", "code").groupBy("list").applyInArrow(train, "list long, centre binary"))
+        shards = F.ceil(F.col("n") / largest).cast("int")
+        dealt = rows.select("list", F.pmod(F.xxhash64("id", F.lit(seed + 1)), shards).cast("int").alias("shard"), "id", "code")
+        sent = centres.join(big, "list").select("list", F.explode(F.sequence(F.lit(0), shards - 1)).alias("shard"), "centre")
+        split = dealt.groupBy("list", "shard").cogroup(sent.groupBy("list", "shard")).applyInArrow(assign, "list long, id long, code binary")
+        filed = cut(rest.unionByName(split))
+
+
 def most_similar(
     df: DataFrame,
     key: str,
@@ -86,19 +140,21 @@ def most_similar(
     spread: int = 8,
     epsilon: float = 2.4,
     tile: int = 8192,
+    largest: int = 65_536,
     seed: int = 11,
 ) -> DataFrame:
     """(id, other, sim): for every usable vector its k most similar others, similarity at least `floor`.
 
     Similarity is the cosine in double precision, rounded to 6 decimals; equal ones by smaller id. Null, empty,
-    all-zero and non-finite vectors, vectors with null entries and vectors of another length than `dim` (by default
-    the most common length) take no part, nor do rows with a null key; keys are unique. Fewer than k others at
+    all-zero and non-finite vectors, vectors with null entries or entries of 1e150 and more, whose squares overflow, and
+    vectors of another length than `dim` (by default the most common length) take no part, nor do rows with a null key; keys are unique. Fewer than k others at
     `floor` give fewer rows; an empty table gives none. Other columns are not read.
 
     Equal vectors are one class: the search runs over classes, and members get their class's rows, so a value that
     fills a third of the table costs one vector. Each class is filed in its `spread` nearest of about n/per_list
-    lists (k-means on at most sample_per_list * lists vectors, lists at most `most_lists`: the one bounded sample; all
-    vectors are filed). Inside a list one-bit codes of randomly rotated vectors give estimates and error bounds; only
+    lists (k-means on at most sample_per_list * lists vectors, lists at most `most_lists`: a bounded sample; all vectors
+    are filed). Lists above `largest` rows, as beyond most_lists * largest / spread vectors all are, are split by k-means
+    of their own until they are below it (see _split), so that the work grows with the number of vectors. Inside a list one-bit codes of randomly rotated vectors give estimates and error bounds; only
     pairs which may be among the k best are reranked with exact cosines. Lists above `tile` rows are compared in
     blocks, every row against every block, by several tasks.
     """
@@ -136,12 +192,12 @@ def most_similar(
             near = np.argpartition(-(u @ c.T), spread - 1, axis=1)[:, :spread]
             take = pa.array(np.repeat(np.arange(len(u)), spread))
             packed = pa.array([b.tobytes() for b in blob], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column(0).take(take), packed.take(take)], ["list", "id", "code"])
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), batch.column(0).take(take), packed.take(take)], ["list", "id", "code"])
 
-    filed = cut(classes.select("rep", "v").mapInArrow(file, "list int, id long, code binary"))
-    # at most most_lists rows
-    large = filed.groupBy("list").count().where(F.col("count") > tile).select("list", F.ceil(F.col("count") / tile).cast("int").alias("blocks"))
-    placed = filed.join(F.broadcast(large), "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    filed = cut(classes.select("rep", "v").mapInArrow(file, "list long, id long, code binary"))
+    filed = _split(filed, dim, largest, 1024, 2, sample_per_list, seed)
+    large = cut(filed.groupBy("list").count().where(F.col("count") > tile).select("list", F.ceil(F.col("count") / tile).cast("int").alias("blocks")))
+    placed = filed.join(F.broadcast(large) if large.count() <= 100_000 else large, "list", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     # as data a row of a large list stays in its block, as query it meets every (block, own block) of the list
     every = F.sequence(F.lit(0), F.col("blocks") - 1)

@@ -21,15 +21,15 @@ def brute(rows, k, floor):
     return out
 
 
-@pytest.mark.parametrize("tile,per_list", [(8192, 4096), (40, 64)])
-def test_most_similar_recall(spark, tile, per_list):
+@pytest.mark.parametrize("tile,per_list,lists,largest", [(8192, 4096, 8192, 65_536), (40, 64, 8192, 65_536), (40, 16, 3, 100)])
+def test_most_similar_recall(spark, tile, per_list, lists, largest):
     rng = np.random.default_rng(7)
     centre = rng.standard_normal((40, 32))
     rows = [(i, (centre[i % 40] + 0.35 * rng.standard_normal(32)).astype(np.float32).tolist()) for i in range(400)]
     rows += [(500 + i, rows[3][1]) for i in range(20)] + [(600, [2 * x for x in rows[5][1]])]
     bad = [(700, None), (701, []), (702, [0.0] * 32), (703, [1.0] * 5), (704, [float("nan")] * 32), (None, rows[0][1])]
     df = spark.createDataFrame(rows + bad, "k long, v array<float>").withColumn("id", F.lit("clash"))
-    got = {(r["id"], r["other"]) for r in most_similar(df, "k", "v", 5, 0.8, tile=tile, per_list=per_list).collect()}
+    got = {(r["id"], r["other"]) for r in most_similar(df, "k", "v", 5, 0.8, tile=tile, per_list=per_list, most_lists=lists, largest=largest).collect()}
     want = brute(rows, 5, 0.8)
     assert len(got & want) / len(want) >= 0.98 and len(got - want) <= 0.02 * len(want)
     assert all(a != b for a, b in got)
