@@ -24,6 +24,7 @@ CLASSES = (
     ("AllAlnum", "ULD"),
 )
 _KIND = {"U": r"\p{Lu}", "L": r"\p{Ll}", "D": r"\p{Nd},."}
+# What an API call and a camel-case name look like.
 API = r"^(?:[a-zA-Z_$][a-zA-Z0-9_$]*\(\)$|([a-zA-Z_$][a-zA-Z0-9_$]*\.)+[a-zA-Z_$][a-zA-Z0-9_$]*(\(\))?)"
 CAMEL = r"^([a-z]+[A-Z]+\w+)+"
 
@@ -93,17 +94,66 @@ def context_template(order: Sequence[tuple[tuple[str, int], ...]], array: Column
     return F.transform(array, features)
 
 
-def templates(word_reps: Sequence[str] = ()) -> list[tuple[tuple[str, int], ...]]:
-    """The template list: orthographic fields alone, word pairs, then brown paths and clusters in their context."""
-    # The names of the fields.
-    alone = ["w", "wl", "dot", "brac", "uscr", "init_cap", "ccase", "api_ptrn", *(f"p{k}" for k in range(1, 5)), *(f"s{k}" for k in range(1, 5)), "is_api", "is_plat", "is_pl", "is_org", "is_stan", "is_fram"]
-    out: list[tuple[tuple[str, int], ...]] = [((f, 0),) for f in alone]
-    out += [((f, o), (f, o + 1)) for f in ("w", "wl") for o in (-1, 0)]
-    for rep in word_reps:
-        out += [((rep, o),) for o in (-1, 0, 1)]
-        if rep == "brown" or not rep.startswith("brown"):
-            out += [((rep, o), (rep, o + 1)) for o in (-1, 0)] + [((rep, -1), (rep, 1))]
-    return out
+# The templates of the tagger in their order, a field and the offsets it is read at; a,b is one template
+# of two places.
+TEMPLATES = """
+w 0
+wl 0
+dot 0
+brac 0
+uscr 0
+init_cap 0
+ccase 0
+api_ptrn 0
+p1 0
+p2 0
+p3 0
+p4 0
+s1 0
+s2 0
+s3 0
+s4 0
+is_api 0
+is_plat 0
+is_pl 0
+is_org 0
+is_stan 0
+is_fram 0
+w -1,0 0,1
+wl -1,0 0,1
+brown -1 0 1 -1,0 0,1 -1,1
+brown-p2 -1 0 1
+brown-p4 -1 0 1
+brown-p6 -1 0 1
+brown-p8 -1 0 1
+brown-p10 -1 0 1
+brown-p12 -1 0 1
+brown-p14 -1 0 1
+ce500 -1 0 1 -1,0 0,1 -1,1
+ce1000 -1 0 1 -1,0 0,1 -1,1
+ce1500 -1 0 1 -1,0 0,1 -1,1
+ce2000 -1 0 1 -1,0 0,1 -1,1
+ce3000 -1 0 1 -1,0 0,1 -1,1
+"""
+LISTS = ("is_api", "is_plat", "is_pl", "is_org", "is_stan", "is_fram")
+PREFIXES = (2, 4, 6, 8, 10, 12, 14)
+CLUSTERS = ("ce500", "ce1000", "ce1500", "ce2000", "ce3000")
+
+
+def read_templates(table: str = TEMPLATES) -> list[tuple[tuple[str, int], ...]]:
+    """A line `field places..` for each entry; a place is offsets joined by commas."""
+    rows = (line.split() for line in table.splitlines() if line.strip())
+    return [tuple((name, int(o)) for o in place.split(",")) for name, *places in rows for place in places]
+
+
+def token_fields(token: Column, lists: Column, path: Column, clusters: dict[str, Column]) -> dict[str, Column]:
+    """Every field the templates read: `lists` names the lists that hold the token, `path` is its Brown path, `clusters`
+    are its cluster ids; nulls mean none."""
+    out = {"w": token, "wl": F.lower(token)} | token_flags(token) | token_affixes(token)
+    out |= {k: flag(F.coalesce(F.array_contains(lists, k), F.lit(False))) for k in LISTS}
+    out["brown"] = F.coalesce(path, F.lit(""))
+    out |= {f"brown-p{n}": F.substring(out["brown"], 1, n) for n in PREFIXES}
+    return out | {k: F.coalesce(c.cast("string"), F.lit("")) for k, c in clusters.items()}
 
 
 def merge_entities(tokens: Column) -> Column:

@@ -92,27 +92,43 @@ def lemma_line(text: str | None) -> str:
     return _twice(text, lemma)
 
 
-_SOCIAL = re.compile(
-    r"https?://\S+|www\.\S+"
-    r"|(?:[\w+-]+\.)*[\w+-]+@(?:[A-Za-z0-9]+\.)+[a-z]{2,}"
-    r"|(?:[:=8;](?:[oO-]?)(?:[pPb|dO/\\]|[(\[]+|[D)\]]+))(?!\w)|<+/?3+|<?[-=]+>|<[-=]+"
-    r"|&(?:amp|lt|gt|quot);"
-    r"|[#@]\w+"
-    r"|\d+:\d+(?::\d+)?|(?:\d+,)+\d{3}(?!\d)|\d+\.\d+"
-    r"|(?:[A-Za-z]\.){2,}"
-    r"|(?:\w+\.)+\w+(?:\(\))?|\w+\(s?\)"
-    r"|==|!=|>=|<=|&&|\|\|"
-    r"|--+|―"
-    r"|\w+'\w+"
-    r"|['`\"“”‘’)]+|[.?!,…]+|[:;/(]+"
-    r"|[^\s.?!,…:;/(`\"“”‘’)']+|\S"
-)
+# What stays whole in short informal text, each kind under its own name, in the order they are tried.
+SOCIAL = {
+    "face": r"(?:\^_\^|[:=8;](?:|o|O|-)(?:[pPb]|[\|doO/\\]|[\(\[]+|[D\)\]]+)|(?:[\(\[]+|[D\)\]]+)(?:|o|O|-)[:=8;])(?!\w)",
+    "heart": r"<+/?3+",
+    "arrow": r"<*[-=]+>+|<+[-=]+",
+    "url": r"\b(?:https?://|www\.|[a-z0-9.-]+?\.(?:com|co\.uk|org|net|info|ca|edu|gov)(?=[/ \W]))[^ \t\r\n<>]*?(?=(?:(?:['“\".?!,(/:;]|&(?:amp|lt|gt|quot);)+?)?(?:\.\.+|[<>]|\s|$))",
+    "email": r"(?:[a-zA-Z0-9_+-]+\.)*[a-zA-Z0-9_+-]+@(?:[a-zA-Z0-9]+\.)+(?:com|co\.uk|org|net|info|ca|edu|gov)",
+    "entity": r"&(?:amp|lt|gt|quot);",
+    "hashtag": r"#[a-zA-Z0-9_]+",
+    "mention": r"@[a-zA-Z0-9_]+",
+    "time": r"\d+:\d+",
+    "decimal": r"\d+\.\d+",
+    "thousands": r"(?:\d+,)+?\d{3}(?=[^,]|$)",
+    "abbreviation": r"(?:(?:[A-Za-z]\.){2,}|(?:[A-Za-z]\.)+[A-Za-z])(?=\s|[“\"?!,:;]|&(?:amp|lt|gt|quot);)",
+    "separator": r"--+|―",
+    "decoration": r"[♫]+",
+    "apostrophe": r"\S+'\w+",
+    "api": r"(?:\w+\.)+\w+\(\)|\w+\(\)|(?:\w+\.)+\w+",
+    "punctuation": r"['`\"“”‘’)]+|[.?!,…]+|[:;/(]+",
+    "plural": r"\w+\(s\)",
+    "operator": r"==|!=|>=|<=|&&|\|\|",
+}
+#: Whatever lies between them falls apart at white space.
+_SOCIAL = re.compile("|".join(f"(?:{p})" for p in SOCIAL.values()))
 
 
 def social_tokens(text: str | None) -> list[tuple[str, int]]:
-    """(token, start) pairs for short informal text: faces, addresses, times, numbers, abbreviations, API calls and
-    runs of punctuation stay whole. Starts refer to the text given, so tokens always align."""
-    return [(m[0], m.start()) for m in _SOCIAL.finditer(text or "")]
+    """(token, start) pairs for short informal text: what SOCIAL names stays whole, the rest is split at white space.
+    Starts refer to the text given, so tokens always align."""
+    text, out, end = text or "", [], 0
+    found = [m.span() for m in _SOCIAL.finditer(text) if m.end() > m.start()]
+    for start, stop in [*found, (len(text), len(text))]:
+        out += [(m[0], end + m.start()) for m in re.finditer(r"\S+", text[end:start])]
+        if stop > start:
+            out.append((text[start:stop], start))
+        end = stop
+    return out
 
 
 def split_sentences(text: str | None) -> list[str]:
@@ -161,10 +177,14 @@ def align_social(c: Column) -> Column:
     return run(c)
 
 
+# The classifier's mask of line numbers and its tokens.
+LINE_NUMBER, MASK = r":[0-9]*\)", ":_xerrx_)"
+POST_TOKEN = r"((?U)\b\w\w+\b|[|&#@~_'\"=\\/\-:;*.$()\[\]{}])"
+
+
 def post_tokens(c: Column) -> Column:
     """The classifier's tokens: words of two or more characters and listed punctuation, line numbers masked."""
-    masked = F.regexp_replace(F.lower(c), r":[0-9]*\)", ":_xerrx_)")
-    return F.regexp_extract_all(masked, F.lit(r"((?U)\b\w\w+\b|[|&#@~_'\"=\\/\-:;*.$()\[\]{}])"), F.lit(1))
+    return F.regexp_extract_all(F.regexp_replace(F.lower(c), LINE_NUMBER, MASK), F.lit(POST_TOKEN), F.lit(1))
 
 
 def ngram_pairs(tokens: Column) -> Column:

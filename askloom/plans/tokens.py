@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from askloom.functions import html as H
 from askloom.functions import ner as N
 from askloom.functions import tokens as T
 from askloom.plans.base import Part, Tables
+from askloom.session import cut, shared_folder
+from askloom.sources import readers as R
 
 P = Part()
 
@@ -188,42 +193,102 @@ def feat_affix(t: Tables) -> DataFrame:
 
 
 _KEY = r"lower(regexp_replace(token, '\(\)$', ''))"
-_LISTS = {"is_pl": ["java", "kotlin", "scala", "c#"], "is_plat": ["linux", "windows", "android"], "is_fram": ["swing", "spring", "junit", "gson"]}
-_GAZ = f"WITH {_EACH} SELECT token, " + ", ".join("CASE WHEN {} IN ({}) THEN 'T' ELSE 'F' END AS {}".format(_KEY, ", ".join(f"'{x}'" for x in v), k) for k, v in _LISTS.items()) + " FROM d"
+# name lists are read from the table of tags, in six parts; Brown paths and clusters follow a rule from counts of tokens
+_NAMES = "g AS (SELECT lower(TagName) AS name, Id % 6 AS list FROM tags WHERE TagName IS NOT NULL)"
+_IN_LIST = {k: _tf(f"EXISTS (SELECT 1 FROM g WHERE list = {i} AND name = {_KEY})") for i, k in enumerate(N.LISTS)}
+_COUNTED = "f AS (SELECT token, count(*) AS n FROM k GROUP BY token)"
+_PATH = "CASE WHEN n >= 2 THEN bin(n * 37 + length(token)) ELSE '' END"
+_CLUSTER = {k: f"CASE WHEN n >= 3 THEN ((n * 7 + length(token)) % {k[2:]})::VARCHAR ELSE '' END" for k in N.CLUSTERS}
 
 
-@P.add("feat_gazetteer", _GAZ, "q")
-@P.add("broadcast_lookup_features", _GAZ, "q")
-def feat_gazetteer(t: Tables) -> DataFrame:
-    """Flags from name lists; a list is configuration, so it is the broadcast side."""
-    rows = [(w, k) for k, v in _LISTS.items() for w in v]
-    names = t.spark.createDataFrame(rows, "name string, list string").groupBy("name").agg(F.collect_set("list").alias("lists"))
-    joined = distinct_words(t).withColumn("key", N.gazetteer_key(F.col("token"))).join(F.broadcast(names), F.col("key") == F.col("name"), "left")
-    return joined.select("token", *(N.flag(F.coalesce(F.array_contains("lists", k), F.lit(False))).alias(k) for k in _LISTS))
+def _written(df: DataFrame) -> str:
+    """A text file of the rows' columns, tab-separated, in the shared folder."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/lists-{uuid.uuid4().hex}"
+    df.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in df.columns)).alias("value")).write.text(path)
+    return path
+
+
+def name_lists(t: Tables) -> DataFrame:
+    """(name, lists) of the six lists of names, each a text file of its own."""
+    tags, parts = t.raw("tags").where("TagName is not null"), []
+    for i, k in enumerate(N.LISTS):
+        names = R.gazetteer(t.spark, _written(tags.where(F.col("Id") % 6 == i).select("TagName")))
+        parts.append(names.select("name", F.lit(k).alias("list")))
+    return reduce(DataFrame.unionByName, parts).groupBy("name").agg(F.collect_set("list").alias("lists"))
+
+
+def counted(each: DataFrame) -> DataFrame:
+    return each.groupBy("token").agg(F.count("*").alias("n"))
+
+
+def paths_of(often: DataFrame) -> DataFrame:
+    """(token, path) from a file of Brown paths over the tokens of two occurrences or more."""
+    rows = often.where("n >= 2").select(F.bin(F.col("n") * 37 + F.length("token")).alias("path"), "token", "n")
+    return R.brown_paths(often.sparkSession, _written(rows)).select("token", "path")
 
 
-_PATHS = {"how": "0010", "to": "00110", "my": "0101101", "each": "010111", "with": "1101"}
-_BROWN = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _PATHS.items()) + ") b(name, path)"
+def clusters_of(often: DataFrame) -> DataFrame:
+    """(token, cluster ids) of the tokens of three occurrences or more."""
+    return often.where("n >= 3").select("token", *(((F.col("n") * 7 + F.length("token")) % int(k[2:])).cast("string").alias(k) for k in N.CLUSTERS))
 
 
-@P.add("feat_brown", f"WITH {_EACH} SELECT token, coalesce(path, '') AS brown, " + ", ".join(f"coalesce(left(path, {n}), '') AS brown_p{n}" for n in range(2, 16, 2)) + f" FROM d LEFT JOIN {_BROWN} ON lower(token) = name", "q")
+_GAZ = f"WITH {_EACH}, {_NAMES} SELECT token, " + ", ".join(f"{v} AS {k}" for k, v in _IN_LIST.items()) + " FROM d"
+
+
+@P.add("feat_gazetteer", _GAZ, "q")
+def feat_gazetteer(t: Tables) -> DataFrame:
+    """Flags from six name lists read from files; a list is configuration, so it is the broadcast side."""
+    joined = distinct_words(t).withColumn("key", N.gazetteer_key(F.col("token"))).join(F.broadcast(name_lists(t)), F.col("key") == F.col("name"), "left")
+    return joined.select("token", *(N.flag(F.coalesce(F.array_contains("lists", k), F.lit(False))).alias(k) for k in N.LISTS))
+
+
+@P.add("feat_brown", f"WITH {_EACH}, {_COUNTED}, b AS (SELECT token, {_PATH} AS path FROM f) SELECT token, path AS brown, " + ", ".join(f"left(path, {n}) AS brown_p{n}" for n in N.PREFIXES) + " FROM b", "q")
 def feat_brown(t: Tables) -> DataFrame:
-    paths = t.spark.createDataFrame(list(_PATHS.items()), "name string, path string")
-    joined = distinct_words(t).join(F.broadcast(paths), F.lower("token") == F.col("name"), "left")
+    often = cut(counted(each_word(t)))
     path = F.coalesce("path", F.lit(""))
-    return joined.select("token", path.alias("brown"), *(F.substring(path, 1, n).alias(f"brown_p{n}") for n in range(2, 16, 2)))
+    return often.select("token").join(paths_of(often), "token", "left").select("token", path.alias("brown"), *(F.substring(path, 1, n).alias(f"brown_p{n}") for n in N.PREFIXES))
 
 
-_CE = f"WITH {_EACH}, f AS (SELECT token, count(*) AS n FROM k GROUP BY token HAVING count(*) >= 3) SELECT token, (length(token) % 5)::INT AS ce5, (length(token) % 7)::INT AS ce7 FROM f"
+@P.add("token_ce", f"WITH {_EACH}, {_COUNTED} SELECT token, " + ", ".join(f"{v} AS {k}" for k, v in _CLUSTER.items()) + " FROM f WHERE n >= 3", "q")
+def token_ce(t: Tables) -> DataFrame:
+    """The table of cluster ids: tokens seen at least 3 times."""
+    return clusters_of(counted(each_word(t)))
 
 
-@P.add("token_ce", _CE, "q")
-@P.add("feat_ce", _CE, "q")
-def token_ce(t: Tables) -> DataFrame:
-    """Cluster ids of the tokens seen at least 3 times, from a lookup table of clusters."""
-    often = each_word(t).groupBy("token").agg(F.count("*").alias("n")).where("n >= 3")
-    clusters = often.select("token", (F.length("token") % 5).alias("ce5"), (F.length("token") % 7).alias("ce7"))
-    return often.select("token").join(clusters, "token")
+@P.add("feat_ce", f"WITH {_EACH}, {_COUNTED} SELECT Id, pos, token, " + ", ".join(f"{v} AS {k}" for k, v in _CLUSTER.items()) + " FROM k JOIN f USING (token)", "q")
+def feat_ce(t: Tables) -> DataFrame:
+    """Cluster ids of every token of a sentence, empty for tokens the table does not know."""
+    each = each_word(t)
+    joined = each.join(clusters_of(counted(each)), "token", "left")
+    return joined.select("Id", F.col("pos").cast("long").alias("pos"), "token", *(F.coalesce(k, F.lit("")).alias(k) for k in N.CLUSTERS))
+
+
+_FIELDS = (
+    {"w": "token", "wl": "lower(token)"} | _FLAGS | {f"p{k}": f"left(token, {k})" for k in range(1, 5)} | {f"s{k}": f"right(token, {k})" for k in range(1, 5)} | _IN_LIST
+    | {"brown": _PATH} | {f"brown-p{n}": f"left({_PATH}, {n})" for n in N.PREFIXES} | _CLUSTER
+)
+_WITH_FIELDS = f"{_EACH}, {_NAMES}, {_COUNTED}, y AS (SELECT token, " + ", ".join(f'{v} AS "{k}"' for k, v in _FIELDS.items()) + " FROM f), z AS (SELECT Id, pos, y.* FROM k JOIN y USING (token))"
+
+
+@P.add("broadcast_lookup_features", f"WITH {_WITH_FIELDS} SELECT Id, pos, token, concat_ws('|', " + ", ".join(f'"{k}"' for k in (*N.LISTS, "brown", *N.CLUSTERS)) + ") AS found FROM z", "q")
+def broadcast_lookup_features(t: Tables) -> DataFrame:
+    """What the lookups say of every token of a sentence: lists, path and clusters, by joins."""
+    rows = with_fields(t, words(t).select(F.struct("Id").alias("key"), "ws"))
+    each = rows.select("key.Id", F.posexplode("x").alias("pos", "f"))
+    return each.select("Id", F.col("pos").cast("long").alias("pos"), F.col("f.w").alias("token"), F.concat_ws("|", *(F.col("f")[k] for k in (*N.LISTS, "brown", *N.CLUSTERS))).alias("found"))
+
+
+def with_fields(t: Tables, sentences: DataFrame) -> DataFrame:
+    """(key, ws, x): sentences (key, ws) with every field of every token, x in the order of ws. The features of a token
+    are made once for each distinct token, by joins with the lists, the paths and the clusters."""
+    each = sentences.select("key", F.posexplode("ws").alias("pos", "token"))
+    often = cut(counted(each))
+    known = often.select("token", N.gazetteer_key(F.col("token")).alias("name")).join(F.broadcast(name_lists(t)), "name", "left")
+    known = known.join(paths_of(often), "token", "left").join(clusters_of(often), "token", "left")
+    fields = N.token_fields(F.col("token"), F.col("lists"), F.col("path"), {k: F.col(k) for k in N.CLUSTERS})
+    made = known.select("token", F.struct(*(v.alias(k) for k, v in fields.items())).alias("f"))
+    placed = each.join(made, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "f"))).alias("x"))
+    return placed.select("key", F.transform("x", lambda v: v["f"]["w"]).alias("ws"), F.transform("x", lambda v: v["f"]).alias("x"))
 
 
 @P.add("bos_eos", f"WITH {_EACH} SELECT Id, pos, token, CASE WHEN pos = 0 THEN 'T' ELSE 'F' END AS bos, CASE WHEN lead(pos) OVER (PARTITION BY Id ORDER BY pos) IS NULL THEN 'T' ELSE 'F' END AS eos FROM k", "q")
@@ -236,15 +301,29 @@ _CONTEXT = f"WITH {_EACH}, c AS (SELECT Id, pos, token, lag(token) OVER x AS p,
 
 
 @P.add("lead_lag_template", _CONTEXT, "q")
-@P.add("feat_template", _CONTEXT, "q")
 def lead_lag_template(t: Tables) -> DataFrame:
     """Context features of each token, read off the sentence's array; the order of templates is kept."""
-    order = [(("w", -1),), (("w", 0),), (("w", 1),), (("w", -1), ("w", 0))]
+    order = N.read_templates("w -1 0 1 -1,0")
     rows = words(t).select("Id", F.transform("ws", lambda w: F.struct(w.alias("w"))).alias("x"))
     rows = rows.select("Id", F.posexplode(N.context_template(order, F.col("x"))).alias("pos", "f"))
     return rows.select("Id", F.col("pos").cast("long").alias("pos"), F.array_join("f", "\t").alias("features"))
 
 
+def _at(field: str, offset: int) -> str:
+    return f'"{field}"' if offset == 0 else f'{"lag" if offset < 0 else "lead"}("{field}") OVER x'
+
+
+_ALL = ", ".join("'{}=' || {}".format("|".join(f"{f}[{o}]" for f, o in tpl), " || '|' || ".join(_at(f, o) for f, o in tpl)) for tpl in N.read_templates())
+
+
+@P.add("feat_template", f"WITH {_WITH_FIELDS} SELECT Id, pos, md5(concat_ws(chr(9), {_ALL}, CASE WHEN lag(pos) OVER x IS NULL THEN '__BOS__' END, CASE WHEN lead(pos) OVER x IS NULL THEN '__EOS__' END)) AS features FROM z WINDOW x AS (PARTITION BY Id ORDER BY pos)", "q")
+def feat_template(t: Tables) -> DataFrame:
+    """The digest of each token's features from every template."""
+    rows = with_fields(t, words(t).select(F.struct("Id").alias("key"), "ws"))
+    each = rows.select("key.Id", F.posexplode(N.context_template(N.read_templates(), F.col("x"))).alias("pos", "f"))
+    return each.select("Id", F.col("pos").cast("long").alias("pos"), F.md5(F.array_join("f", "\t")).alias("features"))
+
+
 @P.add("sentence_id", f"WITH {_EACH} SELECT Id, pos, sum(CASE WHEN right(token, 1) = '?' THEN 1 ELSE 0 END) OVER (PARTITION BY Id ORDER BY pos)::BIGINT AS sent FROM k", "q")
 def sentence_id(t: Tables) -> DataFrame:
     w = Window.partitionBy("Id").orderBy("pos")
@@ -278,37 +357,52 @@ def entity_merge(t: Tables) -> DataFrame:
     return merged.where(F.size("e") > 0).select("Id", F.array_join("e", "<_ent_>").alias("entities"))
 
 
+def all_sentences(t: Tables) -> DataFrame:
+    """(key, ws): titles and the sentences of bodies and answers, words by white space. key: Id, part, sent; the part of
+    an answer is its id."""
+    parts = [words(t).select(F.struct("Id", F.lit(0).cast("long").alias("part"), F.lit(0).alias("sent")).alias("key"), "ws")]
+    for rows, part in ((body(t), F.lit(1).cast("long")), (t.a("ParentId", "Body").where("ParentId is not null and Body is not null").select(F.col("ParentId").alias("Id"), "Body", F.col("Id").alias("part")), F.col("part"))):
+        text = T.sentences(H.html_text(F.col("Body")))
+        each = rows.select("Id", part.alias("part"), F.posexplode(text).alias("sent", "text"))
+        parts.append(each.select(F.struct("Id", "part", "sent").alias("key"), F.split(F.trim("text"), r"\s+").alias("ws")).where("ws[0] <> ''"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def featured(t: Tables) -> DataFrame:
-    """(Id, ws, features, labels): titles with token features and the rule tagger's labels."""
-    parts = F.transform("ws", lambda w: F.struct(w.alias("w"), F.lower(w).alias("wl"), N.token_type(w).alias("type"), F.substring(w, 1, 2).alias("p2"), F.right(w, F.lit(2)).alias("s2")))
-    order = [(("w", 0),), (("wl", 0),), (("type", 0),), (("p2", 0),), (("s2", 0),), (("type", -1), ("type", 0)), (("wl", -1),), (("wl", 1),)]
-    return words(t).select("Id", "ws", rule_labels(F.col("ws")).alias("y"), parts.alias("x")).select("Id", "ws", N.context_template(order, F.col("x")).alias("features"), F.transform("y", lambda v: v["label"]).alias("labels"))
+    """(key, ws, features, labels): every sentence with the features of all templates and the rule tagger's labels."""
+    rows = with_fields(t, all_sentences(t))
+    return rows.select("key", "ws", N.context_template(N.read_templates(), F.col("x")).alias("features"), F.transform(rule_labels(F.col("ws")), lambda v: v["label"]).alias("labels"))
+
+
+def trained(rows: DataFrame, most: int = 400) -> N.LinearChain:
+    """A tagger fitted on at most `most` labelled sentences of `featured`, chosen by hash."""
+    sample = rows.orderBy(F.xxhash64("key"), "key").limit(most).collect()
+    return N.LinearChain(["O", "B-Class", "I-Class", "B-Api"]).train([(r["features"], r["labels"]) for r in sample])
 
 
-def trained(t: Tables, most: int = 400) -> N.LinearChain:
-    """A tagger fitted on at most `most` labelled titles, chosen by hash."""
-    rows = featured(t).orderBy(F.xxhash64("Id"), "Id").limit(most).collect()
-    return N.LinearChain(["O", "B-Class", "I-Class", "B-Api"]).train([(r["features"], r["labels"]) for r in rows])
+def tagged(t: Tables) -> DataFrame:
+    """(id, tagged): every sentence tagged by the trained model, all partitions at once."""
+    rows = cut(featured(t).select("key", "ws", "features", "labels"))
+    return N.tag_sentences(rows, trained(rows), "key", "ws", "features")
 
 
 @P.add("crf_train")
 def crf_train(t: Tables) -> DataFrame:
-    model = trained(t)
+    model = trained(featured(t))
     rows = [(f, y, float(w)) for f, ws in sorted(model.weights.items()) for y, w in zip(model.labels, ws) if w]
     return t.spark.createDataFrame(rows or [("", "O", 0.0)], "feature string, label string, weight double")
 
 
 @P.add("crf_tag")
 def crf_tag(t: Tables) -> DataFrame:
-    tagged = N.tag_sentences(featured(t), trained(t), "Id", "ws", "features")
-    return tagged.select("id", F.posexplode("tagged").alias("pos", "x")).select("id", "pos", "x.token", "x.label")
+    return tagged(t).select("id.*", F.posexplode("tagged").alias("pos", "x")).select("Id", "part", "sent", "pos", "x.token", "x.label")
 
 
 @P.add("entity_extract_parallel")
 def entity_extract_parallel(t: Tables) -> DataFrame:
-    """Distinct entities of every title by the trained tagger, all partitions at once."""
-    tagged = N.tag_sentences(featured(t), trained(t), "Id", "ws", "features")
-    return tagged.select("id", F.array_join(F.array_distinct(N.merge_entities(F.col("tagged"))), "<_ent_>").alias("entities"))
+    """Distinct entities of every question, its title, body and answers, by the trained tagger."""
+    each = tagged(t).select("id.Id", F.explode(N.merge_entities(F.col("tagged"))).alias("entity"))
+    return each.groupBy("Id").agg(F.array_join(F.array_sort(F.collect_set("entity")), "<_ent_>").alias("entities"))
 
 
 QUERIES, SQL = P.QUERIES, P.SQL

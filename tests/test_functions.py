@@ -75,4 +75,4 @@ def test_tagger():
     data = [([["w=A"], ["w=b"]], ["B-X", "O"]), ([["w=b"], ["w=A"]], ["O", "B-X"])] * 3
     model = N.LinearChain(["O", "B-X"]).train(data)
     assert all(model.tag(f) == y for f, y in data) and model.tag([]) == []
-    assert len(N.templates(["brown", "brown-p2", "ce500"])) == 22 + 4 + 6 + 3 + 6
+    assert len(N.read_templates()) == 83 and N.read_templates("w -1,0 1") == [(("w", -1), ("w", 0)), (("w", 1),)]
