@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -72,12 +76,48 @@ def glove_train(tokens: DataFrame, dim: int = 50, window: int = 10, min_count: i
 
 
 def cluster_train(df: DataFrame, vector: str, k: int, rounds: int = 20, seed: int = 3, algorithm: str = "simple") -> KMeansModel:
-    """k-means over array vectors; `simple` and `minibatch` are known, both run Spark's parallel k-means."""
-    if algorithm not in ("simple", "minibatch"):
+    """k-means over array vectors by Spark's parallel k-means (`simple`). `minibatch` is another function's, which has no
+    Spark model: see minibatch_centres."""
+    if algorithm != "simple":
         raise ValueError(f"unknown algorithm {algorithm!r}")
     return KMeans(k=k, maxIter=rounds, seed=seed, featuresCol="x", predictionCol="cluster").fit(df.select(array_to_vector(vector).alias("x")))
 
 
+def minibatch_centres(df: DataFrame, vector: str, k: int, rounds: int = 100, batch: int = 100, seed: int = 7) -> np.ndarray:
+    """Centres of mini-batch k-means: k rows to start from, then `rounds` batches, each row pulling its nearest centre by
+    one over the rows which that centre has seen. The method looks at no more than k + rounds * batch rows, so these, by
+    hash, are what reaches the driver; a table of fewer rows is gone through again."""
+    rows = df.where(F.col(vector).isNotNull()).orderBy(F.xxhash64(F.lit(seed), vector)).limit(k + rounds * batch).select(vector).toPandas()[vector]
+    x = np.array(rows.tolist(), dtype=np.float64)
+    if len(x) < k:
+        raise ValueError(f"{len(x)} vectors for {k} clusters")
+    rng = np.random.default_rng(seed)
+    centre, seen = x[:k].copy(), np.zeros(k)
+    for r in range(rounds):
+        at = (k + np.arange(r * batch, (r + 1) * batch)) % len(x) if k + rounds * batch > len(x) else np.arange(k + r * batch, k + (r + 1) * batch)
+        part = x[rng.permutation(at)]
+        near = ((centre**2).sum(1) - 2 * part @ centre.T).argmin(1)
+        for c in range(k):
+            mine = part[near == c]
+            if len(mine):
+                seen[c] += len(mine)
+                centre[c] += (mine - centre[c]).sum(0) / seen[c]
+    return centre
+
+
+def nearest_centre(centre: np.ndarray, df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(key, cluster): the nearest centre of every vector of their length, smaller number first; others leave."""
+    dim, half = centre.shape[1], (centre**2).sum(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((half - 2 * v @ centre.T).argmin(1).astype(np.int32))], [key, "cluster"])
+
+    usable = df.where((F.size(vector) == dim) & F.forall(vector, lambda x: x.isNotNull())).select(key, vector)
+    return usable.mapInArrow(run, f"{key} {dict(df.dtypes)[key]}, cluster int")
+
+
 def cluster_predict(model: KMeansModel, df: DataFrame, key: str, vector: str) -> DataFrame:
     return model.transform(df.select(key, array_to_vector(vector).alias("x"))).select(key, "cluster")
 

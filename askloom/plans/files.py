@@ -35,7 +35,6 @@ def titles(t: Tables) -> DataFrame:
 
 @P.add("sink_table", _TITLES, "q")
 @P.add("sink_frame", _TITLES, "q")
-@P.add("scan_pickle", _TITLES, "q")
 def sink_table(t: Tables) -> DataFrame:
     path = folder(t, "titles")
     W.write_table(titles(t), path)
@@ -51,7 +50,6 @@ def sink_insert_or_replace(t: Tables) -> DataFrame:
 
 
 @P.add("union_partitions", _TITLES, "q")
-@P.add("scan_npy", _TITLES, "q")
 def union_partitions(t: Tables) -> DataFrame:
     """Partition files come together by reading their folder."""
     path = folder(t, "parts")
@@ -59,6 +57,25 @@ def union_partitions(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("Id", "Title")
 
 
+@P.add("scan_npy", "SELECT PostId AS doc, len(TitleV) AS n, round(list_sum(TitleV::DOUBLE[]), 6) AS total FROM v WHERE len(TitleV) > 0", "v")
+def scan_npy(t: Tables) -> DataFrame:
+    """Matrices stored in partition files, read by the prefix of their names; those of another prefix stay unread."""
+    path, v = folder(t, "matrices"), t.v("TitleV", "BodyV")
+    for k in range(3):
+        W.write_table(v.where(F.pmod(F.xxhash64("PostId"), F.lit(3)) == k).select("PostId", F.col("TitleV").alias("vec")), f"{path}/title-{k}")
+    W.write_table(v.select("PostId", F.col("BodyV").alias("vec")), f"{path}/body-0")
+    total = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return t.spark.read.parquet(f"{path}/title-*").where("size(vec) > 0").select(F.col("PostId").alias("doc"), F.size("vec").cast("long").alias("n"), F.round(total, 6).alias("total"))
+
+
+@P.add("scan_pickle", f"WITH {_META} SELECT PostId, len(etags) AS tags, etags[1] AS first, SnippetCount FROM meta", "q a")
+def scan_pickle(t: Tables) -> DataFrame:
+    """A stored metadata frame with lists in its cells."""
+    path = folder(t, "metadata")
+    W.write_table(metadata(t), path)
+    return t.spark.read.parquet(path).select("PostId", F.size("etags").cast("long").alias("tags"), F.get("etags", F.lit(0)).alias("first"), "SnippetCount")
+
+
 @P.add("sink_text", f"SELECT Title AS line FROM ({_TITLES})", "q")
 @P.add("scan_text", f"SELECT Title AS line FROM ({_TITLES})", "q")
 @P.add("line_feed", f"SELECT Title AS line FROM ({_TITLES})", "q")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from askloom.functions.html import html_text
 from askloom.functions.text import clean_corpus, line_quality, normalize_text
 from askloom.operators import learning as L
+from askloom.operators import relational as R
 from askloom.plans.base import Part, Tables
 from askloom.plans.search import dense
 from askloom.plans.tokens import _WORDS, words
@@ -46,32 +47,50 @@ def glove_train(t: Tables) -> DataFrame:
     return L.glove_train(corpus_words(t), dim=8, min_count=3, rounds=3)
 
 
-#: A small table of word vectors from a rule, so that SQL can build it as well.
-_LETTERS = "SELECT DISTINCT token, [length(token)::DOUBLE, (ascii(token) % 7)::DOUBLE, (length(token) % 3)::DOUBLE] AS vec FROM k WHERE length(token) > 3"
+#: Word vectors by table: the embeddings, given to the words of titles in alphabetical order.
+_VECTORS = "x AS (SELECT token, row_number() OVER (ORDER BY token) AS r FROM (SELECT DISTINCT token FROM k)), t AS (SELECT token, embedding::DOUBLE[] AS vec FROM x JOIN (SELECT DISTINCT ON (vec_id) * FROM embeddings) e ON e.vec_id = r - 1)"
 
 
-def ruled_vectors(t: Tables) -> DataFrame:
-    words_ = title_words(t).select("token").distinct().where(F.length("token") > 3)
-    return words_.select("token", F.array(F.length("token").cast("double"), (F.ascii("token") % 7).cast("double"), (F.length("token") % 3).cast("double")).alias("vec"))
+def tabled_vectors(t: Tables) -> DataFrame:
+    """(token, vec): of words beyond the number of embeddings there is none."""
+    words_ = R.number_rows(title_words(t).select("token").distinct(), [F.col("token")]).select("token", (F.col("row") - 1).alias("vec_id"))
+    return words_.join(t.raw("embeddings").dropDuplicates(["vec_id"]).select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("token", "vec")
 
 
 def _mean_sql(join: str, vec: str) -> str:
-    return f"WITH w AS ({_WORDS}), k AS (SELECT Id, unnest(list_transform(ws, lambda x: lower(x))) AS token FROM w), t AS ({_LETTERS}), u AS (SELECT Id, {vec} AS vec FROM k {join} JOIN t USING (token)), n AS (SELECT Id, vec, sqrt(list_sum(list_transform(vec, lambda x: x * x))) AS n FROM u) SELECT Id AS doc, round(avg(vec[1] / n), 6) AS c0, round(avg(vec[2] / n), 6) AS c1, round(avg(vec[3] / n), 6) AS c2 FROM n GROUP BY Id"
+    k = f"WITH w AS ({_WORDS}), k AS (SELECT Id, unnest(list_transform(ws, lambda x: lower(x))) AS token FROM w), {_VECTORS}"
+    unit = "n AS (SELECT Id, list_transform(vec, lambda z: z / s) AS u FROM (SELECT Id, vec, sqrt(list_sum(list_transform(vec, lambda z: z * z))) AS s FROM j))"
+    return f"{k}, j AS (SELECT Id, {vec} AS vec FROM k {join} JOIN t USING (token)), {unit}, p AS (SELECT Id, unnest(u) AS x, generate_subscripts(u, 1) - 1 AS i FROM n) SELECT Id AS doc, i, round(avg(x), 6) + 0.0 AS value FROM p GROUP BY ALL"
 
 
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.select("doc", *(F.round(F.get("vec", i), 6).alias(f"c{i}") for i in range(3)))
+def _components(df: DataFrame) -> DataFrame:
+    return df.select("doc", F.posexplode("vec").alias("i", "value")).select("doc", F.col("i").cast("long").alias("i"), (F.round("value", 6) + 0.0).alias("value"))
+
+
+def _size(t: Tables) -> int:
+    return t.raw("embeddings").agg(F.max(F.size("embedding"))).first()[0]
 
 
-@P.add("fasttext_vectors", _mean_sql("", "vec"), "q")
 @P.add("vector_mean", _mean_sql("", "vec"), "q")
 def vector_mean(t: Tables) -> DataFrame:
-    return _rounded(L.document_vectors(title_words(t), ruled_vectors(t), 3))
+    """The mean of the unit vectors of a title's known words, a row for each number."""
+    return _components(L.document_vectors(title_words(t), tabled_vectors(t), _size(t)))
+
+
+@P.add("fasttext_vectors", _mean_sql("", "vec"), "q")
+def fasttext_vectors(t: Tables) -> DataFrame:
+    """The same vectors by the dense space of the search engine, from texts."""
+    from askloom.operators.retrieval import WordSpace
+
+    texts = titles(t).select("Id", F.array_join("ws", " ").alias("text"))
+    return _components(WordSpace(tabled_vectors(t), _size(t)).vectors(texts, "Id", "text"))
 
 
-@P.add("glove_vectors", _mean_sql("LEFT", "coalesce(vec, [1.0, 1.0, 1.0])"), "q")
+@P.add("glove_vectors", _mean_sql("LEFT", "coalesce(vec, (SELECT list_transform(embedding, lambda z: 1.0::DOUBLE) FROM embeddings LIMIT 1))"), "q")
 def glove_vectors(t: Tables) -> DataFrame:
-    return _rounded(L.document_vectors(title_words(t), ruled_vectors(t), 3, F.array(*[F.lit(1.0)] * 3)))
+    """Unknown words count as one vector of their own, here all ones."""
+    dim = _size(t)
+    return _components(L.document_vectors(title_words(t), tabled_vectors(t), dim, F.array(*[F.lit(1.0)] * dim)))
 
 
 @P.add("embed_cluster_train")
@@ -87,6 +106,13 @@ def embed_cluster_predict(t: Tables) -> DataFrame:
     return L.cluster_predict(L.cluster_train(d, "vec", 10), d, "doc", "vec")
 
 
+@P.add("embed_cluster_minibatch")
+def embed_cluster_minibatch(t: Tables) -> DataFrame:
+    """Clusters by mini-batches, predicted for every vector."""
+    d = dense(t, "TitleV")
+    return L.nearest_centre(L.minibatch_centres(d, "vec", 10), d, "doc", "vec")
+
+
 @P.add("cluster_members", "WITH x AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM (SELECT DISTINCT vec_id, label FROM embeddings) QUALIFY n <= 20) SELECT label, string_agg(vec_id, ' ' ORDER BY vec_id) AS members FROM x GROUP BY label")
 def cluster_members(t: Tables) -> DataFrame:
     """The first 20 members of every cluster; window group limits keep big clusters off one task."""

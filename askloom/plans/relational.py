@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askloom.operators import relational as R
 from askloom.functions.html import extract_parts
+from askloom.functions.tokens import post_tokens
+from askloom.operators import relational as R
 from askloom.plans.base import Part, Tables, code_parts_sql
+from askloom.session import cut, shared_folder
 
 P = Part()
+# The columns of a question that are kept.
 _QCOLS = ["Id", "AcceptedAnswerId", "Title", "Body", "Tags", "Score", "FavoriteCount", "ViewCount", "AnswerCount", "CommentCount", "OwnerUserId", "CreationDate", "LastEditDate"]
 _JAVA = "(Tags ILIKE '%java%' OR Tags ILIKE '%swing%') AND Tags NOT ILIKE '%javascript%'"
 
@@ -259,12 +264,21 @@ _WIDER = _SNIPS + " SELECT q.Id, Title, coalesce(g.SnippetCount, 0) AS SnippetCo
 
 
 @P.add("left_join_snippets", _WIDER, "q a")
-@P.add("alter_add_columns", _WIDER, "q a")
 def left_join_snippets(t: Tables) -> DataFrame:
     joined = t.q("Title").join(snippets_of(t), F.col("Id") == F.col("ParentId"), "left")
     return joined.select("Id", "Title", F.coalesce("SnippetCount", F.lit(0)).alias("SnippetCount"), F.coalesce("Snippets", F.lit("")).alias("Snippets"))
 
 
+@P.add("alter_add_columns", _WIDER, "q a")
+def alter_add_columns(t: Tables) -> DataFrame:
+    """A stored table gets wider: the new table is written beside the old one, which stays until readers have moved."""
+    place = f"{shared_folder(t.spark).rstrip('/')}/alter-{uuid.uuid4().hex}"
+    t.q("Title").write.parquet(f"{place}/old")
+    joined = t.spark.read.parquet(f"{place}/old").join(snippets_of(t), F.col("Id") == F.col("ParentId"), "left")
+    joined.select("Id", "Title", F.coalesce("SnippetCount", F.lit(0)).alias("SnippetCount"), F.coalesce("Snippets", F.lit("")).alias("Snippets")).write.parquet(f"{place}/new")
+    return t.spark.read.parquet(f"{place}/new")
+
+
 @P.add("semi_join_index_dataset", f"SELECT Id, Title, Body FROM q WHERE Body IS NOT NULL AND Id IN (SELECT Id FROM q WHERE {_INDEX_SQL})", "q")
 def semi_join_index_dataset(t: Tables) -> DataFrame:
     return R.semi(t.q("Title", "Body").where("Body is not null"), "Id", index_posts(t).select("Id"))
@@ -297,9 +311,10 @@ def token_frequencies(t: Tables) -> DataFrame:
     return frequencies(t)
 
 
-@P.add("sort_frequencies", f"{_FREQ} ORDER BY n DESC, token LIMIT 100", "q")
+@P.add("sort_frequencies", _FREQ, "q")
 def sort_frequencies(t: Tables) -> DataFrame:
-    return frequencies(t).orderBy(F.desc("n"), "token").limit(100)
+    """Every token, most frequent first: a range sort, no single task."""
+    return frequencies(t).orderBy(F.desc("n"), "token")
 
 
 @P.add("distinct_tags", "SELECT DISTINCT tag FROM tag", "tag")
@@ -307,9 +322,10 @@ def distinct_tags(t: Tables) -> DataFrame:
     return t.tags().select("tag").distinct()
 
 
-@P.add("inverted_index", "SELECT tag, string_agg(Id, ' ' ORDER BY Id) AS ids FROM tag GROUP BY tag", "tag")
+@P.add("inverted_index", "SELECT tag, Id // 1048576 AS block, string_agg(Id, ' ' ORDER BY Id) AS ids FROM tag GROUP BY ALL", "tag")
 def inverted_index(t: Tables) -> DataFrame:
-    return R.inverted_index(t.tags(), "Id", "tag").select("tag", F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"))
+    """The sorted ids of every tag in blocks of 2^20 ids, so that a tag of a third of all posts is built by many tasks."""
+    return R.postings(t.tags(), "Id", "tag").select("tag", "block", F.concat_ws(" ", F.col("ids").cast("array<string>")).alias("ids"))
 
 
 _TOP = "WITH r AS (SELECT Id, row_number() OVER (ORDER BY ViewCount DESC, Id) AS rank, regexp_extract_all(lower(Tags), '[a-z0-9][a-z0-9.#+-]*') AS tags FROM q WHERE Tags IS NOT NULL QUALIFY rank <= 100), x AS (SELECT rank, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM r), g AS (SELECT tag, count(*) AS n, min(rank * 100000 + pos) AS f FROM x GROUP BY tag) SELECT tag, n FROM g ORDER BY n DESC, f LIMIT 8"
@@ -355,36 +371,44 @@ def word_index(t: Tables) -> DataFrame:
     return R.rank_words(title_tokens(t), "Id", "pos", "token")
 
 
-_IDS = r"WITH w AS (SELECT Id, regexp_extract_all(lower(Title), '[^ \t\n\r\f\x0B]+') AS ws FROM q WHERE Title IS NOT NULL), k AS (SELECT Id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM w), g AS (SELECT token, count(*) AS n, min(Id * 100000 + pos) AS f FROM k GROUP BY token), x AS (SELECT token, row_number() OVER (ORDER BY n DESC, f) AS rank FROM g), y AS (SELECT Id, pos, CASE WHEN rank <= 300 THEN rank ELSE 11999 END AS code FROM k JOIN x USING (token))"
+#: Size of the dictionary, whose last code stands for unknown tokens, and length of a sequence.
+_WORDS, _LENGTH = 12_000, 4_000
+_IDS = rf"""WITH w AS (SELECT Id, regexp_extract_all(regexp_replace(lower(concat_ws(' ', Title, Body)), ':[0-9]*\)', ':_xerrx_)', 'g'), '[\p{{L}}\p{{N}}_]{{2,}}|[|&#@~_''\"=\\/\-:;*.$()\[\]{{}}]') AS ws FROM q WHERE Title IS NOT NULL OR Body IS NOT NULL),
+    k AS (SELECT Id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM w), g AS (SELECT token, count(*) AS n, min(Id::HUGEINT * 100000000 + pos) AS f FROM k GROUP BY token),
+    x AS (SELECT token, row_number() OVER (ORDER BY n DESC, f) AS rank FROM g), y AS (SELECT Id, pos, CASE WHEN rank < {_WORDS} THEN rank ELSE {_WORDS - 1} END AS code FROM k JOIN x USING (token))"""
 
 
-def title_codes(t: Tables) -> DataFrame:
-    """(Id, pos, code): dictionary rank of each title token up to 300, else the code of unknown tokens."""
-    words = R.rank_words(title_tokens(t), "Id", "pos", "token").where("rank <= 300").select("token", "rank")
-    return title_tokens(t).join(F.broadcast(words), "token", "left").select("Id", "pos", F.coalesce("rank", F.lit(11999)).alias("code"))
+def post_codes(t: Tables) -> DataFrame:
+    """(Id, pos, code): dictionary rank of each token of a post, at most the dictionary's last code, which unknown tokens
+    have. The dictionary has at most _WORDS rows and is the broadcast side."""
+    rows = t.q("Title", "Body").where("Title is not null or Body is not null")
+    tokens = cut(rows.select("Id", F.posexplode(post_tokens(F.concat_ws(" ", "Title", "Body"))).alias("pos", "token")))
+    words = R.rank_words(tokens, "Id", "pos", "token").where(F.col("rank") < _WORDS).select("token", "rank")
+    return tokens.join(F.broadcast(words), "token", "left").select("Id", "pos", F.coalesce("rank", F.lit(_WORDS - 1)).alias("code"))
 
 
-def _sequences(t: Tables, codes: DataFrame) -> DataFrame:
+def _sequences(codes: DataFrame) -> DataFrame:
     return codes.groupBy("Id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]).alias("seq"))
 
 
 @P.add("vectorize_tokens", _IDS + " SELECT Id, string_agg(code, ' ' ORDER BY pos) AS seq FROM y GROUP BY Id", "q")
 def vectorize_tokens(t: Tables) -> DataFrame:
-    return _sequences(t, title_codes(t)).select("Id", F.concat_ws(" ", F.col("seq").cast("array<string>")).alias("seq"))
+    return _sequences(post_codes(t)).select("Id", F.concat_ws(" ", F.col("seq").cast("array<string>")).alias("seq"))
 
 
-@P.add("filter_top_tokens", _IDS + " SELECT Id, string_agg(code, ' ' ORDER BY pos) AS seq FROM y WHERE code < 100 GROUP BY Id", "q")
+@P.add("filter_top_tokens", _IDS + f" SELECT Id, string_agg(code, ' ' ORDER BY pos) AS seq FROM y WHERE code < {_WORDS - 1} GROUP BY Id", "q")
 def filter_top_tokens(t: Tables) -> DataFrame:
-    seq = F.filter("seq", lambda x: x < 100)
-    return _sequences(t, title_codes(t)).select("Id", seq.alias("seq")).where(F.size("seq") > 0).select("Id", F.concat_ws(" ", F.col("seq").cast("array<string>")).alias("seq"))
+    """Sequences of known tokens only."""
+    seq = F.filter("seq", lambda x: x < _WORDS - 1)
+    return _sequences(post_codes(t)).select("Id", seq.alias("seq")).where(F.size("seq") > 0).select("Id", F.concat_ws(" ", F.col("seq").cast("array<string>")).alias("seq"))
 
 
-@P.add("pad_sequence", _IDS + ", z AS (SELECT Id, list(code ORDER BY pos) AS s FROM y GROUP BY Id) SELECT Id, array_to_string(list_concat(list_resize([]::BIGINT[], greatest(0, 12 - len(s)), 0), s[greatest(1, len(s) - 11):]), ' ') AS seq FROM z", "q")
+@P.add("pad_sequence", _IDS + f", z AS (SELECT Id, list(code ORDER BY pos) AS s FROM y GROUP BY Id) SELECT Id, array_to_string(list_concat(list_resize([]::BIGINT[], greatest(0, {_LENGTH} - len(s)), 0), s[greatest(1, len(s) - {_LENGTH - 1}):]), ' ') AS seq FROM z", "q")
 def pad_sequence(t: Tables) -> DataFrame:
-    """The last 12 codes, zeros on the left of shorter sequences."""
-    seqs = _sequences(t, title_codes(t))
-    last = F.slice("seq", F.greatest(F.lit(1), F.size("seq") - 11), F.lit(12))
-    padded = F.concat(F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), 12 - F.size("seq"))), last)
+    """The last _LENGTH codes, zeros on the left of shorter sequences."""
+    seqs = _sequences(post_codes(t))
+    last = F.slice("seq", F.greatest(F.lit(1), F.size("seq") - (_LENGTH - 1)), F.lit(_LENGTH))
+    padded = F.concat(F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), _LENGTH - F.size("seq"))), last)
     return seqs.select("Id", F.concat_ws(" ", padded.cast("array<string>")).alias("seq"))
 
 

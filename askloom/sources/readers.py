@@ -63,10 +63,12 @@ def word_vectors(spark: SparkSession, path: str, unknown: bool = False) -> DataF
 def conll(spark: SparkSession, path: str, fields: tuple[str, ...] = ("token", "entity"), sep: str = " ") -> DataFrame:
     """(sent, items array<struct>): a blank line ends a sentence. A line with too few fields raises when it is read.
 
-    Files are read whole, one row a file, so sentences do not depend on how a file is split.
+    A sentence is a record of the text source, which ends at an empty line, so a file of any size is read in splits and
+    sentences do not depend on where they lie; blank lines of white space are cut afterwards.
     """
-    whole = spark.read.text(path, wholetext=True)
-    blocks = whole.select(F.input_file_name().alias("f"), F.posexplode(F.split("value", r"\n[ \t]*\n")).alias("p", "block")).where(F.trim("block") != "")
+    rows = spark.read.option("lineSep", "\n\n").text(path)
+    at = [F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("m")]
+    blocks = rows.select(*at, F.posexplode(F.split("value", r"\n[ \t]*\n")).alias("p", "block")).where(F.trim("block") != "").where(F.col("block").rlike(r"\S"))
     lines = F.filter(F.split("block", "\n"), lambda x: F.trim(x) != "")
 
     def item(line):
@@ -74,7 +76,7 @@ def conll(spark: SparkSession, path: str, fields: tuple[str, ...] = ("token", "e
         fits = F.when(F.size(parts) >= len(fields), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("too few fields: "), line)).cast("boolean"))
         return F.struct(*[F.when(fits, parts[i]).alias(n) for i, n in enumerate(fields)])
 
-    return number_rows(blocks, [F.col("f"), F.col("p")]).select((F.col("row") - 1).alias("sent"), F.transform(lines, item).alias("items"))
+    return number_rows(blocks, [F.col(c) for c in ("f", "s", "m", "p")]).select((F.col("row") - 1).alias("sent"), F.transform(lines, item).alias("items"))
 
 
 def conll_columns(spark: SparkSession, path: str, token: int = 3, label: int = 0) -> DataFrame:

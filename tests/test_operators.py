@@ -162,3 +162,31 @@ def test_dense_best_in_blocks_equals_brute_force(spark):
     above = S.dense_best(asked, docs, metrics, None, floor=0.9, most_queries=5, shard=30).collect()
     assert above and all(r["sim"] > 0.9 for r in above)
     assert S.dense_best(asked.limit(0), docs, metrics, 3).collect() == S.dense_best(asked, docs.limit(0), metrics, 3).collect() == []
+
+
+def test_minibatch_centres(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, (np.array([10.0 * (i % 3), 5.0]) + 0.1 * rng.standard_normal(2)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows + [(900, None), (901, [1.0])], "id long, v array<double>")
+    usable = df.where("size(v) = 2")
+    centre = L.minibatch_centres(usable, "v", 3, rounds=20, batch=30)
+    got = {r["id"]: r["cluster"] for r in L.nearest_centre(centre, df, "id", "v").collect()}
+    assert len(got) == 300 and len(set(got.values())) >= 2
+    assert all(len({got[i] for i in range(k, 300, 3)}) == 1 for k in range(3))
+    with pytest.raises(ValueError):
+        L.minibatch_centres(usable.limit(2), "v", 3)
+
+
+def test_conll_in_splits(spark, tmp_path):
+    from askloom.sources import readers as R
+
+    text = "a O\nb O\n\nc O\n \nd O\n\n\n\ne O\n"
+    (tmp_path / "x.conll").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8")
+    try:
+        got = R.conll(spark, str(tmp_path / "x.conll")).orderBy("sent").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [[x["token"] for x in r["items"]] for r in got] == [["a", "b"], ["c"], ["d"], ["e"]] and [r["sent"] for r in got] == [0, 1, 2, 3]
