@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The results of code that does not parse and of code without entries.
 ERROR, EMPTY = "__ERROR__", "__EMPTY__"
 _LEX = re.compile(
     r"(?P<space>\s+)"
@@ -30,6 +31,8 @@ _MODIFIER = {"public", "protected", "private", "static", "final", "abstract", "n
 _WORD_BEFORE = {"return", "throw", "new", "else", "do", "case", "assert", "instanceof", "extends", "implements", "throws", "import", "package", "class", "interface", "enum", "try", "finally", "break", "continue", "goto", "super"} | _MODIFIER
 _HEADS = {"if", "for", "while", "switch", "catch", "synchronized", "try"}
 _SKIPPED_CALLS = {"print", "println", "printStackTrace"}
+# What a comment entry loses, what its body must not begin with.
+_COMMENT_MARKS, _LINE_STARS, _GENERATED = r"^(?://|/\*)|\*/$", r"(?m)^ ?\* ?", "TODO Auto-generated"
 _NO_CALL = _HEADS | {"return", "throw", "new", "super", "this", "assert", "case", "else", "do", "instanceof"}
 
 
@@ -302,10 +305,9 @@ def sequence(code: str, imports: bool = False, comments: bool = True, literals:
     if comments:
         for t in toks:
             if t.kind == "comment" and not t.text.startswith("/**"):
-                body = re.sub(r"^(?://|/\*)|\*/$", "", t.text)
-                body = re.sub(r"(?m)^ ?\* ?", "", body).strip().replace(",", " ")
-                body = re.sub(r"\s+", " ", body)
-                if body and not body.startswith("TODO Auto-generated"):
+                # an entry is one line, and a comma would end it
+                body = " ".join(re.sub(_LINE_STARS, "", re.sub(_COMMENT_MARKS, "", t.text)).replace(",", " ").split())
+                if body and not body.startswith(_GENERATED):
                     add(t.at, f"_COM_{body}")
     types: dict[str, str] = {}
     for k, kind, variable in _declared(real):

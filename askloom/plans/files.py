@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from askloom.functions.text import remove_paths
 from askloom.operators.retrieval import SearchEngine
 from askloom.plans.base import Part, Tables
 from askloom.plans.search import _META, FOUND_IN_TITLES, SEARCHED, _space, indexed, metadata
@@ -34,13 +35,20 @@ def titles(t: Tables) -> DataFrame:
 
 
 @P.add("sink_table", _TITLES, "q")
-@P.add("sink_frame", _TITLES, "q")
 def sink_table(t: Tables) -> DataFrame:
     path = folder(t, "titles")
     W.write_table(titles(t), path)
     return t.spark.read.parquet(path)
 
 
+@P.add("sink_frame", "SELECT Id, Score, FavoriteCount, CreationDate AT TIME ZONE 'UTC' AS CreationDate, string_split(Title, ' ') AS ws FROM q", "q")
+def sink_frame(t: Tables) -> DataFrame:
+    """A frame of numbers, nulls, times and lists, stored and read back with its types."""
+    path = folder(t, "frame")
+    W.write_table(t.q("Score", "FavoriteCount", "CreationDate", "Title").withColumn("ws", F.split("Title", " ")).drop("Title"), path)
+    return t.spark.read.parquet(path)
+
+
 @P.add("sink_insert_or_replace", f"{_TITLES} UNION ALL {_TITLES}", "q")
 def sink_insert_or_replace(t: Tables) -> DataFrame:
     path = folder(t, "titles")
@@ -77,16 +85,38 @@ def scan_pickle(t: Tables) -> DataFrame:
 
 
 @P.add("sink_text", f"SELECT Title AS line FROM ({_TITLES})", "q")
-@P.add("scan_text", f"SELECT Title AS line FROM ({_TITLES})", "q")
-@P.add("line_feed", f"SELECT Title AS line FROM ({_TITLES})", "q")
 def sink_text(t: Tables) -> DataFrame:
     path = folder(t, "lines")
     W.write_text(titles(t), "Title", path)
     return R.text_lines(t.spark, path)
 
 
+@P.add("scan_text", f"SELECT row_number() OVER (ORDER BY Id) - 1 AS pos, Title AS line FROM ({_TITLES})", "q")
+def scan_text(t: Tables) -> DataFrame:
+    """Lines with their numbers over all files of a folder, counted without a single task."""
+    path = folder(t, "lines")
+    W.write_text(titles(t).repartitionByRange(4, "Id").sortWithinPartitions("Id"), "Title", path)
+    return R.numbered_lines(t.spark, path).select(F.col("pos").cast("long").alias("pos"), "line")
+
+
+@P.add("line_feed", rf"SELECT regexp_replace(Title || ' C:\ab\cd\ef', '\b((?:[Cc]:)?(?:\\\S{{2,}}){{2,}})\b', ' ', 'g') AS line FROM ({_TITLES})", "q")
+def line_feed(t: Tables) -> DataFrame:
+    """Lines of a file, each through a function: paths are taken out."""
+    path = folder(t, "lines")
+    W.write_text(titles(t).select(F.concat("Title", F.lit(" C:\\ab\\cd\\ef")).alias("Title")), "Title", path)
+    return R.text_lines(t.spark, path).select(remove_paths(F.col("line")).alias("line"))
+
+
+@P.add("scan_json", "SELECT Id, array_to_string(string_split(Title, ' '), '|') AS words, len(Title) AS n FROM q WHERE Title IS NOT NULL", "q")
+def scan_json(t: Tables) -> DataFrame:
+    """Rows whose cells hold lists and records, read with their schema."""
+    path = folder(t, "json")
+    rows = t.q("Title").where("Title is not null").select("Id", F.split("Title", " ").alias("ws"), F.struct(F.length("Title").alias("n")).alias("about"))
+    W.write_json(rows, path)
+    return R.json_rows(t.spark, path, "Id long, ws array<string>, about struct<n: long>").select("Id", F.array_join("ws", "|").alias("words"), "about.n")
+
+
 @P.add("sink_json", _TITLES, "q")
-@P.add("scan_json", _TITLES, "q")
 def sink_json(t: Tables) -> DataFrame:
     path = folder(t, "json")
     W.write_json(titles(t), path)

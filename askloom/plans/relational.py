@@ -41,6 +41,7 @@ def filter_questions_quality(t: Tables) -> DataFrame:
     return t.q("AnswerCount", "Score").where(R.all_of(["AnswerCount >= 1", "Score >= -3"])).select("Id")
 
 
+# The conditions of posts that are indexed.
 _INDEX = ["AcceptedAnswerId NOT NULL", "Score >= 1", "AnswerCount >= 1", "SnippetCount >= 1"]
 _INDEX_SQL = "AcceptedAnswerId IS NOT NULL AND Score >= 1 AND AnswerCount >= 1 AND SnippetCount >= 1"
 

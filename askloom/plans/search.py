@@ -152,8 +152,14 @@ def ranked(scores: DataFrame, n: int) -> DataFrame:
 _TOPS = f"WITH {_SPACES} SELECT metric, qid, doc, row_number() OVER (PARTITION BY metric, qid ORDER BY sim DESC, doc) AS rank FROM every QUALIFY rank <= 20"
 
 
+@P.add("topk_per_query", f"WITH {_SPACES} SELECT qid, doc, sim, {_RANK} FROM tb QUALIFY rank <= 5", "v")
+def topk_per_query(t: Tables) -> DataFrame:
+    """The five best bodies for every title asked, with their similarities and ranks."""
+    bodies = t.v("BodyV").select(F.col("PostId").alias("doc"), F.col("BodyV").alias("vec"))
+    return S.best(S.dense_scores(asked(t, "TitleV"), bodies, 5), 5)
+
+
 @P.add("batch_sims", _TOPS, "v")
-@P.add("topk_per_query", _TOPS, "v")
 def batch_sims(t: Tables) -> DataFrame:
     return ranked(three_metrics(t, 20), 20)
 
@@ -186,11 +192,17 @@ def pair_similarity(t: Tables) -> DataFrame:
 
 
 @P.add("pair_join_similarity", _PAIR + " SELECT s, d, title, body FROM z", "l v")
-@P.add("cosine_similarity", _PAIR + " SELECT s, d, title, body FROM z", "l v")
 def pair_join_similarity(t: Tables) -> DataFrame:
     return pair_similarity(t)
 
 
+@P.add("cosine_similarity", f"WITH x AS (SELECT PostId AS doc, TitleV::DOUBLE[] AS vec FROM v WHERE len(TitleV) = 128), y AS (SELECT PostId AS doc, BodyV::DOUBLE[] AS vec FROM v WHERE len(BodyV) = 128) SELECT x.doc, round({_COS}, 6) AS sim FROM x JOIN y ON x.doc = y.doc", "v")
+def cosine_similarity(t: Tables) -> DataFrame:
+    """How like a post's title and body are, in the row itself."""
+    rows = t.v("TitleV", "BodyV").where("size(TitleV) = 128 and size(BodyV) = 128")
+    return rows.select(F.col("PostId").alias("doc"), F.round(S.cosine(F.col("TitleV"), F.col("BodyV")), 6).alias("sim"))
+
+
 @P.add("threshold_counts", _PAIR + " SELECT round(100.0 * count(*) FILTER (title >= 0.3) / count(*), 2) AS title, round(100.0 * count(*) FILTER (body >= 0.3) / count(*), 2) AS body, round(100.0 * count(*) FILTER ((title + body) / 2 >= 0.3) / count(*), 2) AS both FROM z", "l v")
 def threshold_counts(t: Tables) -> DataFrame:
     def share(x):

@@ -351,12 +351,20 @@ _LABEL = f"WITH {_EACH}, c AS (SELECT Id, pos, token, regexp_matches(token, '^[A
 
 
 @P.add("entity_merge", _LABEL + ", s AS (SELECT *, sum(CASE WHEN label LIKE 'B-%' THEN 1 ELSE 0 END) OVER (PARTITION BY Id ORDER BY pos) AS ent FROM y WHERE label <> 'O'), z AS (SELECT Id, ent, string_agg(token, ' ' ORDER BY pos) AS txt, min_by(label, pos) AS label FROM s GROUP BY Id, ent) SELECT Id, string_agg(label[3:] || '##' || txt, '<_ent_>' ORDER BY ent) AS entities FROM z GROUP BY Id", "q")
-@P.add("carry_prev_entity", _LABEL + ", s AS (SELECT *, sum(CASE WHEN label LIKE 'B-%' THEN 1 ELSE 0 END) OVER (PARTITION BY Id ORDER BY pos) AS ent FROM y WHERE label <> 'O'), z AS (SELECT Id, ent, string_agg(token, ' ' ORDER BY pos) AS txt, min_by(label, pos) AS label FROM s GROUP BY Id, ent) SELECT Id, string_agg(label[3:] || '##' || txt, '<_ent_>' ORDER BY ent) AS entities FROM z GROUP BY Id", "q")
 def entity_merge(t: Tables) -> DataFrame:
     merged = words(t).select("Id", N.merge_entities(rule_labels(F.col("ws"))).alias("e"))
     return merged.where(F.size("e") > 0).select("Id", F.array_join("e", "<_ent_>").alias("entities"))
 
 
+@P.add("carry_prev_entity", _LABEL + ", s AS (SELECT Id, pos, token, label, CASE WHEN label <> 'O' THEN label[3:] END AS kind FROM y) SELECT Id, pos, token, label, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY Id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prev FROM s", "q")
+def carry_prev_entity(t: Tables) -> DataFrame:
+    """Every token with the entity type in force before it, which outlives an O."""
+    each = words(t).select("Id", F.posexplode(rule_labels(F.col("ws"))).alias("pos", "x")).select("Id", F.col("pos").cast("long").alias("pos"), "x.token", "x.label")
+    before = Window.partitionBy("Id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.when(F.col("label") != "O", F.substring("label", 3, 1000))
+    return each.withColumn("kind", kind).select("Id", "pos", "token", "label", F.coalesce(F.last("kind", ignorenulls=True).over(before), F.lit("")).alias("prev"))
+
+
 def all_sentences(t: Tables) -> DataFrame:
     """(key, ws): titles and the sentences of bodies and answers, words by white space. key: Id, part, sent; the part of
     an answer is its id."""

@@ -35,8 +35,8 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(pos, line) in file order, positions from 0 without a global sort task."""
-    lines = spark.read.text(path).withColumn("_f", F.input_file_name()).withColumn("_m", F.monotonically_increasing_id())
-    return number_rows(lines, [F.col("_f"), F.col("_m")]).select((F.col("row") - 1).alias("pos"), F.col("value").alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.monotonically_increasing_id().alias("_m"))
+    return number_rows(lines, [F.col("_f"), F.col("_s"), F.col("_m")]).select((F.col("row") - 1).alias("pos"), F.col("value").alias("line"))
 
 
 def labels(spark: SparkSession, path: str, mode: str = "int") -> DataFrame:
