@@ -254,7 +254,7 @@ def near_duplicates(
     routed = cut(chosen).select(F.explode("anchors").alias("anchor"), "id", "size", "bits", "least")
     load = routed.groupBy("anchor").agg(F.count("*").alias("n"))
     crowded = cut(load.where(F.col("n") > tile).select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("blocks")))
-    many = crowded.count()
+    many, tasks = crowded.agg(F.count("*"), F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()
     # crowded anchors have their rows meet block by block
     placed = routed.join(F.broadcast(crowded) if many <= most_sent else crowded, "anchor", "left")
     usual = placed.where("blocks is null").select("anchor", "id", "size", "bits", "least")
@@ -307,7 +307,9 @@ def near_duplicates(
 
     met = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(walk, "a long, b long")
     if many:
-        met = met.unionByName(blocks.groupBy("anchor", "x", "y").applyInArrow(meet, "a long, b long"))
+        # few bytes, but much to compare: as many tasks as there are pairs of blocks, which Spark does not join
+        apart = blocks.repartition(int(min(tasks, 10_000)), "anchor", "x", "y")
+        met = met.unionByName(apart.groupBy("anchor", "x", "y").applyInArrow(meet, "a long, b long"))
     bag = described.select("id", "bag")
     both = met.distinct().join(bag.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bag.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
 
