@@ -66,6 +66,7 @@ def project_metadata(t: Tables) -> DataFrame:
     return index_posts(t, "Title", "Tags", "Entities", "Snippets").select("Id", "Score", "Title", "Tags", "Entities", "SnippetCount", "Snippets")
 
 
+# Words whose posts are offered for labelling.
 _WORDS = ["exception", "debug", "error", "fail", "warning"]
 
 
@@ -373,19 +374,19 @@ def word_index(t: Tables) -> DataFrame:
 
 
 #: Size of the dictionary, whose last code stands for unknown tokens, and length of a sequence.
-_WORDS, _LENGTH = 12_000, 4_000
+_DICTIONARY, _LENGTH = 12_000, 4_000
 _IDS = rf"""WITH w AS (SELECT Id, regexp_extract_all(regexp_replace(lower(concat_ws(' ', Title, Body)), ':[0-9]*\)', ':_xerrx_)', 'g'), '[\p{{L}}\p{{N}}_]{{2,}}|[|&#@~_''\"=\\/\-:;*.$()\[\]{{}}]') AS ws FROM q WHERE Title IS NOT NULL OR Body IS NOT NULL),
     k AS (SELECT Id, unnest(ws) AS token, generate_subscripts(ws, 1) AS pos FROM w), g AS (SELECT token, count(*) AS n, min(Id::HUGEINT * 100000000 + pos) AS f FROM k GROUP BY token),
-    x AS (SELECT token, row_number() OVER (ORDER BY n DESC, f) AS rank FROM g), y AS (SELECT Id, pos, CASE WHEN rank < {_WORDS} THEN rank ELSE {_WORDS - 1} END AS code FROM k JOIN x USING (token))"""
+    x AS (SELECT token, row_number() OVER (ORDER BY n DESC, f) AS rank FROM g), y AS (SELECT Id, pos, CASE WHEN rank < {_DICTIONARY} THEN rank ELSE {_DICTIONARY - 1} END AS code FROM k JOIN x USING (token))"""
 
 
 def post_codes(t: Tables) -> DataFrame:
     """(Id, pos, code): dictionary rank of each token of a post, at most the dictionary's last code, which unknown tokens
-    have. The dictionary has at most _WORDS rows and is the broadcast side."""
+    have. The dictionary has at most _DICTIONARY rows and is the broadcast side."""
     rows = t.q("Title", "Body").where("Title is not null or Body is not null")
     tokens = cut(rows.select("Id", F.posexplode(post_tokens(F.concat_ws(" ", "Title", "Body"))).alias("pos", "token")))
-    words = R.rank_words(tokens, "Id", "pos", "token").where(F.col("rank") < _WORDS).select("token", "rank")
-    return tokens.join(F.broadcast(words), "token", "left").select("Id", "pos", F.coalesce("rank", F.lit(_WORDS - 1)).alias("code"))
+    words = R.rank_words(tokens, "Id", "pos", "token").where(F.col("rank") < _DICTIONARY).select("token", "rank")
+    return tokens.join(F.broadcast(words), "token", "left").select("Id", "pos", F.coalesce("rank", F.lit(_DICTIONARY - 1)).alias("code"))
 
 
 def _sequences(codes: DataFrame) -> DataFrame:
@@ -397,10 +398,10 @@ def vectorize_tokens(t: Tables) -> DataFrame:
     return _sequences(post_codes(t)).select("Id", F.concat_ws(" ", F.col("seq").cast("array<string>")).alias("seq"))
 
 
-@P.add("filter_top_tokens", _IDS + f" SELECT Id, string_agg(code, ' ' ORDER BY pos) AS seq FROM y WHERE code < {_WORDS - 1} GROUP BY Id", "q")
+@P.add("filter_top_tokens", _IDS + f" SELECT Id, string_agg(code, ' ' ORDER BY pos) AS seq FROM y WHERE code < {_DICTIONARY - 1} GROUP BY Id", "q")
 def filter_top_tokens(t: Tables) -> DataFrame:
     """Sequences of known tokens only."""
-    seq = F.filter("seq", lambda x: x < _WORDS - 1)
+    seq = F.filter("seq", lambda x: x < _DICTIONARY - 1)
     return _sequences(post_codes(t)).select("Id", seq.alias("seq")).where(F.size("seq") > 0).select("Id", F.concat_ws(" ", F.col("seq").cast("array<string>")).alias("seq"))
 
 
