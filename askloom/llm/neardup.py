@@ -9,8 +9,10 @@ sizes, and a dual traversal drops node pairs by their maximum possible overlap.
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,6 @@ _TAG = re.compile(
 )
 _TARGET = re.compile(r"(?<=\])\([^()\s]*\)|\\href\{[^{}]*\}|\[\[https?://[^|\[\]\s]*\||\[https?://\S+(?=\s[^\]\n]*\])|\{\{mono\|")
 _COMMAND = re.compile(r"\\(?:begin|end)\{\w+\*?\}(?:\{\w+\})?|\\(?:textbf|texttt|textit|emph|item|(?:sub)*section)\b\*?|^(?:```|~~~)\w*", re.M)
-BITS = 256
 
 
 def visible_words(title: str | None, body: str | None) -> list[str]:
@@ -74,32 +75,42 @@ def _rank(doc: np.ndarray) -> np.ndarray:
 
 
 def _bags(h, doc, n):
-    """Per record of a batch: bag (sorted uint32), size, bitmap."""
+    """Per record of a batch: bag (sorted uint32), size."""
     order = np.lexsort((h, doc))
     hs, ds = h[order], doc[order]
     new = np.r_[True, (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])] if len(hs) else np.zeros(0, bool)
     occurrence = _rank(np.cumsum(new))
     items = (_mix(hs + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     order = np.lexsort((items, ds))
-    items, sizes = items[order], np.bincount(doc, minlength=n)
-    bitmap = np.zeros((n, BITS), dtype=bool)
-    bitmap[ds, items % BITS] = True
-    return items, sizes, np.packbits(bitmap, axis=1)
+    return items[order], np.bincount(doc, minlength=n)
 
 
-def _bands(items: np.ndarray, sizes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+def _bitmaps(items: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """Per record of a batch: which of `width` bits its items set."""
+    bitmap = np.zeros((len(sizes), width), dtype=bool)
+    bitmap[np.repeat(np.arange(len(sizes)), sizes), items % width] = True
+    return np.packbits(bitmap, axis=1)
+
+
+def _width(mean: float) -> int:
+    """Bits for bags of `mean` items: the power of two from 4 an item on, so that what two bags of one vocabulary set in
+    common by chance stays far below what alike ones share."""
+    return min(max(256, 1 << math.ceil(math.log2(max(4 * mean, 1)))), 8192)
+
+
+def _bands(items: np.ndarray, sizes: np.ndarray, bands: range, rows: int) -> np.ndarray:
     """(records, bands) anchors over bags of at least one item: each joins `rows` minwise hashes, so two bags of
     similarity s share a given one with chance s ** rows."""
     starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    keys = _mix(np.arange(2 * bands * rows, dtype=np.uint64) + np.uint64(1)).astype(np.uint32)
-    out = np.empty((len(sizes), bands), dtype=np.uint64)
-    for b in range(bands):
+    keys = _mix(np.arange(2 * bands.stop * rows, dtype=np.uint64) + np.uint64(1)).astype(np.uint32)
+    out = np.empty((len(sizes), len(bands)), dtype=np.uint64)
+    for b in bands:
         anchor = np.full(len(sizes), b + 1, dtype=np.uint64)
         for r in range(b * rows, (b + 1) * rows):
             x = (items ^ keys[2 * r]) * (keys[2 * r + 1] | np.uint32(1))
             x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
             anchor = _mix(anchor * np.uint64(3) + np.minimum.reduceat(x, starts))
-        out[:, b] = anchor
+        out[:, b - bands.start] = anchor
     return out.view(np.int64)
 
 
@@ -197,7 +208,8 @@ def forest_pairs(
 
 
 def near_duplicates(
-    df: DataFrame, key: str, title: str | None, body: str, threshold: float, tile: int = 4096, expand: int | None = 4096, bands: int = 64, rows: int = 4, most_sent: int = 100_000
+    df: DataFrame, key: str, title: str | None, body: str, threshold: float, tile: int = 4096, expand: int | None = 4096, bands: int = 64, rows: int = 4, most_sent: int = 100_000,
+    most_copies: int = 1_000_000, round_rows: int = 500_000, most_rounds: int = 8,
 ) -> DataFrame:
     """(id_a, id_b, kind), id_a < id_b: pairs of records whose bags of words have shared / all of at least `threshold`.
 
@@ -212,8 +224,12 @@ def near_duplicates(
     Which records meet is decided by `bands` anchors, which join `rows` minwise hashes of the bag each: whatever the
     order of the words and however large the group, a pair of similarity s is missed by all with chance
     (1 - s ** rows) ** bands, which is 0.0008 at 0.57, 0.0001 at 0.6 and 0.000001 at 0.66. Trees of more than `tile`
-    records are split into blocks, each pair of blocks a task of its own: nothing is capped. The anchors of such trees
-    are broadcast while they are at most `most_sent`, else joined.
+    records are split into blocks, each pair of blocks a task of its own: nothing is capped. Which trees those are is
+    counted on a sixteenth of the records, as that decides only how the work is split. The anchors of such trees are
+    broadcast while they are at most `most_sent`, else joined, and so are up to `most_copies` copies, which join no tree.
+
+    All anchors are walked, but not all at once: in up to `most_rounds` rounds of equally many bands, of `round_rows` rows
+    at least, and a round's shuffle is freed before the next begins. So disk holds the bags, one round and the pairs found.
     """
     texts = df.where(F.col(key).isNotNull() & F.col(body).isNotNull())
     texts = texts.select(F.col(key).cast("long").alias("id"), (F.col(title) if title else F.lit("")).alias("t"), F.col(body).alias("b"))
@@ -223,48 +239,45 @@ def near_duplicates(
         for batch in batches:
             docs = [visible_words(t, b) for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             h, doc = _word_ids(docs, cache)
-            items, sizes, bitmap = _bags(h, doc, len(docs))
+            items, sizes = _bags(h, doc, len(docs))
             ends = np.cumsum(sizes)
             bags = [items[e - n : e].tobytes() for e, n in zip(ends, sizes)]
             digest = [xxhash.xxh128_digest(b) for b in bags]
-            least = [int(items[e - n]) if n else 0 for e, n in zip(ends, sizes)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digest, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(bags, pa.binary()), pa.array([b.tobytes() for b in bitmap], pa.binary()), pa.array(least, pa.int64())],
-                ["id", "digest", "size", "bag", "bits", "least"],
+                [batch.column(0), pa.array(digest, pa.binary()), pa.array(sizes.astype(np.int32)), pa.array(bags, pa.binary())], ["id", "digest", "size", "bag"]
             )
 
-    schema = "id long, digest binary, size int, bag binary, bits binary, least long"
-    described = cut(texts.mapInArrow(describe, schema).where("size > 0"))
+    described = cut(texts.mapInArrow(describe, "id long, digest binary, size int, bag binary").where("size > 0"), free=True)
+    n_records, mean = described.agg(F.count("*"), F.avg("size")).first()
+    width = _width(mean or 0)
     classes = described.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("members"))
-    repeated = cut(described.select("id", "digest").join(classes.where("members > 1"), "digest").select("id", "rep", "members"))
-    reps = described.join(repeated.where("id <> rep").select("id"), "id", "left_anti")
-
-    def numbers(col: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(col.to_pylist()), np.uint32)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            joined = _bands(numbers(batch.column(4)), batch.column(1).to_numpy(), bands, rows)
-            offsets = pa.array(np.arange(0, bands * batch.num_rows + 1, bands, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(offsets, pa.array(joined.ravel()))], ["id", "size", "bits", "least", "anchors"])
-
-    chosen = reps.select("id", "size", "bits", "least", "bag").mapInArrow(choose, "id long, size int, bits binary, least long, anchors array<long>")
-    routed = cut(chosen).select(F.explode("anchors").alias("anchor"), "id", "size", "bits", "least")
-    load = routed.groupBy("anchor").agg(F.count("*").alias("n"))
-    crowded = cut(load.where(F.col("n") > tile).select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("blocks")))
-    many, tasks = crowded.agg(F.count("*"), F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2)).first()
-    # crowded anchors have their rows meet block by block
-    placed = routed.join(F.broadcast(crowded) if many <= most_sent else crowded, "anchor", "left")
-    usual = placed.where("blocks is null").select("anchor", "id", "size", "bits", "least")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    blocks = placed.where("blocks is not null").select("anchor", own.alias("own"), F.explode(every).alias("other"), "id", "size", "bits", "least")
-    blocks = blocks.select("anchor", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "size", "bits", "least")
+    repeated = cut(described.select("id", "digest").join(classes.where("members > 1"), "digest").select("id", "rep", "members"), free=True)
+    copies = repeated.where("id <> rep").select("id")
+    reps = described.join(F.broadcast(copies) if copies.count() <= most_copies else copies, "id", "left_anti").select("id", "size", "bag")
+
+    def routed(records: DataFrame, of: range) -> DataFrame:
+        def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                items, sizes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32), batch.column(1).to_numpy()
+                joined = _bands(items, sizes, of, rows)
+                offsets = pa.array(np.arange(0, joined.size + 1, len(of), dtype=np.int32))
+                bits = pa.array([b.tobytes() for b in _bitmaps(items, sizes, width)], pa.binary())
+                least = pa.array(items[np.r_[0, np.cumsum(sizes)[:-1]]].astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], bits, least, pa.ListArray.from_arrays(offsets, pa.array(joined.ravel()))], ["id", "size", "bits", "least", "anchors"])
+
+        chosen = records.mapInArrow(choose, "id long, size int, bits binary, least long, anchors array<long>")
+        return chosen.select(F.posexplode("anchors").alias("band", "anchor"), "id", "size", "bits", "least")
+
+    some = min(16, max(1, tile // 256))
+    sample = reps.where(F.pmod(F.xxhash64("id", F.lit(some)), F.lit(some)) == 0)
+    load = routed(sample, range(bands)).groupBy("band", "anchor").agg((F.count("*") * some).alias("n"))
+    crowded = cut(load.where(F.col("n") > tile).select("band", "anchor", F.ceil(F.col("n") / tile).cast("int").alias("blocks")), free=True)
+    tasks_of = {r["band"]: (r["many"], r["tasks"]) for r in crowded.groupBy("band").agg(F.count("*").alias("many"), F.sum(F.col("blocks") * (F.col("blocks") + 1) / 2).alias("tasks")).collect()}
 
     def words(col: pa.ChunkedArray | pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, width // 64)
 
     def pairs_of(t: pa.Table) -> pa.RecordBatch:
         anchor = t["anchor"].to_numpy()
@@ -305,11 +318,29 @@ def near_duplicates(
         p = np.unique(np.sort(ids[p], axis=1), axis=0)
         return pa.table({"a": p[:, 0], "b": p[:, 1]})
 
-    met = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(walk, "a long, b long")
-    if many:
-        # few bytes, but much to compare: as many tasks as there are pairs of blocks, which Spark does not join
-        apart = blocks.repartition(int(min(tasks, 10_000)), "anchor", "x", "y")
-        met = met.unionByName(apart.groupBy("anchor", "x", "y").applyInArrow(meet, "a long, b long"))
+    def walked(of: range) -> DataFrame:
+        many, tasks = (sum(tasks_of.get(b, (0, 0))[k] for b in of) for k in (0, 1))
+        rows_of = routed(reps, of).drop("band")
+        usual = rows_of
+        if many:
+            # crowded anchors have their rows meet block by block
+            here = crowded.where(F.col("band").between(of.start, of.stop - 1)).select("anchor", "blocks")
+            placed = rows_of.join(F.broadcast(here) if many <= most_sent else here, "anchor", "left")
+            usual = placed.where("blocks is null").select("anchor", "id", "size", "bits", "least")
+        met = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(walk, "a long, b long")
+        if many:
+            own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+            every = F.sequence(F.lit(0), F.col("blocks") - 1)
+            blocks = placed.where("blocks is not null").select("anchor", own.alias("own"), F.explode(every).alias("other"), "id", "size", "bits", "least")
+            blocks = blocks.select("anchor", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "size", "bits", "least")
+            # few bytes, but much to compare: as many tasks as there are pairs of blocks, which Spark does not join
+            apart = blocks.repartition(int(min(tasks, 10_000)), "anchor", "x", "y")
+            met = met.unionByName(apart.groupBy("anchor", "x", "y").applyInArrow(meet, "a long, b long"))
+        return cut(met, free=True)
+
+    rounds = min(most_rounds, bands, max(1, math.ceil(n_records * bands / round_rows)))
+    step = math.ceil(bands / rounds)
+    met = reduce(DataFrame.unionByName, [walked(range(b, min(b + step, bands))) for b in range(0, bands, step)])
     bag = described.select("id", "bag")
     both = met.distinct().join(bag.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bag.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
 
@@ -323,7 +354,7 @@ def near_duplicates(
             shared = np.bincount((y[first & (x[at] == y)] >> np.uint64(32)).astype(np.int64), minlength=len(nx))
             yield batch.select([0, 1]).filter(pa.array(shared >= threshold * (nx + ny - shared)))
 
-    links = cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"))
+    links = cut(both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long"), free=True)
     return _all_members(links, repeated, expand)
 
 

@@ -1,4 +1,8 @@
+import gc
+import os
 import random
+import threading
+import time
 from collections import Counter
 
 import numpy as np
@@ -152,6 +156,38 @@ def test_near_duplicates_in_another_order(spark):
     assert got == {(i, i + 1) for i in range(0, 120, 2)}
 
 
+def test_near_duplicates_hold_little_disk(spark):
+    """Long texts of one vocabulary, of which many share an anchor: shuffle files never take twice the bags."""
+    rng = np.random.default_rng(9)
+    words = rng.choice(np.array([f"v{i}" for i in range(1500)]), (8000, 200))
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:190], "x"]) for w in words[:50]]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, b string").repartition(4).localCheckpoint()
+    local = [str(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+
+    def held():
+        files = (os.path.join(d, f) for top in local for d, _, names in os.walk(top) for f in names if f.startswith("shuffle"))
+        return sum(os.path.getsize(f) for f in files if os.path.exists(f))
+
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)
+    before, most, done = held(), [0], threading.Event()
+
+    def watch():
+        while not done.wait(0.1):
+            most[0] = max(most[0], held() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        got = {tuple(r)[:2] for r in near_duplicates(df, "k", None, "b", 0.57).collect()}
+    finally:
+        done.set()
+        watcher.join()
+    assert got == {(i, 8000 + i) for i in range(50)}
+    assert most[0] < 2 * 4 * 200 * len(texts), most[0]
+
+
 def test_visible_words():
     assert visible_words("A b", "<p>See <a href='http://x/y'>it</a> <code>List&lt;T&gt;</code></p>") == ["a", "b", "see", "it", "list", "t"]
     assert visible_words(None, "&lt;p&gt;x &amp;lt;br&amp;gt;&lt;/p&gt;") == ["x", "br"]
