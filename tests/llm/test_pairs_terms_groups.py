@@ -1,13 +1,17 @@
 import collections
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from askloom.llm import distinctive
 from askloom.llm.cooccur import fit_configuration, least_surprise, pair_surprise
-from askloom.llm.distinctive import distinctive_terms
+from askloom.llm.distinctive import distinctive_terms, top_terms
+from askloom.llm.queries import p5_found
+from askloom.llm.stats import hypergeom_upper
 from askloom.llm.topn import top_n
 
 
@@ -58,6 +62,46 @@ def test_terms(spark):
     assert distinctive_terms(df.limit(0), "Id", ["Title"])[0].collect() == []
 
 
+@pytest.mark.parametrize("giant", [0, 20_000])
+def test_top_terms_equal_brute_force(spark, giant):
+    """Every case comes out, with its adjusted probability, also beside a record that holds most of all words."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdef") for _ in range(6)) for _ in range(400)]
+    texts = {i: [vocab[min(int(rng.expovariate(0.02)), 399)] for _ in range(rng.randrange(1, 60))] for i in range(200)}
+    if giant:
+        texts[900] = [rng.choice(vocab) for _ in range(giant)] + ["only", "here"]
+    out = top_terms(spark.createDataFrame([(i, " ".join(w), None) for i, w in texts.items()], "k long, a string, b string"), "k", ["a", "b"], 5)
+    got = {r["id"]: r for r in out.collect()}
+    tf = {i: Counter(w) for i, w in texts.items()}
+    df, cf = Counter(t for c in tf.values() for t in c), Counter(t for w in texts.values() for t in w)
+    best = {i: min((-n * math.log(len(texts) / df[t]), t) for t, n in c.items())[1] for i, c in tf.items()}
+    assert {i: r["term"] for i, r in got.items()} == {i: t for i, t in best.items() if df[t] <= 5} and len(got) > 5
+    keys = [(i, t) for i, c in tf.items() for t in c]
+    score = hypergeom_upper(*zip(*((tf[i][t], cf[t], len(texts[i]), cf.total()) for i, t in keys)))
+    order = np.argsort(-score)
+    q = np.minimum(1, np.minimum.accumulate((np.exp(-score[order]) * len(keys) / np.arange(1, len(keys) + 1))[::-1])[::-1])
+    exact = dict(zip([keys[k] for k in order], q))
+    assert all(exact[i, r["term"]] * (1 - 1e-6) <= r["q"] <= exact[i, r["term"]] * math.exp(1 / 50) * (1 + 1e-6) for i, r in got.items())
+
+
+def test_top_terms_of_few_records(spark):
+    one = spark.createDataFrame([(1, "bbb aaa bbb")], "k long, a string")
+    assert [tuple(r)[:4] for r in top_terms(one, "k", ["a"], 5).collect()] == [(1, "aaa", 1, 1)]
+    assert top_terms(one.limit(0), "k", ["a"], 5).collect() == []
+    many = spark.createDataFrame([(i, "aaa") for i in range(6)], "k long, a string")
+    assert top_terms(many, "k", ["a"], 5).collect() == []
+
+
+def test_found_terms_are_adjusted_candidates(spark, tmp_path, monkeypatch):
+    """Without adjusted probabilities no term is a candidate."""
+    rows = [(i, f"title{'abcdefgh'[i]}", "the text of all") for i in range(8)]
+    spark.createDataFrame(rows, "Id long, Title string, Body string").write.parquet(f"{tmp_path}/questions.parquet")
+    assert p5_found(spark, str(tmp_path)).count() == 8
+    real = distinctive.adjusted
+    monkeypatch.setattr(distinctive, "adjusted", lambda *a: real(*a).where("false"))
+    assert p5_found(spark, str(tmp_path)).count() == 0
+
+
 @pytest.mark.parametrize("bits,hot", [(1, 0.001), (3, 0.2), (8, 0.001)])
 def test_top_n_equals_sorting(spark, bits, hot):
     rng = random.Random(bits)
