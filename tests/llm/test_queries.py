@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from askloom.llm import queries as Q
+from askloom.llm.markup import parse, render, select_content
 from askloom.operators.packed import TAGS, tokenize
 
 DATA = "/root/testdata/sf0.001"
@@ -78,6 +79,18 @@ def test_units_and_pairs(spark):
     assert (p["id_a"] < p["id_b"]).all() and not p.duplicated().any()
 
 
+def test_clean_text_of_all_three_tables(spark):
+    rows = got(spark, "p7_clean")
+    want = {}
+    for name, text in (("questions", "Body"), ("answers", "Body"), ("comments", "Text")):
+        t = frame(name).drop_duplicates("Id")
+        want |= {(name, i): render(select_content(parse(x))) for i, x in zip(t["Id"], t[text])}
+    assert len(rows) == len(want) and {(t, i): c for t, i, c in rows[["tbl", "id", "clean"]].values} == want
+    # the units are those of p7_found
+    units = got(spark, "p7_found").groupby(["tbl", "id", "unit"]).size()
+    assert {k: n for k, n in rows.melt(["tbl", "id", "clean"], var_name="unit").set_index(["tbl", "id", "unit"])["value"].items() if n} == units.to_dict()
+
+
 def test_found_repetition_in_short_texts(spark, tmp_path):
     """Just a third repeats in short texts and longer ones of rare words, where compression hardly shows it."""
     import random
