@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Token classes in the order they are tried. A class is a set of character kinds: U upper, L lower,
@@ -231,16 +230,3 @@ class LinearChain:
             self.weights = {f: w - sums.get(f, 0) / (steps + 1) for f, w in self.weights.items()}
             self.moves = self.moves - moved / (steps + 1)
         return self
-
-
-def tag_sentences(df: DataFrame, model: LinearChain, key: str, tokens: str, features: str) -> DataFrame:
-    """(id, tokens array<struct<token, label>>): sentences tagged in Arrow batches with the model sent once."""
-    shared = df.sparkSession.sparkContext.broadcast((model.labels, model.weights, model.moves))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tagger = LinearChain(*shared.value)
-        for b in batches:
-            rows = [[{"token": t, "label": y} for t, y in zip(ts, tagger.tag(fs))] for ts, fs in zip(b[tokens], b[features])]
-            yield pd.DataFrame({"id": b[key], "tagged": rows})
-
-    return df.select(key, tokens, features).mapInPandas(run, f"id {dict(df.dtypes)[key]}, tagged array<struct<token:string,label:string>>")

@@ -12,8 +12,9 @@ from askloom.functions import code as C
 from askloom.functions import html as H
 from askloom.functions import ner as N
 from askloom.functions import tokens as T
+from askloom.operators import chain as L
 from askloom.plans.base import Part, Tables
-from askloom.session import cut, shared_folder
+from askloom.session import cut, kept, shared_folder
 from askloom.sources import readers as R
 
 P = Part()
@@ -278,14 +279,18 @@ def broadcast_lookup_features(t: Tables) -> DataFrame:
     return each.select("Id", F.col("pos").cast("long").alias("pos"), F.col("f.w").alias("token"), F.concat_ws("|", *(F.col("f")[k] for k in (*N.LISTS, "brown", *N.CLUSTERS))).alias("found"))
 
 
+def known_fields(t: Tables, often: DataFrame) -> tuple[DataFrame, dict]:
+    """A row for each token of (token, n) with what the lists, the paths and the clusters say, and the fields of it."""
+    known = often.select("token", N.gazetteer_key(F.col("token")).alias("name")).join(F.broadcast(name_lists(t)), "name", "left")
+    known = known.join(paths_of(often), "token", "left").join(clusters_of(often), "token", "left")
+    return known, N.token_fields(F.col("token"), F.col("lists"), F.col("path"), {k: F.col(k) for k in N.CLUSTERS})
+
+
 def with_fields(t: Tables, sentences: DataFrame) -> DataFrame:
     """(key, ws, x): sentences (key, ws) with every field of every token, x in the order of ws. The features of a token
     are made once for each distinct token, by joins with the lists, the paths and the clusters."""
     each = sentences.select("key", F.posexplode("ws").alias("pos", "token"))
-    often = cut(counted(each))
-    known = often.select("token", N.gazetteer_key(F.col("token")).alias("name")).join(F.broadcast(name_lists(t)), "name", "left")
-    known = known.join(paths_of(often), "token", "left").join(clusters_of(often), "token", "left")
-    fields = N.token_fields(F.col("token"), F.col("lists"), F.col("path"), {k: F.col(k) for k in N.CLUSTERS})
+    known, fields = known_fields(t, cut(counted(each)))
     made = known.select("token", F.struct(*(v.alias(k) for k, v in fields.items())).alias("f"))
     placed = each.join(made, "token").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("pos", "f"))).alias("x"))
     return placed.select("key", F.transform("x", lambda v: v["f"]["w"]).alias("ws"), F.transform("x", lambda v: v["f"]).alias("x"))
@@ -336,13 +341,16 @@ def crf_sequence(t: Tables) -> DataFrame:
     return words(t).select("Id", F.posexplode(items).alias("pos", "x")).select("Id", F.col("pos").cast("long").alias("pos"), "x.token", "x.entity")
 
 
+_CLASS, _CALL = r"^[A-Z][a-z]+[A-Z]\w*", r"\(\)"
+
+
 def rule_labels(ws):
     """A rule tagger: class-like names begin an entity or go on with one, API calls are entities of their own."""
     def label(w, i):
         before = F.get(ws, i - 1)
-        cap = w.rlike(r"^[A-Z][a-z]+[A-Z]\w*")
-        more = (i > 0) & before.rlike(r"^[A-Z][a-z]+[A-Z]\w*")
-        return F.struct(w.alias("token"), F.when(cap & more, "I-Class").when(cap, "B-Class").when(w.rlike(r"\(\)"), "B-Api").otherwise("O").alias("label"))
+        cap = w.rlike(_CLASS)
+        more = (i > 0) & before.rlike(_CLASS)
+        return F.struct(w.alias("token"), F.when(cap & more, "I-Class").when(cap, "B-Class").when(w.rlike(_CALL), "B-Api").otherwise("O").alias("label"))
 
     return F.transform(ws, label)
 
@@ -376,40 +384,47 @@ def all_sentences(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def featured(t: Tables) -> DataFrame:
-    """(key, ws, features, labels): every sentence with the features of all templates and the rule tagger's labels."""
-    rows = with_fields(t, all_sentences(t))
-    return rows.select("key", "ws", N.context_template(N.read_templates(), F.col("x")).alias("features"), F.transform(rule_labels(F.col("ws")), lambda v: v["label"]).alias("labels"))
+def sharded(t: Tables) -> tuple[DataFrame, DataFrame, int]:
+    """All sentences (shard, o, key, ws), the fields of the distinct tokens of every shard, and the number of shards.
+    Texts are parsed once; a token's fields are made once and go to the shards that hold it."""
+    rows = kept(all_sentences(t), "sentences")
+    number = max(1, -(-rows.count() // L.SHARD))
+    placed = rows.select(F.pmod(F.xxhash64("key"), F.lit(number)).cast("int").alias("shard"), F.xxhash64("key").alias("o"), "key", "ws")
+    mine = kept(placed.select("shard", F.explode(F.array_distinct("ws")).alias("token")).distinct(), "held")
+    often = kept(counted(rows.select(F.explode("ws").alias("token"))), "counts")
+    fields = known_fields(t, often)
+    kind = F.when(F.col("token").rlike(_CLASS), "C").when(F.col("token").rlike(_CALL), "A").otherwise("O")
+    made = kept(fields[0].select(*L.packed_fields(fields[1], kind)), "fields")
+    return placed, kept(mine.join(made, "token"), "tokens"), number
 
 
-def trained(rows: DataFrame, most: int = 400) -> N.LinearChain:
-    """A tagger fitted on at most `most` labelled sentences of `featured`, chosen by hash."""
-    sample = rows.orderBy(F.xxhash64("key"), "key").limit(most).collect()
-    return N.LinearChain(["O", "B-Class", "I-Class", "B-Api"]).train([(r["features"], r["labels"]) for r in sample])
+def trained(placed: DataFrame, tokens: DataFrame, number: int) -> DataFrame:
+    """The tagger fitted on every sentence with the rule tagger's labels."""
+    return kept(L.train(placed, tokens, number), "tagger")
 
 
 def tagged(t: Tables) -> DataFrame:
-    """(id, tagged): every sentence tagged by the trained model, all partitions at once."""
-    rows = cut(featured(t).select("key", "ws", "features", "labels"))
-    return N.tag_sentences(rows, trained(rows), "key", "ws", "features")
+    """(key, tagged): every sentence tagged by the trained model, all shards at once."""
+    placed, tokens, number = sharded(t)
+    return L.tag(placed, tokens, trained(placed, tokens, number))
 
 
 @P.add("crf_train")
 def crf_train(t: Tables) -> DataFrame:
-    model = trained(featured(t))
-    rows = [(f, y, float(w)) for f, ws in sorted(model.weights.items()) for y, w in zip(model.labels, ws) if w]
-    return t.spark.createDataFrame(rows or [("", "O", 0.0)], "feature string, label string, weight double")
+    return L.weights_of(trained(*sharded(t)))
 
 
 @P.add("crf_tag")
 def crf_tag(t: Tables) -> DataFrame:
-    return tagged(t).select("id.*", F.posexplode("tagged").alias("pos", "x")).select("Id", "part", "sent", "pos", "x.token", "x.label")
+    return tagged(t).select("key.*", F.posexplode("tagged").alias("pos", "x")).select("Id", "part", "sent", "pos", "x.token", "x.label")
 
 
 @P.add("entity_extract_parallel")
 def entity_extract_parallel(t: Tables) -> DataFrame:
-    """Distinct entities of every question, its title, body and answers, by the trained tagger."""
-    each = tagged(t).select("id.Id", F.explode(N.merge_entities(F.col("tagged"))).alias("entity"))
+    """Distinct entities of every question, its title, body and answers, by the trained tagger. Tokens labelled O say
+    nothing and leave first."""
+    found = tagged(t).select("key.Id", F.filter("tagged", lambda x: x["label"] != "O").alias("tagged")).where(F.size("tagged") > 0)
+    each = found.select("Id", F.explode(N.merge_entities(F.col("tagged"))).alias("entity"))
     return each.groupBy("Id").agg(F.array_join(F.array_sort(F.collect_set("entity")), "<_ent_>").alias("entities"))
 
 
