@@ -132,11 +132,25 @@ def _matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return out
 
 
+def _flat(terms: pa.Array | pa.ChunkedArray, weights: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse vectors, two lists a row, as (row, term, weight)."""
+    size = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(size)), size), pc.list_flatten(terms).to_numpy(zero_copy_only=False), pc.list_flatten(weights).to_numpy(zero_copy_only=False)
+
+
+def _by_term(row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct terms, where each begins (and the end), rows and weights in that order."""
+    order = np.argsort(term, kind="stable")
+    terms, start = np.unique(term[order], return_index=True)
+    return terms, np.r_[start, len(order)], row[order], weight[order]
+
+
 class _Kernel:
     """Scores one block of queries against batches of documents and holds the best of every metric and query."""
 
-    def __init__(self, qids: np.ndarray, q: np.ndarray, metrics: dict, n: int | None, floor: float | None, apart: bool, digits: int):
+    def __init__(self, qids: np.ndarray, q: np.ndarray, sparse: tuple[np.ndarray, ...] | None, metrics: dict, n: int | None, floor: float | None, apart: bool, digits: int):
         self.qids, self.q, self.metrics, self.n, self.floor, self.apart, self.digits = qids, q, metrics, n, floor, apart, digits
+        self.sparse = sparse and _by_term(*sparse)
         self.held = {m: (np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64)) for m in metrics}
         self.place = {int(x): i for i, x in enumerate(qids)}
 
@@ -152,6 +166,19 @@ class _Kernel:
                 out[f][at[at >= 0], row[at >= 0]] = value[at >= 0]
         return out
 
+    def _products(self, t: pa.RecordBatch | pa.Table, names: set) -> dict[str, np.ndarray]:
+        """The same matrices from sparse vectors, (name_t, name_w) of the documents, term by term: only queries and
+        documents that have the term are touched."""
+        terms, start, row, weight = self.sparse
+        out = {f: np.zeros((len(self.qids), len(t))) for f in names}
+        for f in names:
+            found, begin, doc, w = _by_term(*_flat(t[f"{f}_t"], t[f"{f}_w"]))
+            both, mine, theirs = np.intersect1d(terms, found, assume_unique=True, return_indices=True)
+            for i, j in zip(mine, theirs):
+                a, b = slice(start[i], start[i + 1]), slice(begin[j], begin[j + 1])
+                out[f][row[a, None], doc[b]] += weight[a, None] * w[b]
+        return out
+
     def _cut(self, at, sim, doc):
         order = np.lexsort((doc, -sim, at))
         at, sim, doc = at[order], sim[order], doc[order]
@@ -164,7 +191,7 @@ class _Kernel:
         fields = {f for parts in self.metrics.values() for f, _ in parts}
         cos = {f: _half_away(self.q @ _matrix(t[f], self.q.shape[1]).T, self.digits) for f in fields}
         extra = {h for parts in self.metrics.values() for _, h in parts if h}
-        hits = self._hits(t["hits"], extra) if extra else {}
+        hits = {} if not extra else self._hits(t["hits"], extra) if self.sparse is None else self._products(t, extra)
         for m, parts in self.metrics.items():
             s = sum(cos[f] + (hits[h] if h else 0.0) for f, h in parts)
             s = s if len(parts) == 1 and not extra else _half_away(s / len(parts), self.digits)
@@ -201,6 +228,7 @@ def dense_best(
     digits: int = 6,
     most_queries: int = 2048,
     shard: int = 65_536,
+    block: int = 2048,
 ) -> DataFrame:
     """(metric, qid, doc, sim) of queries (qid, vec) against all documents (doc, vectors.., hits), integer ids.
 
@@ -211,27 +239,39 @@ def dense_best(
     similarities not above it, `apart` a query's own id. With `n` the n best of every metric and query come out, smaller
     ids first among equals: every task holds and sends on no more than n of each.
 
+    Instead of `hits`, documents may have sparse vectors (name_t array of term numbers, name_w array of weights) for the
+    names the metrics use, and the queries (terms, weights) of their own: what is added is their product.
+
     All vectors of a document are read once, for all metrics. Up to `most_queries` queries travel to the documents by
-    broadcast. More are cut into blocks, documents into shards of about `shard`, and each block meets each shard in a
-    task of its own: nothing of it passes the driver.
+    broadcast and meet them in blocks of `block`. More are cut into blocks, documents into shards of about `shard`, and
+    each block meets each shard in a task of its own: nothing of it passes the driver.
     """
     metrics = {m: list(parts) for m, parts in metrics.items()}
     qid, doc = dict(queries.dtypes)["qid"], dict(docs.dtypes)["doc"]
     schema = f"metric string, qid {qid}, doc {doc}, sim double"
-    queries = cut(queries.select("qid", "vec").where("qid is not null and size(vec) > 0"))
+    both = ["terms", "weights"] if "terms" in queries.columns else []
+    queries = cut(queries.select("qid", "vec", *both).where("qid is not null and size(vec) > 0"))
     total = queries.count()
     if not total:
         return docs.sparkSession.createDataFrame([], schema)
     make = (metrics, n, floor, apart, digits)
     if total <= most_queries:
         rows = queries.toPandas()
-        shared = docs.sparkSession.sparkContext.broadcast((rows["qid"].to_numpy(), _matrix(pa.array(rows["vec"].tolist(), pa.list_(pa.float64())), len(rows["vec"][0]))))
+        parts = [rows[i : i + block].reset_index(drop=True) for i in range(0, total, block)]
+        wide = len(rows["vec"][0])
+        shared = docs.sparkSession.sparkContext.broadcast([
+            (x["qid"].to_numpy(), _matrix(pa.array(x["vec"].tolist(), pa.list_(pa.float64())), wide), _flat(pa.array(x["terms"].tolist(), pa.list_(pa.int64())), pa.array(x["weights"].tolist(), pa.list_(pa.float64()))) if both else None)
+            for x in parts
+        ])
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kernel = _Kernel(*shared.value, *make)
+            kernels = [_Kernel(*x, *make) for x in shared.value]
             for batch in batches:
-                yield from kernel.take(batch)
-            yield from kernel.rest()
+                for s in range(0, len(batch), block):
+                    for kernel in kernels:
+                        yield from kernel.take(batch.slice(s, block))
+            for kernel in kernels:
+                yield from kernel.rest()
 
         out = docs.mapInArrow(score, schema)
     else:
@@ -240,11 +280,11 @@ def dense_best(
         def meet(q: pa.Table, d: pa.Table) -> pa.Table:
             if not len(q) or not len(d):
                 return pa.table({"metric": pa.array([], pa.string()), "qid": q["qid"].slice(0, 0), "doc": d["doc"].slice(0, 0), "sim": pa.array([], pa.float64())})
-            kernel = _Kernel(q["qid"].to_numpy(), _matrix(q["vec"], len(q["vec"][0])), *make)
+            kernel = _Kernel(q["qid"].to_numpy(), _matrix(q["vec"], len(q["vec"][0])), _flat(q["terms"], q["weights"]) if both else None, *make)
             got = [b for s in range(0, len(d), 8192) for b in kernel.take(d.slice(s, 8192))]
             return pa.Table.from_batches(got + kernel.rest())
 
-        left = queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_d"))
+        left = queries.select("qid", "vec", *both, F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_d"))
         right = docs.withColumn("_d", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int")).withColumn("_q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
         out = left.groupBy("_q", "_d").cogroup(right.groupBy("_q", "_d")).applyInArrow(meet, schema)
     return out if n is None else best(out, n, ("metric", "qid")).drop("rank")

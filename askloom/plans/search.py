@@ -10,6 +10,7 @@ from askloom.operators import relational as R
 from askloom.operators import retrieval as S
 from askloom.plans.base import Part, Tables, code_parts_sql
 from askloom.plans.relational import lookup, snippets_of
+from askloom.session import cut, kept
 
 P = Part()
 _STOPS = "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in ("the", "an", "to", "of", "and", "in", "on", "is", "my", "our", "how", "with", "this", "that", "for", "from")) + ")"
@@ -219,12 +220,10 @@ _SPARSE_ASK = f"""WITH {_space('Title', 't')},
     sb AS (SELECT x.doc AS qid, y.doc, sum(x.w * y.w) AS sim FROM tw x JOIN bw y USING (term) WHERE x.doc % 50 = 0 GROUP BY ALL), {_SPACES}"""
 
 
-def sparse_asked(t: Tables, field: str = "Title") -> DataFrame:
-    """(qid, doc, sim): titles asked against titles or bodies, in the space of the titles."""
-    m = model(t, "Title")[0]
-    titles = m.own_vectors()
-    queries = titles.where("doc % 50 = 0").select(F.col("doc").alias("qid"), "term", F.col("w").alias("qw"))
-    return S.sparse_scores(queries, titles if field == "Title" else m.vectors(t.q(field).where(F.col(field).isNotNull()), "Id", field))
+def sparse_asked(t: Tables) -> DataFrame:
+    """(qid, doc, sim): titles asked against titles, in their space."""
+    titles = model(t, "Title")[0].own_vectors()
+    return S.sparse_scores(titles.where("doc % 50 = 0").select(F.col("doc").alias("qid"), "term", F.col("w").alias("qw")), titles)
 
 
 _HYBRID = (
@@ -235,17 +234,34 @@ _HYBRID = (
 _RANKED = "row_number() OVER (PARTITION BY metric, qid ORDER BY sim DESC, doc) AS rank"
 
 
-def hybrid(t: Tables, n: int, fields: dict[str, list[str]]) -> DataFrame:
-    """(metric, qid, doc, sim): sparse plus dense similarity, no factor 1/2; documents need the dense vectors. A
-    document's sparse hits, at most one a query, go into the pass over its vectors; no pair is joined with vectors."""
-    title = sparse_asked(t, "Title").select("doc", F.struct(F.col("qid").alias("q"), F.col("sim").alias("TitleV"), F.lit(0.0).alias("BodyV")).alias("h"))
-    body = sparse_asked(t, "Body").select("doc", F.struct(F.col("qid").alias("q"), F.lit(0.0).alias("TitleV"), F.col("sim").alias("BodyV")).alias("h"))
-    needed = {f for fs in fields.values() for f in fs}
-    hits = title if needed == {"TitleV"} else title.unionByName(body)
-    each = hits.groupBy("doc", F.col("h.q").alias("q")).agg(F.sum("h.TitleV").alias("TitleV"), F.sum("h.BodyV").alias("BodyV"))
-    listed = each.groupBy("doc").agg(F.collect_list(F.struct("q", "TitleV", "BodyV")).alias("hits"))
-    docs = vectors(t).join(listed, "doc", "left")
-    return S.dense_best(asked(t, "TitleV"), docs, {m: [(f, f) for f in fs] for m, fs in fields.items()}, n)
+def sparse_lists(m: S.TfIdf, counts: DataFrame, numbered: DataFrame, name: str) -> DataFrame:
+    """(doc, name_t, name_w) of (doc, term, tf): unit vectors in the space of `m` as two lists of a document, of which only
+    the terms that have a number are kept."""
+    raw = counts.join(numbered, "term").select("doc", "t", (F.col("tf") * F.col("idf")).alias("x"))
+    each = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"), F.collect_list(F.when(F.col("t").isNotNull(), F.struct("t", "x"))).alias("v"))
+    return each.select("doc", F.transform("v", lambda z: z["t"]).alias(f"{name}_t"), F.transform("v", lambda z: z["x"] / F.col("n")).alias(f"{name}_w"))
+
+
+def hybrid(t: Tables, n: int, fields: dict[str, list[str]], most_sent: int = 1_000_000) -> DataFrame:
+    """(metric, qid, doc, sim): sparse plus dense similarity, no factor 1/2; documents need the dense vectors. A document
+    brings its sparse vectors, in the space of the titles, into the pass over its dense ones: no pair of a query and a
+    document is ever a row but for the best. Terms are numbered where a query has them; ids of the documents with vectors
+    (8 bytes) are broadcast while they are at most `most_sent`, else joined."""
+    m = model(t, "Title")[0]
+    docs, asks = vectors(t), asked(t, "TitleV")
+    held = cut(docs.select("doc"))
+    held = F.broadcast(held) if held.count() <= most_sent else held
+    mine = m.trained.join(asks.select(F.col("qid").alias("doc")), "doc", "left_semi").select("term").distinct()
+    numbered = cut(m.vocabulary.select("term", "idf").join(mine.select("term", F.monotonically_increasing_id().alias("t")), "term", "left"))
+    titles = kept(sparse_lists(m, m.trained.join(held, "doc", "left_semi"), numbered, "TitleV"), "titles")
+    sparse = [titles]
+    if any("BodyV" in fs for fs in fields.values()):
+        texts = t.q("Body").where("Body is not null").join(held.withColumnRenamed("doc", "Id"), "Id", "left_semi")
+        sparse.append(kept(sparse_lists(m, m.counts(texts, "Id", "Body"), numbered, "BodyV"), "bodies"))
+    asks = asks.join(titles.select(F.col("doc").alias("qid"), F.col("TitleV_t").alias("terms"), F.col("TitleV_w").alias("weights")), "qid", "left")
+    for lists in sparse:
+        docs = docs.join(lists, "doc", "left")
+    return S.dense_best(asks, docs, {x: [(f, f) for f in fs] for x, fs in fields.items()}, n, most_queries=65_536)
 
 
 @P.add("rank_hybrid", _HYBRID + f" SELECT qid, doc, {_RANK} FROM r WHERE metric = 'title' QUALIFY rank <= 20", "q v")

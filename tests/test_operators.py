@@ -132,6 +132,8 @@ def test_once_without_moving_texts(spark, tmp_path):
 def test_dense_best_in_blocks_equals_brute_force(spark):
     import numpy as np
 
+    import numpy as np
+
     rng = np.random.default_rng(4)
     a, b = (np.round(rng.standard_normal((60, 4)), 1) for _ in range(2))
     rows = [(i, a[i].tolist(), b[i].tolist() if i % 7 else None, [(int(q), 0.25) for q in range(0, 60, 5) if (q + i) % 3 == 0]) for i in range(60)]
@@ -190,3 +192,28 @@ def test_conll_in_splits(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [[x["token"] for x in r["items"]] for r in got] == [["a", "b"], ["c"], ["d"], ["e"]] and [r["sent"] for r in got] == [0, 1, 2, 3]
+
+
+def test_hybrid_moves_no_pairs(spark, monkeypatch):
+    """Sparse products are made where the documents are; a query without terms and a document without vectors count."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vec = lambda: [float(x) for x in rng.normal(size=3)]
+    sparse = lambda: (lambda t: ([int(x) for x in t], [float(x) for x in rng.random(len(t))]))(rng.permutation(12)[: rng.integers(0, 6)])
+    rows = [(i, vec() if i % 9 else None, *((None, None) if i % 7 == 0 else sparse())) for i in range(60)]
+    asks = [(100 + i, vec(), *((None, None) if i == 3 else sparse())) for i in range(11)]
+    docs = spark.createDataFrame(rows, "doc long, x array<double>, h_t array<long>, h_w array<double>")
+    asked = spark.createDataFrame(asks, "qid long, vec array<double>, terms array<long>, weights array<double>")
+    want = set()
+    for q, v, qt, qw in asks:
+        have = dict(zip(qt or [], qw or []))
+        sims = [(-round(round(float(np.dot(v, x) / np.linalg.norm(v) / np.linalg.norm(x)), 6) + sum(have.get(a, 0.0) * b for a, b in zip(ht or [], hw or [])), 6), d) for d, x, ht, hw in rows if x]
+        want |= {(q, d, -s) for s, d in sorted(sims)[:5]}
+    for blocks in ({}, {"block": 4}, {"most_queries": 4, "shard": 25}):
+        got = S.dense_best(asked, docs.repartition(3), {"m": [("x", "h")]}, 5, **blocks).collect()
+        assert {(r["qid"], r["doc"], r["sim"]) for r in got} == want
+    from askloom.plans.search import QUERIES
+
+    monkeypatch.setattr(S, "sparse_scores", None)  # what joins queries and documents into pairs
+    assert QUERIES["batch_hybrid_sims"](spark, "/root/testdata/sf0.01").count() == 180
