@@ -217,3 +217,18 @@ def test_hybrid_moves_no_pairs(spark, monkeypatch):
 
     monkeypatch.setattr(S, "sparse_scores", None)  # what joins queries and documents into pairs
     assert QUERIES["batch_hybrid_sims"](spark, "/root/testdata/sf0.01").count() == 180
+
+
+def test_word_vectors_are_trained_whole(spark, monkeypatch):
+    """fasttext_train has the original's size and epochs and trains on all cores at once."""
+    from askloom.plans import learning as P
+
+    made = []
+    fit = L.Word2Vec.fit
+    monkeypatch.setattr(L.Word2Vec, "fit", lambda self, df: made.append(self) or fit(self, df))
+    monkeypatch.setattr(P, "corpus_words", lambda t: spark.createDataFrame([(i, ["read", "json", f"x{i % 3}"]) for i in range(30)], "Id long, ws array<string>"))
+    got = P.QUERIES["fasttext_train"](spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 5 and all(len(r["vec"]) == 300 for r in got)
+    (model,) = made
+    assert (model.getMaxIter(), model.getWindowSize(), model.getMinCount()) == (24, 10, 5)
+    assert model.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
