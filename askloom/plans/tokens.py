@@ -385,12 +385,13 @@ def all_sentences(t: Tables) -> DataFrame:
 
 
 def sharded(t: Tables) -> tuple[DataFrame, DataFrame, int]:
-    """All sentences (shard, o, key, ws), the fields of the distinct tokens of every shard, and the number of shards.
+    """All sentences (shard, o, key, text), tokens parted by blanks, the fields of the distinct tokens of every shard, and the number of shards.
     Texts are parsed once; a token's fields are made once and go to the shards that hold it."""
     rows = kept(all_sentences(t), "sentences")
     number = max(1, -(-rows.count() // L.SHARD))
-    placed = rows.select(F.pmod(F.xxhash64("key"), F.lit(number)).cast("int").alias("shard"), F.xxhash64("key").alias("o"), "key", "ws")
-    mine = kept(placed.select("shard", F.explode(F.array_distinct("ws")).alias("token")).distinct(), "held")
+    shard = F.pmod(F.xxhash64("key"), F.lit(number)).cast("int").alias("shard")
+    placed = rows.select(shard, F.xxhash64("key").alias("o"), "key", F.array_join("ws", " ").alias("text"))
+    mine = kept(rows.select(shard, "ws").select("shard", F.explode(F.array_distinct("ws")).alias("token")).distinct(), "held")
     often = kept(counted(rows.select(F.explode("ws").alias("token"))), "counts")
     fields = known_fields(t, often)
     kind = F.when(F.col("token").rlike(_CLASS), "C").when(F.col("token").rlike(_CALL), "A").otherwise("O")
